@@ -26,6 +26,45 @@ def mix_levels() -> dict:
     return {"domain": (number % 4).cast("string"), "lang": F.col("lang"), "source": F.col("source")}
 
 
+#: Length of op8's sections: a document's text in stretches of so many characters.
+SECTION_CHARS = 1000
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies; the same on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    from .spm_bpe import encode_documents
+
+    return encode_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"), digests=True)
+
+
+def op5_spm_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def op7_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bitmask_langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    from .token_attribution import attribute_tokens
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    last = F.ceil(F.coalesce(F.length("text"), F.lit(0)) / SECTION_CHARS).cast("int")
+    numbers = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+    sections = F.transform(numbers, lambda i: F.struct((i * SECTION_CHARS).alias("start"), ((i + 1) * SECTION_CHARS).alias("end")))
+    return attribute_tokens(docs.withColumn("sections", sections), tokenizer_path("byte_bpe_50k.tiktoken"), PATTERN, "sections")
+
+
 def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .budget_mix import mix
 
