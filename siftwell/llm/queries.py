@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order_minhash import near_duplicates
+
+    found, _ = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hash_tree_shards import assign_shards, topology
 
