@@ -54,6 +54,13 @@ def op5_spm_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.concat_ws(",", F.transform("removed", lambda i: i.cast("string"))).alias("removed"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+
+
 def op7_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bitmask_langid import identify
 
