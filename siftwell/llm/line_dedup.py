@@ -148,7 +148,8 @@ def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    return pairs.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
+    # the sizes go along so that both uses of the sets read the same columns, and so the same exchange
+    return pairs.select("a", "b", "words_a", "words_b", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -184,8 +185,9 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     most = F.least("pa", "pb") + still
     need = t / (F.lit(1) + t) * (F.col("na") + F.col("nb")) - eps
     pairs = x.join(y, "word").where(smaller & (F.col("nb") >= t * F.col("na") - eps) & (most >= need)).select("a", "b").distinct()
-    held = sets.select("key", "words")
-    both = pairs.join(held.select(F.col("key").alias("a"), F.col("words").alias("words_a")), "a").join(held.select(F.col("key").alias("b"), F.col("words").alias("words_b")), "b")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("words").alias("words_a")), "a").join(
+        sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("words").alias("words_b")), "b"
+    )
     links = save(_verify(both, similarity), "lines-links")
 
     other = links.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("key"), F.col("a").alias("other")))
