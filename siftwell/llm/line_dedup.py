@@ -171,7 +171,8 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     lines = survey.where("kind = 1").select("key", "id", "line", "n")
     first = lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("lines"))
-    sets = _sets(texts, frequent).groupBy("key").agg(F.first("n").alias("n"), F.first("words").alias("words"))
+    # the joins add this filter; here it stands for all uses, so that they share one exchange
+    sets = _sets(texts, frequent).where(F.col("key").isNotNull()).groupBy("key").agg(F.first("n").alias("n"), F.first("words").alias("words"))
     prefix = _prefixes(sets.select("key", "n", "words"), similarity)
     t = F.lit(similarity)
     eps = F.lit(1e-9)
