@@ -17,6 +17,13 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_store import read_tokens, write_tokens
+
+    blocks = write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return read_tokens(blocks, ids=False)
+
+
 def op3_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hash_tree_shards import assign_shards, topology
 
