@@ -40,6 +40,18 @@ def mix_levels() -> dict:
     return {"domain": (number % 4).cast("string"), "lang": F.col("lang"), "source": F.col("source")}
 
 
+def op4_itq_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .itq_neardup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_forest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 #: Length of op8's sections: a document's text in stretches of so many characters.
 SECTION_CHARS = 1000
 
