@@ -1,7 +1,372 @@
-"""DuckDB SQL for the catalogue."""
+"""DuckDB SQL for the catalogue: written by itself, from the same fixed values, to check the Spark queries against."""
 
 from __future__ import annotations
 
+from ..functions import constants as C
+from . import fixtures as D
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def strip(c: str) -> str:
+    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+
+
+def clean(c: str) -> str:
+    return f"lower(trim({strip(c)}, {q(C.ADDRESS_EDGES)}))"
+
+
+def among(c: str, values: list[str]) -> str:
+    return f"{c} in ({', '.join(map(q, values))})"
+
+
+def prefixed(c: str, prefixes: list[str]) -> str:
+    return "(" + " or ".join(f"starts_with({c}, {q(p)})" for p in prefixes) + ")"
+
+
+def found(c: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({c}, {q(pattern)}, {group})"
+
+
+def listed(c: str) -> str:
+    return f"coalesce(array_to_string({c}, '|'), '')"
+
+
+def each(blocks: str, one: str) -> str:
+    """one: SQL in terms of x."""
+    return f"flatten(list_transform({blocks}, lambda x: {one}))"
+
+
+PAGES = D.values(D.PAGES, "page_id, domain, url, html")
+_OUTSIDE = f"(?i)/?(?:{C.EMAIL.removeprefix('(?i)')})"
+
+
+def outside(c: str) -> str:
+    return f"list_filter({found(c, _OUTSIDE)}, lambda y: not starts_with(y, '/'))"
+
+
+LOCAL, DOMAIN = "left({0}, length({0}) - length(split_part({0}, '@', -1)) - 1)", "split_part({0}, '@', -1)"
+
+
+def syntax(a: str) -> str:
+    return f"(length({a}) > 0 and length({a}) <= 320 and length({LOCAL.format(a)}) <= 64 and regexp_matches({a}, {q(C.EMAIL_SYNTAX)}))"
+
+
+def domain_ok(d: str) -> str:
+    label = r"^[a-zA-Z0-9\-]{1,63}$"
+    return f"""(length({d}) between 1 and 253 and contains({d}, '.') and length(split_part({d}, '.', -1)) >= 2
+      and len(list_filter(string_split({d}, '.'), lambda l: not (regexp_matches(l, {q(label)}) and not starts_with(l, '-') and not ends_with(l, '-')))) = 0)"""
+
+
+def validated(source: str, keep: str, mx: bool = False) -> str:
+    """source: relation with ``address``; with mx also mx_ok, resolves, smtp_known."""
+    a, d = "a", DOMAIN.format("a")
+    facts = "mx_ok, resolves, smtp_known" if mx else "true as mx_ok, null::boolean as resolves, null::boolean as smtp_known"
+    return f"""
+    (with s0 as (select *, lower({strip("address")}) as a, {facts} from {source}),
+    s1 as (select *, {syntax(a)} as is_valid_syntax from s0),
+    s2 as (select *, is_valid_syntax and {domain_ok(d)} as is_valid_domain from s1),
+    s3 as (select * exclude (smtp_known), is_valid_domain and coalesce(mx_ok, false) as mx_valid,
+      is_valid_domain and {among(d, C.DISPOSABLE_DOMAINS + C.PLACEHOLDER_DOMAINS)} as is_disposable,
+      is_valid_domain and {among(LOCAL.format(a), C.ROLE_PREFIXES)} as is_role_based, smtp_known from s2),
+    s4 as (select *, case when mx_valid then smtp_known end as smtp_valid from s3),
+    s5 as (select *, 70 - case when is_role_based then 15 else 0 end + case when smtp_valid then 10 else 0 end + case when {str(mx).lower()} and mx_valid then 15 else 0 end as t0 from s4),
+    s6 as (select *, case when {str(mx).lower()} and not mx_valid then greatest(t0 - 20, 0) else t0 end as t1 from s5),
+    s7 as (select *, case when smtp_valid = false then greatest(t1 - 25, 0) else t1 end as t2 from s6),
+    s8 as (select *, case when not is_valid_syntax then 0 when not is_valid_domain then 5 when is_disposable then least(t2, 20) else least(t2, 100) end::int as validation_score from s7)
+    select {keep}, is_valid_syntax, is_valid_domain, mx_valid, smtp_valid, is_disposable, is_role_based, validation_score,
+      case when not is_valid_domain or is_disposable or smtp_valid = false then 'invalid' when mx_valid and validation_score >= 60 then 'valid' when validation_score >= 40 then 'uncertain' else 'invalid' end as validation_status,
+      nullif(array_to_string(list_filter([case when not is_valid_syntax then 'Failed syntax check' end, case when is_valid_syntax and not is_valid_domain then 'Invalid domain format' end,
+        case when is_valid_domain and resolves = false then 'DNS resolution failed' end, case when is_valid_domain and not mx_valid then 'No MX record' end, case when smtp_valid = false then 'SMTP rejected' end,
+        case when is_disposable then 'Disposable email domain' end, case when is_role_based then 'Role-based address' end], lambda n: n is not null), '; '), '') as notes from s8)"""
+
+
+DOC_EMAILS = f"""(select source, doc_id, i - 1 as match_no, {clean("f[i]")} as address from
+    (select source, doc_id, {found("text", C.EMAIL)} as f from documents), range(1, 10000) r(i) where i <= len(f))"""
+FIRST = f"""(select * from (select *, row_number() over (partition by source, address order by doc_id, match_no) as rn from {DOC_EMAILS}) where rn = 1)"""
+
+
+def method_base(c: str) -> str:
+    return "case " + " ".join(f"when {c} = {q(m)} then {v}" for m, v in C.METHOD_BASE.items()) + f" else {C.OTHER_METHOD_BASE} end"
+
+
+def visible(c: str) -> str:
+    out = rf"regexp_replace({c}, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in ("script", "style", "noscript"):
+        out = rf"regexp_replace({out}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    return tags_off(out)
+
+
+def unescape(c: str) -> str:
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = f"replace({c}, {q(a)}, {q(b)})"
+    return c
+
+
+def tags_off(c: str) -> str:
+    untagged = f"regexp_replace({c}, '(?s)<[^>]*>', ' ', 'g')"
+    return strip(rf"regexp_replace({unescape(untagged)}, '\s+', ' ', 'g')")
+
+
+def section(c: str, tag: str, most: int) -> str:
+    inner = f"regexp_extract({c}, '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1)"
+    return f"left({tags_off(inner)}, {most})"
+
+
+def title(c: str) -> str:
+    inner = f"regexp_extract({c}, '(?is)<title[^>]*>(.*?)</title>', 1)"
+    return f"left({strip(unescape(inner))}, 500)"
+
+
+def metas(c: str) -> str:
+    """list of {k, v}: the last of equal keys, in their order."""
+    tag = r"(?is)<meta\s[^>]*>"
+    at = lambda n: rf"""regexp_extract(t, '(?is)\s{n}\s*=\s*["'']([^"'']*)["'']', 1)"""
+    pairs = f"list_filter(list_transform({found(c, tag)}, lambda t: {{'k': lower(coalesce(nullif({at('name')}, ''), {at('property')})), 'v': left({unescape(at('content'))}, 1000)}}), lambda p: p.k <> '' and p.v <> '')"
+    return pairs
+
+
+def scheme(u: str) -> str:
+    return rf"lower(regexp_extract({u}, '^([a-zA-Z][a-zA-Z0-9+.\-]*):', 1))"
+
+
+def netloc(u: str) -> str:
+    return rf"regexp_extract({u}, '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)', 1)"
+
+
+def host(u: str) -> str:
+    return f"split_part(lower(split_part({netloc(u)}, '@', -1)), ':', 1)"
+
+
+def path(u: str) -> str:
+    return rf"regexp_extract({u}, '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
+
+
+def query(u: str) -> str:
+    return rf"regexp_extract({u}, '^[^?#]*\?([^#]*)', 1)"
+
+
+def safe(u: str) -> str:
+    return f"coalesce({scheme(u)} in ('http', 'https') and {host(u)} <> '' and not {among(host(u), C.SAFE_BLOCKED_HOSTS)} and not {prefixed(host(u), C.SAFE_BLOCKED_PREFIXES)}, false)"
+
+
+def contact(u: str) -> str:
+    return f"regexp_matches(lower({u}), {q(C.CONTACT_PAGE)})"
+
+
+def maps(u: str) -> str:
+    full = f"case when contains({u}, '://') then {u} else 'https://' || {u} end"
+    return f"((contains(lower({netloc(full)}), 'google.') and contains(lower({path(full)}), '/maps')) or {among(f'lower({netloc(full)})', C.MAPS_HOSTS)})"
+
+
+def bare(raw: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace(lower({strip(raw)}), '^https://', ''), '^http://', ''), '^www[.]', '')"
+
+
+def cleaned_domain(raw: str) -> str:
+    return f"regexp_extract({bare(raw)}, '^[^/?#]*')"
+
+
+def domain_reason(raw: str) -> str:
+    d = f"lower({strip(raw)})"
+    return f"case when {raw} is null or {raw} = '' then 'Empty domain' when length({d}) > 253 then 'Domain too long' when {among(d, C.BLOCKED_DOMAINS)} then 'Blocked placeholder domain: ' || {d} when not regexp_matches({d}, {q(C.DOMAIN_SYNTAX)}) then 'Invalid domain format: ' || {d} end"
+
+
+def normal_domain(raw: str) -> str:
+    d = f"rtrim({cleaned_domain(raw)}, '.')"
+    return f"case when ({domain_reason(d)}) is null then {d} end"
+
+
+_WHERE = f"({path('u')} || case when {query('u')} <> '' then '?' || {query('u')} else '' end)"
+URL_REASON = f"""case when url is null or url = '' then 'Empty or non-string URL' when length(u) > 2048 then 'URL too long' when contains(lower(u), '<script') then 'Blocked pattern detected: <script'
+  when contains({_WHERE}, '../') then 'Blocked pattern detected: \\.\\./' when regexp_matches({_WHERE}, '//[^/]') then 'Blocked pattern detected: //[^/]'
+  when {scheme("u")} not in ('http', 'https') then 'Disallowed scheme: ''' || {scheme("u")} || '''' when {host("u")} = '' then 'Missing hostname' when {among(host("u"), C.URL_BLOCKED_HOSTS)} then 'Blocked host: ' || {host("u")}
+  when {prefixed(host("u"), C.URL_PRIVATE_PREFIXES)} then 'Private IP range blocked: ' || {host("u")} when not contains({host("u")}, '.') then 'Invalid hostname: ' || {host("u")} end"""
+
+_FULL = "case when starts_with(url, 'http://') or starts_with(url, 'https://') then url else 'https://' || url end"
+
+
+def issues(text: str) -> str:
+    """page_id and a list of codes or of texts."""
+    t = C.ISSUE_TEXT
+    say = (lambda code, full=None: q(code)) if text == "codes" else (lambda code, full=None: full or q(t[code]))
+    year = f"try_cast(regexp_extract(footer, {q(C.COPYRIGHT_YEAR)}, 1) as int)"
+    ld = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
+    return f"""(with p as (select *, {host("url")} as h, {section("html", "footer", 5000)} as footer, {metas("html")} as m from pages),
+    c as (select h, bool_or({contact("url")}) as has_contact from p group by h)
+    select page_id, list_filter([case when not starts_with(lower(url), 'https://') then {say("no_ssl")} end, case when {title("html")} = '' then {say("no_title")} end,
+      case when len(list_filter(m, lambda e: e.k = 'description')) = 0 then {say("no_meta_description")} end, case when len(list_filter(m, lambda e: e.k = 'viewport')) = 0 then {say("no_viewport")} end,
+      case when len(list_filter({found("html", ld, 1)}, lambda b: json_valid(b))) = 0 then {say("no_structured_data")} end,
+      case when 2026 - {year} >= 2 then {say("outdated_copyright", f"{q(t['outdated_copyright'])} || {year} || ')'")} end, case when not has_contact then {say("no_contact_page")} end], lambda i: i is not null) as found
+    from p join c using (h))"""
+
+
+def finds(pages: str, url_column: bool = False) -> str:
+    """page_id, pass_no, strategy_no, match_no, address, method, hint."""
+    quoted = f"list_concat({mailto('html')}, {found(visible('html'), C.EMAIL_OR_QUOTED)})"
+    parts = [(1, 1, "mailto", mailto("html")), (1, 2, "html_regex", quoted), (1, 3, "footer", found(section("html", "footer", 5000), C.EMAIL)), (1, 4, "header", found(section("html", "header", 2000), C.EMAIL)),
+             (2, 6, "javascript", SCRIPTS), (2, 7, "html_comment", COMMENTS), (2, 8, "base64", BASE64), (2, 9, "unicode_obfuscation", OBFUSCATED), (2, 10, "cloudflare_decode", CLOUDFLARE)]
+    all_ = " union all ".join(f"select page_id, domain, url, {p} as pass_no, {s} as strategy_no, {q(m)} as method, {C.METHOD_HINT[m]} as hint, {sql} as f from p" for p, s, m, sql in parts)
+    return f"""(with p as (select page_id, domain, url, html from {pages}), u as ({all_}),
+    e as (select * exclude (f), i - 1 as match_no, {clean("f[i]")} as address from u, range(1, 1000) r(i) where i <= len(f))
+    select * from e where (pass_no = 1 and contains(address, '@')) or (pass_no = 2 and regexp_matches(address, '@[^@]*\\.[^@]*$')))"""
+
+
+def mailto(c: str) -> str:
+    return f"list_filter(list_transform({found(c, C.MAILTO, 1)}, lambda x: lower(trim(split_part(x, '?', 1)))), lambda x: contains(x, '@'))"
+
+
+SCRIPTS = each(found("html", C.SCRIPT, 1), outside("x"))
+COMMENTS = each(found("html", C.COMMENT, 1), found("x", C.EMAIL))
+BASE64 = each(f"list_filter(list_transform({found('html', C.BASE64, 1)}, lambda b: case when length(b) % 4 = 0 then try(decode(from_base64(b))) end), lambda b: b is not null)", outside("x"))
+OBFUSCATED = each(f"list_transform({found('html', C.OBFUSCATED)}, lambda o: regexp_replace(o, {q(C.OBFUSCATED)}, '\\1@\\2.\\3'))", found("x", C.EMAIL))
+_BYTE = "('0x' || substr(x, {0}, 2))::int"
+_DECODED = f"list_transform(range(1, length(x) // 2), lambda i: chr(xor({_BYTE.format('i * 2 + 1')}, {_BYTE.format('1')})))"
+CLOUDFLARE = f"""list_filter(list_transform(list_filter(list_concat({found("html", C.CLOUDFLARE, 1)}, {found("html", C.CLOUDFLARE_LINK, 1)}), lambda x: length(x) % 2 = 0 and length(x) >= 4),
+    lambda x: lower(array_to_string({_DECODED}, ''))), lambda x: contains(x, '@') and contains(split_part(x, '@', -1), '.'))"""
+_HEADERS = D.values(D.HEADERS, "page_id, headers")
+
+
+def technologies(html: str, headers: str | None = None) -> str:
+    rules = [f"case when regexp_matches({html}, {q('(?i)' + rx)}) then {q(f'{n}/{c}/html')} end" for n, c, rx in C.TECHNOLOGIES]
+    if headers:
+        value = lambda h: f"list_filter(map_entries({headers}), lambda e: lower(e.key) = {q(h)})"
+        rules += [f"case when len({value(h)}) > 0 and contains(lower({value(h)}[1].value), {q(v)}) then {q(f'{n}/{c}/header')} end" for n, c, h, v in C.HEADER_TECHNOLOGIES]
+    return f"list_filter([{', '.join(rules)}], lambda x: x is not null)"
+
+
+_SOCIAL = " union all ".join(f"select page_id, domain, {q(p)} as platform, split_part(rtrim(regexp_extract(html, {q(rx)}), '/'), '?', 1) as link from {PAGES}" for p, rx in C.SOCIAL.items())
+_PHONE = r"(?:\+?1[\s.\-]?)?(?:\(([2-9]\d{2})\)|([2-9]\d{2}))[\s.\-]?([2-9]\d{2})[\s.\-]?(\d{4})"
+PHONES = f"""list_transform({found("text", rf"(?:^|[^0-9.])({_PHONE})(?:$|[^0-9.]|[.](?:$|[^0-9]))", 1)}, lambda x: '+1' || right(regexp_replace(x, '[^0-9]', '', 'g'), 10))"""
+_CSV = D.values([(n, w, i + 2) for i, (n, w) in enumerate(D.COMPANY_CSV)], "name, website, source_row")
+_RAW = strip("website")
+IMPORT = f"""(with r as (select source_row, coalesce({_RAW}, '') as raw, nullif(left({strip("name")}, 500), '') as name from {_CSV}),
+    d as (select *, case when raw = '' then null when {maps("raw")} then 'maps-' || left(sha1(raw), 16) || '.pending' else {normal_domain("raw")} end as domain, raw <> '' and {maps("raw")} as is_map from r)
+    select source_row, raw, name, domain, case when is_map then raw else 'https://' || domain end as website,
+      case when raw = '' then 'empty' when domain is null then 'invalid' when source_row > min(source_row) over (partition by domain) then 'duplicate' else 'queued' end as outcome from d)"""
+_STORED = D.values(D.STORED, "domain")
+_LOC = r"<loc>\s*(.*?)\s*</loc>"
+_SITEMAPS = f"""(select *, case when regexp_matches(xml, '</urlset>\\s*$') then list_filter(list_transform({found("xml", _LOC, 1)}, lambda u: replace(u, '&amp;', '&')), lambda u: {safe("u")})[:50] else [] end as urls from {D.values(D.SITEMAPS, "base_url, priority, xml")})"""
+
+
+def ordered_distinct(c: str) -> str:
+    return f"list_filter({c}, lambda v, i: list_position({c}, v) = i)"
+
+
+def contact_first(c: str) -> str:
+    good = ordered_distinct(f"list_filter({c}, lambda u: {safe('u')})")
+    return f"list_concat(list_filter({good}, lambda u: {contact('u')}), list_filter({good}, lambda u: not {contact('u')}))[:50]"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    signals = ["via_mailto", "on_contact_page", "mx_valid", "company_domain_match", "is_disposable", "is_role_based"]
+    weights = " + ".join(f"case when {s} then {C.SIGNAL_WEIGHTS[s]} else 0 end" for s in signals)
+    facts = f"""(select a.address, m.host is not null as mx_ok, d.resolves, s.smtp_valid as smtp_known from {D.values(D.ADDRESSES, "address")} a
+      left join {D.values(D.MX, "email_domain, host")} m on m.email_domain = split_part(lower(trim(a.address)), '@', -1)
+      left join {D.values(D.DNS, "email_domain, resolves")} d on d.email_domain = split_part(lower(trim(a.address)), '@', -1)
+      left join {D.values(D.SMTP, "address, smtp_valid")} s on s.address = a.address)"""
+    addresses = f"(select address, lower({strip('address')}) as a from {D.values(D.ADDRESSES, 'address')})"
+    trail = rf"regexp_replace({path('f')}, '/+$', '')"
+    pages_domain = f"(select page_id, {host('url')} as domain, url, html from pages)"
+    first_on_page = f"(select * from (select *, row_number() over (partition by page_id, pass_no, address order by strategy_no, match_no) as rn from {finds(PAGES)}) where rn = 1)"
+    company = f"(select * from (select *, row_number() over (partition by domain, address order by page_id, pass_no, strategy_no, match_no) as rn from {finds(PAGES)}) where rn = 1)"
+    company_score = f"""least(100, greatest(0, {method_base("method")} + 15 + case when method = 'mailto' then 25 else 0 end + case when {contact("url")} then 15 else 0 end
+      + case when {DOMAIN.format("address")} = regexp_replace(domain, '^www[.]', '') then 10 else 0 end - case when is_disposable then 50 else 0 end - case when not is_valid_syntax then 60 else 0 end
+      - case when is_role_based then 15 else 0 end - case when method = 'html_comment' then 5 else 0 end + case when mx_valid then 0 else -15 - 20 end))"""
+    one = lambda name, sql: {name: f"select page_id, {listed(sql)} as found from {PAGES}"}
+    out = {
+        "email_scan": f"""select 'documents' as origin, doc_id as id, match_no::int as match_no, address from {DOC_EMAILS} union all
+          select 'pages', page_id, (i - 1)::int, {clean("f[i]")} from (select page_id, {found("html", C.EMAIL)} as f from pages), range(1, 10000) r(i) where i <= len(f)""",
+        "email_scan_quoted": f"select page_id, {listed(found('html', C.EMAIL_OR_QUOTED))} as found from {PAGES}",
+        "email_distinct": f"select * from (select doc_id, {listed(f'list_sort(list_distinct({found("text", C.EMAIL_OR_QUOTED)}))')} as addresses from documents) where addresses <> ''",
+        "email_hash": f"select distinct address, sha256(address) as address_hash from {DOC_EMAILS}",
+        "content_hash": f"select doc_id, sha256(lower({strip('text')})) as content_hash from documents",
+        "email_validate": f"select * from {validated(DOC_EMAILS, 'doc_id, match_no::int as match_no, address')}",
+        "email_validate_facts": f"select * from {validated(facts, 'address', mx=True)}",
+        "email_status_counts": f"select validation_status, count(*) as n from {validated(DOC_EMAILS, 'address')} group by 1",
+        "email_parts": f"select address, {LOCAL.format('a')} as local, {DOMAIN.format('a')} as domain, {domain_ok(DOMAIN.format('a'))} as domain_ok from {addresses} where contains(address, '@')",
+        "disposable_semi": f"select address from {addresses} where {among(DOMAIN.format('a'), C.DISPOSABLE_DOMAINS + C.PLACEHOLDER_DOMAINS)}",
+        "role_semi": f"select address from {addresses} where {among(LOCAL.format('a'), C.ROLE_PREFIXES)}",
+        "score_signals": f"""select *, case when confidence >= 95 then 'Verified' when confidence >= 85 then 'High' when confidence >= 70 then 'Risky' else 'Invalid' end as tier from
+          (select *, greatest(0, least(100, {method_base("method")} + {weights} - case when method = 'html_comment' then 5 when method = 'ocr' then 10 else 0 end))::int as confidence from {D.values(D.SIGNALS, "method, " + ", ".join(signals))})""",
+        "email_first_occurrence": f"select source, address, doc_id, match_no::int as match_no, sha256(address) as address_hash from {FIRST}",
+        "email_pipeline": f"""select * from (select source, address, sha256(address) as address_hash, doc_id,
+          least(100, greatest(0, 60 + 15 - case when is_disposable then 50 else 0 end - case when is_role_based then 15 else 0 end - case when not is_valid_syntax then 60 else 0 end + case when mx_valid then 0 else -35 end))::int as confidence,
+          validation_status, is_role_based from {validated(FIRST, "source, address, doc_id")}) where confidence >= {C.MIN_CONFIDENCE}""",
+        "page_finds": f"select page_id, pass_no::int as pass_no, strategy_no::int as strategy_no, match_no::int as match_no, address, method, hint::int as hint from {finds(pages_domain)}",
+        "fixture_finds": f"select page_id, pass_no::int as pass_no, address, method, hint::int as hint from {first_on_page}",
+        "company_emails": f"""select domain, address, method, confidence, validation_status, page_id from (select *, ({company_score})::int as confidence from {validated(company, "domain, address, method, url, page_id")}) where confidence >= {C.MIN_CONFIDENCE}""",
+        **one("script_emails", SCRIPTS), **one("comment_emails", COMMENTS), **one("base64_emails", BASE64), **one("obfuscated_emails", OBFUSCATED), **one("cloudflare_emails", CLOUDFLARE), **one("mailto_emails", mailto("html")),
+        "page_comment_emails": f"select page_id, len({found('html', C.COMMENT, 1)})::int as comments, {listed(COMMENTS)} as found from pages",
+        "emails_per_page": f"select page_id, coalesce(n, 0) as emails_found from {PAGES} left join (select page_id, count(*) as n from {first_on_page} group by 1) using (page_id)",
+        "url_validate": f"select url, {URL_REASON} as reason, case when ({URL_REASON}) is null then split_part(u, '#', 1) end as clean from (select url, {strip('url')} as u from {D.values(D.URLS, 'url')})",
+        "url_safe": f"select distinct url, {safe('url')} as safe, {contact('url')} as contact, {maps('url')} as maps from (select url from {D.values(D.URLS, 'url')} union all select url from pages)",
+        "url_normalize": f"""select page_id, {scheme("f")} || '://' || lower({netloc("f")}) || case when {trail} = '' then '/' else {trail} end || case when {query("f")} <> '' then '?' || {query("f")} else '' end as normal,
+          {scheme("url")} || '://' || {netloc("url")} as base, {host("url")} as host from (select page_id, url, {_FULL} as f from pages)""",
+        "domain_normalize": f"""select raw, {normal_domain("raw")} as domain, {cleaned_domain("raw")} as cleaned, rtrim({bare("raw")}, '/') as form, {domain_reason("raw")} as reason,
+          'maps-' || left(sha1(raw), 16) || '.pending' as placeholder, regexp_matches({cleaned_domain("raw")}, {q(C.MAPS_PENDING)}) as pending from {D.values(D.DOMAINS, "raw")}""",
+        "registered_domains": f"select array_to_string(string_split({host('url')}, '.')[-2:], '.') as site, count(*) as pages from pages group by 1",
+        "page_title": f"select page_id, {title('html')} as title from pages",
+        "page_meta": f"""select page_id, {listed("list_sort(list_transform(list_filter(m, lambda e, i: len(list_filter(m[i + 1:], lambda o: o.k = e.k)) = 0), lambda e: e.k || '=' || e.v))")} as meta,
+          left(coalesce(list_filter(m, lambda e: e.k = 'description')[-1].v, ''), 500) as description from (select page_id, {metas("html")} as m from {PAGES})""",
+        "page_footer": f"select page_id, {section('html', 'footer', 5000)} as footer, {section('html', 'header', 2000)} as header from pages",
+        "page_text_len": f"select page_id, length(t)::int as chars, md5(t) as digest from (select page_id, left({visible('html')}, 50000) as t from pages)",
+        "page_issues": f"select page_id, {listed('found')} as codes from {issues('codes')}",
+        "issue_summary": f"""select page_id, case when len(found) = 0 then {q(C.NO_ISSUES)} else array_to_string(found[:coalesce(list_position(list_transform(range(1, len(found) + 1), lambda i: length(array_to_string(found[:i], '; ')) > 100), true) - 1, len(found))], '; ') end as summary from {issues("texts")}""",
+        "issue_counts": f"select unnest(found) as code, count(*) as n from {issues('codes')} group by 1",
+        "tech_detect": f"""select page_id, {listed("list_filter(t, lambda x, i: len(list_filter(t[:i - 1], lambda y: split_part(y, '/', 1) = split_part(x, '/', 1))) = 0)")} as technologies from
+          (select page_id, {technologies("html", "headers")} as t from {PAGES} left join {_HEADERS} using (page_id))""",
+        "tech_pages": f"select h as host, split_part(t, '/', 1) as name, min(page_id) as first_page from (select page_id, {host('url')} as h, unnest({technologies('html')}) as t from pages) group by all",
+        "social_links": f"select page_id, platform, link from ({_SOCIAL}) where link <> ''",
+        "social_merged": f"select domain, platform, arg_min(link, page_id) as link from ({_SOCIAL}) where link <> '' group by 1, 2",
+        "phone_scan": f"select * from (select doc_id, {listed(ordered_distinct(PHONES))} as phones from documents) where phones <> ''",
+        "phone_union": f"""select source, string_agg(phone, '|' order by a.d, a.i, phone) as phones from (select source, phone, min({{'d': doc_id, 'i': i}}) as a from
+          (select source, doc_id, i, p[i] as phone from (select source, doc_id, {PHONES} as p from documents), range(1, 1000) r(i) where i <= len(p)) group by source, phone) group by source""",
+        "business_summary": f"""select id, coalesce(nullif(left(array_to_string(list_filter([nullif(trim(description), ''), case when len(s) > 0 then 'Services: ' || array_to_string(s[:6], ', ') || '.' end,
+          'Industry: ' || coalesce(nullif(industry, ''), nullif(category, '')) || '.'], lambda x: x is not null), ' '), 800), ''), 'No business description found on site.') as summary from
+          (select *, list_filter(string_split(services, '|'), lambda x: x <> '') as s from {D.values(D.SUMMARIES, "id, description, services, industry, category")})""",
+        "home_pages": f"select domain, min(page_id) as page_id from {PAGES} where url = {scheme('url')} || '://' || {netloc('url')} || '/' group by 1",
+        "escalation": "select page_id, true as escalate from pages where length(html) < 500",
+        "pages_per_host": f"select {host('url')} as host, count(*) as pages, min(page_id) as first_page, sum(length(html))::bigint as chars from pages group by 1",
+        "sitemap_urls": f"select base_url, priority, {listed('urls')} as urls from {_SITEMAPS}",
+        "sitemap_best": f"select base_url, {listed(contact_first('p'))} as pages from (select base_url, arg_min(urls, priority) as p from {_SITEMAPS} where len(urls) > 0 group by 1)",
+        "robots_sitemap": rf"select base_url, nullif(regexp_extract(txt, '(?im)^sitemap:[ \t]*(http\S*)', 1), '') as sitemap from {D.values(D.ROBOTS, 'base_url, txt')}",
+        "crawl_plan": f"""select base, {listed(ordered_distinct("plan") + "[:20]")} as plan from (select base, list_concat([base], {contact_first("urls")}, list_transform([{", ".join(map(q, C.KNOWN_PATHS))}], lambda k: rtrim(base, '/') || k)) as plan from
+          (select {scheme("url")} || '://' || {netloc("url")} as base, list_sort(list_distinct(list(url))) as urls from pages group by 1))""",
+        "import_clean": f"select * from {IMPORT}",
+        "import_summary": f"""select count(*) as total_rows, count_if(outcome = 'queued')::bigint as queued_jobs, count_if(outcome <> 'queued')::bigint as skipped_rows,
+          coalesce(string_agg('Row ' || source_row || ': invalid domain ''' || raw || '''', '|' order by source_row) filter (outcome = 'invalid'), '') as errors from {IMPORT}""",
+        "import_anti": f"select source_row, domain, website from {IMPORT} where outcome = 'queued' and domain not in (select domain from {_STORED})",
+        "import_customers": """select c_custkey, c_custkey % 1000 as "group", c_nationkey from (select *, row_number() over (partition by c_custkey % 1000 order by c_custkey) as rn from customer)
+          where rn = 1 and c_custkey % 1000 not in (select c_custkey % 1000 from customer where c_custkey % 2 = 0 and c_nationkey < 12)""",
+        "maps_resolve": f"""with p as (select id, {normal_domain("resolved")} as nd from {D.values(D.MAPS, "id, url, resolved")})
+          select id, nd as new_domain, case when nd is null then 'no_website' when nd in (select domain from {_STORED}) or id > min(id) over (partition by nd) then 'duplicate_listing' else 'resolved' end as outcome from p""",
+        "status_counts": "select o_orderstatus as status, count(*) as n from orders group by 1",
+        "status_page": "select o_orderkey, o_custkey, o_orderdate from orders where o_orderstatus = 'F' order by o_orderdate, o_orderkey limit 100 offset 200",
+        "topk_per_company": "select * from (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey)::int as rank from orders) where rank <= 3",
+        "topk_global": "select o_orderkey, o_totalprice from orders where o_totalprice >= 1000 order by o_totalprice desc, o_orderkey limit 500",
+        "count_per_company": "select o_custkey, count(*) as n from orders where o_orderpriority <> '5-LOW' group by 1",
+        "stats": "select o_orderstatus, count(*) as n, (select count(*) from orders where o_totalprice > 100000) as valid from orders group by 1",
+        "export_nested": """select c_custkey, c_name, count(o_orderkey)::int as n, coalesce(string_agg(o_orderkey || ':' || o_orderstatus, '|' order by o_totalprice desc, o_orderkey), '') as orders
+          from customer left join (select * from orders where o_orderstatus <> 'P') on o_custkey = c_custkey group by 1, 2""",
+        "export_totals_query": "select (select count(*) from customer) as companies, count(*)::bigint as emails, count(distinct o_custkey) as leads from orders join customer on o_custkey = c_custkey",
+        "status_split": "select case when c_custkey in (select o_custkey from orders) then 'leads' else 'no_email' end as kind, count(*) as companies from customer group by 1",
+        "engines_used": "select l_orderkey, string_agg(f, '|' order by i, f) as flags from (select l_orderkey, l_returnflag as f, min(l_linenumber) as i from lineitem group by 1, 2) group by 1",
+        "batch_ids": "select o_orderkey, ceil(row_number() over (order by o_orderkey) / 100.0)::bigint as batch_id from orders",
+        "keyed_update": "select o_orderkey, case when o_orderkey % 7 = 0 then 'completed' else o_orderstatus end as o_orderstatus, case when o_orderkey % 14 = 0 then '1-URGENT' else o_orderpriority end as o_orderpriority from orders",
+        "increment_retry": "select o_orderkey, (o_orderkey % 5 + case when o_orderkey % 3 = 0 then 1 else 0 end)::int as retry_count from orders",
+        "retry_split": "select o_orderkey, (case when o_orderkey % 5 < 3 then o_orderkey % 5 + 1 else o_orderkey % 5 end)::int as retry_count, case when o_orderkey % 5 >= 3 then 'crawl' end as dead_letter_source from orders where o_orderstatus = 'P'",
+        "cascade_delete": "select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')",
+        "job_emails": "select o_orderkey, c_custkey, c_name from (select o_orderkey, unnest([o_custkey, o_custkey + 100000]) as k from orders where o_orderkey % 50 = 0) join customer on c_custkey = k",
+        "job_round_trip": "select o_orderkey::varchar as job_id, o_custkey::varchar as company_id, o_orderstatus as domain, 5::int as priority, 0::int as retry_count from orders",
+        "truthy_update": "select c_custkey, case when c_custkey % 3 = 1 then 'New ' || c_custkey else c_name end as name from customer",
+        "queue_rates": "select event_type, count(*) as n, round(count(*) / greatest((epoch(max(ts))::bigint - epoch(min(ts))::bigint) / 60.0, 1.0), 2) as per_minute from events group by 1",
+        "backoff": "select r_regionkey, least(2.0::double ** (r_regionkey * 2), 30.0::double) as seconds from region",
+        "recent_dedup": """with recursive e as (select event_id, user_id, floor(epoch(ts))::bigint as s from events),
+          k as (select user_id, min({'s': s, 'event_id': event_id}) as f from e group by user_id
+            union all select k.user_id, (select min({'s': e.s, 'event_id': e.event_id}) from e where e.user_id = k.user_id and e.s >= k.f.s + 86400) as f from k where k.f is not null)
+          select f.event_id as event_id, user_id, f.s as s from k where f is not null""",
+    }
+    return out
