@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import chunks, limit_batches, text_buffer
 from .hashing import mix, runs
 
-#: Labelled texts of each language from which the filters are learnt: those first by the hash of their id.
-FIT_TEXTS = 1500
+#: Labelled rows of each language from whose texts the filters are learnt: those first by the hash of their id.
+FIT_TEXTS = 1000
 #: n-grams of each language, by length in bytes.
 GRAMS = {3: 3000, 4: 6000}
 SLOTS = 1 << 18
@@ -104,14 +104,15 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     More than 64 languages are an error. No such row: no language.
     """
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    sample = (
-        docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-        .withColumn("rn", F.row_number().over(first))
-        .where(F.col("rn") <= fit_texts)
-        .select("lang", F.lower("text").alias("text"))
-    )
+    # ids only, ranked within parts of a language and then within it, so that no task orders a whole language
+    by_hash = [F.xxhash64("id"), F.col("id")]
+    labelled = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.pmod(F.hash(F.col(id_col)), F.lit(64)).alias("part"))
+    for parts in (["lang", "part"], ["lang"]):
+        labelled = labelled.withColumn("rn", F.row_number().over(Window.partitionBy(*parts).orderBy(*by_hash))).where(F.col("rn") <= fit_texts)
+    # at most MAX_LANGUAGES x fit_texts ids are of use, more languages are refused below
+    chosen = F.broadcast(labelled.select("id", "lang").limit((MAX_LANGUAGES + 1) * fit_texts))
+    texts = docs.where(train & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.lower(text_col).alias("text"))
+    sample = texts.join(chosen, ["id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
