@@ -6,8 +6,8 @@ when they share those shingles in that order. Texts that agree on a function are
 two shingle sequences then decides: with M shingles aligned in order, texts of n and m shingles are linked if
 M / (n + m - M) >= 0.8. Aligning so many leaves at most (n + m) / 9 shingles out, which bounds the band exactly.
 
-Equal texts are one text here, so copies are never compared. Within a bucket of candidates, every text is first compared
-with the bucket's least text only, which settles groups of near copies with one comparison for each member; texts in
+Equal texts are one text here, so copies are never compared. Of the leaders of its buckets, every text is first compared
+with the one it meets most often, which settles groups of near copies with one comparison for each member; texts in
 different groups that share a bucket are compared in pairs after that, and none are left out.
 """
 
@@ -174,12 +174,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = save(sketched.select("doc_id", "digest").join(reps, "digest").select("doc_id", "rep", "digest"), "omh-member")
     heads = member.where("doc_id = rep").select("doc_id", "digest")
     bands = sketched.join(heads, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key"))
-    groups = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "leader")
-    crowded = save(bands.join(groups, "key"), "omh-crowded")
-
-    # every text with the leader it meets in most buckets
-    met = crowded.where("rep <> leader").groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("times"))
-    first = met.groupBy("rep").agg(F.min_by("leader", F.struct(-F.col("times"), "leader")).alias("a")).select("a", F.col("rep").alias("b"))
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowded = save(bands.join(sizes, "key"), "omh-crowded")
+
+    # A bucket's leader is the text that meets most others in all its buckets: of a group of near copies, the one they were
+    # made from. Every other text is compared with the leader it meets in most buckets.
+    rank = crowded.groupBy("rep").agg(F.struct(-F.sum("size"), F.col("rep")).alias("rank"))
+    leaders = crowded.select("key", "rep").join(rank, "rep").groupBy("key").agg(F.min_by("rep", "rank").alias("leader"))
+    met = crowded.join(leaders, "key").where("rep <> leader").groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("times"))
+    first = met.groupBy("rep").agg(F.min_by("leader", F.struct(-F.col("times"), "leader")).alias("a")).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
     first = save(first, "omh-first")
     links = save(_verify(first, rows, similarity), "omh-links1")
     settled = components(links.select("a", "b"))
