@@ -6,14 +6,19 @@ places of the shared word bound what they can still share (positional filter). W
 sets. A line goes if an earlier line - in the order of (doc_id, line number) - is at least that similar to it, whether or
 not that earlier line stays itself.
 
-Frequencies of words come from all documents. Only words of at least ``1 / FREQUENT`` of all words have a rank of their
-own, so there are at most FREQUENT of them however large the corpus; all rarer words come before them, in the order of
-their hashes. Any fixed order keeps the join exact; this one keeps its buckets small. Equal sets are joined as one.
+Frequencies of words come from all documents, in a table of COUNTERS counts, one for all words of a hash. Words are ordered
+by their count, in steps of about an eighth, and then by hash. Any fixed order keeps the join exact, so words that share a count cost
+at most speed; the table has one size however large the corpus. Equal sets are joined as one. Each row of the join carries a
+128-bit map of the words of its prefix, so most pairs that share one rare word by chance fall away where they meet (prefix overlap
+filter): all that two sets share lies in both prefixes or behind the prefix of one of them. The rest are tested by 256-bit maps
+of the whole sets before the sets themselves are fetched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +31,26 @@ from .hashing import hash_words, mix, runs
 SIMILARITY = 0.8
 #: Lines of fewer different words are left alone: they recur by chance.
 MIN_WORDS = 5
-FREQUENT = 20_000
+#: Counts of words by hash: 8 bytes each in a task of the survey, one in later tasks.
+COUNTERS = 1 << 19
+#: Logarithm of the bits of the map of lines to be verified.
+BITMAP_BITS = 23
 
 
 class _Lines:
     """The lines of some texts that have at least ``least`` different words, as sets in the global order."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, least: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, levels: np.ndarray | None, least: int):
         cut = offsets[:-1] + np.arange(len(offsets) - 1)
         data = np.insert(data, offsets[1:-1], 10)  # texts are set apart by a line break
         line_start = np.append(0, np.flatnonzero(data == 10) + 1)
-        word, start = hash_words(data)
+        self.word, start = hash_words(data)
         line = np.searchsorted(line_start, start, side="right") - 1
-        code = order_code(word, frequent)
+        code = self.word if levels is None else order_code(self.word, levels)
         by_code = np.argsort(code, kind="stable")
-        order = by_code[np.argsort(line[by_code], kind="stable")]
-        line, code, word = line[order], code[order], word[order]
+        few = line[by_code].astype(np.uint16) if len(line_start) < 1 << 16 else line[by_code]
+        order = by_code[np.argsort(few, kind="stable")]
+        line, code, word = line[order], code[order], self.word[order]
         new = np.ones(len(code), dtype=bool)
         new[1:] = (code[1:] != code[:-1]) | (line[1:] != line[:-1])
         line, code, word = line[new], code[new], word[new]
@@ -55,17 +64,23 @@ class _Lines:
         self.number = self.line - np.searchsorted(line_start, cut)[self.row]
 
 
-def order_code(word: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """64 bits that sort rarest first. frequent: hashes of the ranked words, the most frequent last."""
-    code = word >> np.uint64(1)
-    if len(frequent):
-        sorter = np.argsort(frequent)
-        found = np.searchsorted(frequent, word, sorter=sorter)
-        found[found == len(frequent)] = 0
-        rank = sorter[found]
-        hit = frequent[rank] == word
-        code[hit] = np.uint64(1 << 63) | rank[hit].astype(np.uint64)
-    return code
+def counter_of(word: np.ndarray) -> np.ndarray:
+    return (word >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
+def order_code(word: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """48 bits that sort rarest first: 8 of the level of the word's count, 40 of its hash."""
+    return levels[counter_of(word)] << np.uint64(40) | word & np.uint64((1 << 40) - 1)
+
+
+def pack(codes: np.ndarray) -> bytes:
+    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(words: bytes) -> np.ndarray:
+    out = np.zeros((len(words) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(words, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
 
 
 def prefix_length(n: np.ndarray | int, similarity: float = SIMILARITY):
@@ -73,70 +88,166 @@ def prefix_length(n: np.ndarray | int, similarity: float = SIMILARITY):
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """docs(id, text): rows (kind 0: word, times of words frequent in a batch), (kind 1: key, id, line, size of a line)."""
+    """docs(id, text): rows (kind 0: counter, words counted in it by a task) and (kind 1: key, id, line, size of a line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
+        counts, id_type = np.zeros(COUNTERS, np.int64), None
         for batch in batches:
+            id_type = batch.column(0).type
             data, offsets = text_buffer(batch.column(1))
             for a, b in chunks(batch, offsets):
-                part, cut = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                words, times = np.unique(hash_words(np.insert(part, cut[1:-1], 10))[0], return_counts=True)
-                top = times >= max(2, times.sum() / (2 * FREQUENT))
-                n = int(top.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(words[top].astype(np.int64)), pa.nulls(n, batch.column(0).type), pa.array([0] * n, pa.int32()), pa.array(times[top].astype(np.int64))], names=names)
-                lines = _Lines(part, cut, none, MIN_WORDS)
+                lines = _Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], None, MIN_WORDS)
+                counts += np.bincount(counter_of(lines.word), minlength=COUNTERS)
                 n = len(lines.key)
                 yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array(lines.key.astype(np.int64)), batch.column(0).take(pa.array(a + lines.row)), pa.array(lines.number.astype(np.int32)), pa.array(lines.size.astype(np.int64))], names=names)
+        used = np.flatnonzero(counts)
+        for a in range(0, len(used), 50_000):
+            at = used[a : a + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(at), pa.int32()), pa.array(at), pa.nulls(len(at), id_type), pa.array([0] * len(at), pa.int32()), pa.array(counts[at])], names=names)
 
     names = ["kind", "key", "id", "line", "n"]
     return docs.mapInArrow(run, f"kind int, key long, id {docs.schema['id'].dataType.simpleString()}, line int, n long")
 
 
-def _sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """docs(id, text): key, n, words of the distinct sets (once per chunk): 8 bytes for each rare word, then 2 for each frequent one."""
+def _levels(counters: DataFrame) -> np.ndarray:
+    """The level of each counter. What comes to the driver has one size: COUNTERS pairs of small numbers, in rows of 4096."""
+    level = F.least(F.lit(255), F.floor(F.lit(6) * F.log2(F.sum("n").cast("double")))).cast("short")
+    by_counter = counters.groupBy("key").agg(level.alias("v"))
+    packed = by_counter.groupBy(F.shiftright("key", 12).alias("run")).agg(F.collect_list(F.struct(F.col("key").cast("int").alias("k"), "v")).alias("x")).select("x").toArrow()
+    found = packed["x"].combine_chunks().flatten()
+    levels = np.zeros(COUNTERS, np.uint64)
+    if len(found):
+        levels[found.field("k").to_numpy()] = found.field("v").to_numpy().astype(np.uint64)
+    return levels
+
+
+def _sets_of(docs: DataFrame, levels: np.ndarray, emit, schema: str) -> DataFrame:
+    """emit(lines, places of one line of each distinct set of a chunk) for all of docs(id, text)."""
+    small = levels.astype(np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = small.astype(np.uint64)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for a, b in chunks(batch, offsets):
-                lines = _Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], frequent, MIN_WORDS)
-                key, first = np.unique(lines.key, return_index=True)
-                words = [pack(lines.codes[i : i + n]) for i, n in zip(lines.at[first].tolist(), lines.size[first].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(lines.size[first].astype(np.int32)), pa.array(words, pa.binary())], names=["key", "n", "words"])
+                lines = _Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], full, MIN_WORDS)
+                _, first = np.unique(lines.key, return_index=True)
+                if len(first):
+                    yield emit(lines, first)
 
-    return docs.mapInArrow(run, "key long, n int, words binary")
+    return docs.mapInArrow(run, schema)
 
 
-def pack(codes: np.ndarray) -> bytes:
-    rare = int(np.searchsorted(codes, np.uint64(1 << 63)))
-    return bytes([rare & 255, rare >> 8 & 255, rare >> 16]) + codes[:rare].tobytes() + (codes[rare:] & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+def _maps(words: np.ndarray, starts: np.ndarray, longs: int) -> list[np.ndarray]:
+    """For each run of words a map of 64 x ``longs`` bits, in which the bit of each word's hash is set."""
+    place = mix(words) & np.uint64(64 * longs - 1)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    return [np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == j, bit, np.uint64(0)), starts).astype(np.int64) for j in range(longs)]
 
 
-def unpack(words: bytes) -> np.ndarray:
-    rare = words[0] | words[1] << 8 | words[2] << 16
-    few = np.frombuffer(words, np.uint16, offset=3 + 8 * rare).astype(np.uint64) | np.uint64(1 << 63)
-    return np.concatenate((np.frombuffer(words, np.uint64, count=rare, offset=3), few))
+def _shared_at_most(longs: int, sizes: dict) -> Column:
+    """Upper bound of the words that two runs share, from their maps a0.. and b0..: words of one run that fall on one bit may all be shared."""
+    ones = {x: reduce(add, [F.bit_count(f"{x}{j}") for j in range(longs)]) for x in "ab"}
+    both = reduce(add, [F.bit_count(F.col(f"a{j}").bitwiseAND(F.col(f"b{j}"))) for j in range(longs)])
+    return both + F.least(*[sizes[x] - ones[x] for x in "ab"])
+
+
+def _prefixes(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
+    """key, n, word, place, m0, m1: the words of the prefix of each set, with the map of them all; sets once for each chunk."""
+
+    def emit(lines: _Lines, at: np.ndarray) -> pa.RecordBatch:
+        sizes = lines.size[at]
+        length = prefix_length(sizes, similarity)
+        before = np.cumsum(length) - length
+        row = np.repeat(np.arange(len(at)), length)
+        place = np.arange(len(row)) - before[row]
+        word = lines.codes[lines.at[at][row] + place]
+        columns = [lines.key[at][row].astype(np.int64), sizes[row].astype(np.int32), word.astype(np.int64), place.astype(np.int32), *[m[row] for m in _maps(word, before, 2)]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "n", "word", "place", "m0", "m1"])
+
+    return _sets_of(docs, levels, emit, "key long, n int, word long, place int, m0 long, m1 long")
+
+
+def _pairs(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """a, b: sets that may be so similar, the smaller one (of equal ones that with the smaller key) as b."""
+    t, eps = F.lit(similarity), F.lit(1e-9)
+    # copies of a set from several chunks are dropped where its words have come together, so one exchange serves both sides
+    once = prefixes.repartition("word").groupBy("word", "key").agg(*[F.max(c).alias(c) for c in ("n", "place", "m0", "m1")])
+    side = lambda s: once.select("word", F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}"), F.col("m0").alias(f"{s}0"), F.col("m1").alias(f"{s}1"))
+    smaller = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    need = t / (F.lit(1) + t) * (F.col("na") + F.col("nb")) - eps
+    # a pair is found at the first word it shares: before that nothing, after it what is left of the shorter side
+    first_shared = F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need
+    full = {x: F.ceil(t * F.col(f"n{x}") - eps) for x in "ab"}
+    behind = F.greatest(full["a"], full["b"]) - 1
+    in_prefixes = _shared_at_most(2, {x: F.col(f"n{x}") - full[x] + 1 for x in "ab"}) >= need - behind
+    return side("a").join(side("b"), "word").where(smaller & (F.col("nb") >= t * F.col("na") - eps) & first_shared & in_prefixes).select("a", "b").distinct()
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (mix(key) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """key, n, word, place: the prefix of each set."""
+def _bitmap(pairs: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which every key of a pair is marked; it spares other lines the way to the verification."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.zeros(1 << BITMAP_BITS, bool)
         for batch in batches:
-            sizes = batch.column(1).to_numpy()
-            length = prefix_length(sizes, similarity)
-            found = [unpack(w)[:k] for w, k in zip(batch.column(2).to_pylist(), length.tolist(), strict=True)]
-            codes = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in found]) if found else np.zeros(0, np.int32)
-            again = pa.array(np.repeat(np.arange(batch.num_rows), length))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), pa.array(codes.astype(np.int64)), pa.array(place)], names=["key", "n", "word", "place"])
+            for column in batch.columns:
+                marked[_slot(column.to_numpy().astype(np.uint64))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(marked).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    for row in pairs.select("a", "b").coalesce(4).mapInArrow(run, "bits binary").collect():
+        out |= np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _wanted(lines: _Lines, at: np.ndarray, bits: bytes) -> np.ndarray:
+    slot = _slot(lines.key[at])
+    return at[np.frombuffer(bits, np.uint8)[slot >> 3] >> (7 - (slot & 7)) & 1 == 1]
+
+
+def _signatures(docs: DataFrame, levels: np.ndarray, marked: np.ndarray) -> DataFrame:
+    """key, n and a map of 256 bits of the distinct sets whose key is marked."""
+    bits = marked.tobytes()
+
+    def emit(lines: _Lines, at: np.ndarray) -> pa.RecordBatch:
+        at = _wanted(lines, at, bits)
+        sizes = lines.size[at]
+        before = np.cumsum(sizes) - sizes
+        row = np.repeat(np.arange(len(at)), sizes)
+        words = lines.codes[lines.at[at][row] + np.arange(len(row)) - before[row]]
+        maps = _maps(words, before, 4) if len(at) else [np.zeros(0, np.int64)] * 4
+        return pa.RecordBatch.from_arrays([pa.array(lines.key[at].astype(np.int64)), pa.array(sizes.astype(np.int32)), *map(pa.array, maps)], names=["key", "n", "s0", "s1", "s2", "s3"])
+
+    found = _sets_of(docs, levels, emit, "key long, n int, s0 long, s1 long, s2 long, s3 long").where(F.col("key").isNotNull())
+    return found.groupBy("key").agg(*[F.max(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")])
 
-    return sets.mapInArrow(run, "key long, n int, word long, place int")
 
+def _near(pairs: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that may be so similar by their maps."""
+    of = lambda s: signatures.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), *[F.col(f"s{j}").alias(f"{s}{j}") for j in range(4)])
+    need = F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - F.lit(1e-9)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_shared_at_most(4, {x: F.col(f"n{x}") for x in "ab"}) >= need).select("a", "b")
 
-def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
-    """pairs(a, b, words_a, words_b): a, b of those at least so similar."""
+
+def _sets(docs: DataFrame, levels: np.ndarray, marked: np.ndarray) -> DataFrame:
+    """key, words of the distinct sets whose key is marked; words: 6 bytes each, rarest first."""
+    bits = marked.tobytes()
+
+    def emit(lines: _Lines, at: np.ndarray) -> pa.RecordBatch:
+        at = _wanted(lines, at, bits)
+        words = [pack(lines.codes[i : i + n]) for i, n in zip(lines.at[at].tolist(), lines.size[at].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(lines.key[at].astype(np.int64)), pa.array(words, pa.binary())], names=["key", "words"])
+
+    return _sets_of(docs, levels, emit, "key long, words binary").where(F.col("key").isNotNull()).groupBy("key").agg(F.first("words").alias("words"))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that are at least so similar."""
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("words_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("words").alias("words_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,8 +259,7 @@ def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    # the sizes go along so that both uses of the sets read the same columns, and so the same exchange
-    return pairs.select("a", "b", "words_a", "words_b", "na", "nb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
 
 
 def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -163,34 +273,13 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     limit_batches(spark)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
     survey = save(_survey(texts), "lines-survey")
-    words = survey.where("kind = 0").groupBy("key").agg(F.sum("n").alias("times"))
-    total = survey.where("kind = 0").agg(F.sum("n").alias("t"))
-    # bounded: at most FREQUENT words have so large a share
-    ranked = words.join(F.broadcast(total), F.col("times") >= F.col("t") / FREQUENT).orderBy("times", "key").select("key").toPandas()["key"].to_numpy()
-    frequent = ranked.astype(np.int64).view(np.uint64) if len(ranked) else np.zeros(0, np.uint64)
+    levels = _levels(survey.where("kind = 0"))
+    pairs = save(_pairs(_prefixes(texts, levels, similarity), similarity), "lines-pairs")
+    near = save(_near(pairs, _signatures(texts, levels, _bitmap(pairs)), similarity), "lines-near")
+    links = save(_verify(near, _sets(texts, levels, _bitmap(near)), similarity), "lines-links")
 
     lines = survey.where("kind = 1").select("key", "id", "line", "n")
     first = lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("lines"))
-    # the joins add this filter; here it stands for all uses, so that they share one exchange
-    sets = _sets(texts, frequent).where(F.col("key").isNotNull()).groupBy("key").agg(F.first("n").alias("n"), F.first("words").alias("words"))
-    prefix = _prefixes(sets.select("key", "n", "words"), similarity)
-    t = F.lit(similarity)
-    eps = F.lit(1e-9)
-    x = prefix.select("word", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    # the smaller set of a pair needs a shorter prefix only
-    short = F.col("n") - F.ceil(F.lit(2) * t / (F.lit(1) + t) * F.col("n") - eps) + 1
-    y = prefix.where(F.col("place") < short).select("word", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-    smaller = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    still = F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    # words shared before this one are not known here, so the bound takes them all as shared
-    most = F.least("pa", "pb") + still
-    need = t / (F.lit(1) + t) * (F.col("na") + F.col("nb")) - eps
-    pairs = x.join(y, "word").where(smaller & (F.col("nb") >= t * F.col("na") - eps) & (most >= need)).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("words").alias("words_a")), "a").join(
-        sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("words").alias("words_b")), "b"
-    )
-    links = save(_verify(both, similarity), "lines-links")
-
     other = links.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("key"), F.col("a").alias("other")))
     nearest = other.join(first.select(F.col("key").alias("other"), F.col("first").alias("theirs")), "other").groupBy("key").agg(F.min("theirs").alias("theirs"))
     early = first.join(nearest, "key", "left").where("lines > 1 or theirs is not null").select("key", F.least("first", "theirs").alias("early"))
