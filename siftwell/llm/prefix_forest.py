@@ -48,45 +48,43 @@ class Forest:
         return signs.astype(np.int64) @ (1 << np.arange(self.bits - 1, -1, -1, dtype=np.int64))
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, miss: float = MISS) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(places, scores) of the k best found for each query, best first; own: place that is the query itself, or -1."""
+        """(places, scores) of the best found for each query, k and all that tie with the last; own: place that is the query itself, or -1."""
         strings = self._hash(np.column_stack((queries, np.zeros(len(queries)))))
-        # edges[b]: where the strings that share b leading bits begin and end, for all queries and trees
-        edges = []
+        # low[b], high[b]: where the strings that share b leading bits begin and end, for all queries and trees
+        low, high = (np.zeros((self.bits + 1, len(queries), self.trees), np.int64) for _ in range(2))
         for b in range(self.bits + 1):
-            low = strings >> (self.bits - b) << (self.bits - b)
-            high = low + (1 << (self.bits - b))
-            edges.append(tuple(np.stack([np.searchsorted(self.codes[:, t], x[:, t]) for t in range(self.trees)], axis=1) for x in (low, high)))
+            first = strings >> (self.bits - b) << (self.bits - b)
+            for t in range(self.trees):
+                low[b, :, t] = np.searchsorted(self.codes[:, t], first[:, t])
+                high[b, :, t] = np.searchsorted(self.codes[:, t], first[:, t] + (1 << (self.bits - b)))
+        shared = (high - low).sum(axis=2)
+        by_tree = np.ascontiguousarray(self.order.T)
         out = []
         for q, query in enumerate(queries):
             length = np.linalg.norm(query) * self.most
             met = np.zeros(len(self.x), dtype=bool)
+            done = met.copy()
             if own[q] >= 0:
-                met[own[q]] = True
+                done[own[q]] = True
             places, scores = np.zeros(0, np.int64), np.zeros(0)
-            at = [(0, 0)] * self.trees
-            for b in range(self.bits, -1, -1):
-                low, high = edges[b][0][q], edges[b][1][q]
-                fresh = []
-                for t in range(self.trees):
-                    if high[t] > low[t] and (low[t], high[t]) != at[t]:
-                        a, z = at[t]
-                        fresh += [self.order[low[t] : high[t], t]] if a == z else [self.order[low[t] : a, t], self.order[z : high[t], t]]
-                        at[t] = (low[t], high[t])
-                if fresh:
-                    new = np.concatenate(fresh)
-                    new = np.unique(new[~met[new]])
-                    met[new] = True
-                    places, scores = np.append(places, new), np.append(scores, (self.x[new] * query).sum(axis=1))
-                    if len(places) > 4 * k:
-                        keep = np.argpartition(-scores, k - 1)
-                        keep = np.flatnonzero(scores >= scores[keep[k - 1]])  # with all that tie
-                        places, scores = places[keep], scores[keep]
+            # the longest prefixes that give some candidates at all, then one bit less at a time
+            for b in range(int(np.flatnonzero(shared[:, q] >= min(4 * k, shared[0, q]))[-1]), -1, -1):
+                for ranked, a, z in zip(by_tree, low[b, q].tolist(), high[b, q].tolist(), strict=True):
+                    met[ranked[a:z]] = True
+                new = np.flatnonzero(met & ~done)
+                if len(new):
+                    done[new] = True
+                    places, scores = np.append(places, new), np.append(scores, self.x[new] @ query)
                 if len(places) >= k and b:
                     worst = np.partition(scores, len(scores) - k)[len(scores) - k]
                     share = 1 - np.arccos(np.clip(worst / length, -1, 1)) / np.pi
                     if (1 - share**b) ** self.trees <= miss:
                         break
-            out.append((places, scores))
+            if len(places) > k:
+                worst = np.partition(scores, len(scores) - k)[len(scores) - k]
+                places = places[scores >= worst - 1e-9 * length]
+            # row by row, so that equal vectors have equal scores
+            out.append((places, (self.x[places] * query).sum(axis=1)))
         return out
 
 
