@@ -11,7 +11,8 @@ by their count, in steps of about an eighth, and then by hash. Any fixed order k
 at most speed; the table has one size however large the corpus. Equal sets are joined as one. Each row of the join carries a
 128-bit map of the words of its prefix, so most pairs that share one rare word by chance fall away where they meet (prefix overlap
 filter): all that two sets share lies in both prefixes or behind the prefix of one of them. The rest are tested by 256-bit maps
-of the whole sets before the sets themselves are fetched.
+of the whole sets before the sets themselves are fetched. Sets too small to be similar to any but an equal one (three words and
+fewer at 0.8) have no part in the join; their keys tell all.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .common import chunks, limit_batches, save, text_buffer
 from .hashing import hash_words, mix, runs
 
 SIMILARITY = 0.8
-#: Lines of fewer different words are left alone: they recur by chance.
-MIN_WORDS = 5
+#: Every line with a word takes part.
+MIN_WORDS = 1
 #: Counts of words by hash: 8 bytes each in a task of the survey, one in later tasks.
 COUNTERS = 1 << 19
 #: Logarithm of the bits of the map of lines to be verified.
@@ -156,13 +157,15 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFra
     """key, n, word, place, m0, m1: the words of the prefix of each set, with the map of them all; sets once for each chunk."""
 
     def emit(lines: _Lines, at: np.ndarray) -> pa.RecordBatch:
+        # the nearest that another set can come to one of n words is n of n + 1
+        at = at[lines.size[at] >= similarity * (lines.size[at] + 1) - 1e-9]
         sizes = lines.size[at]
         length = prefix_length(sizes, similarity)
         before = np.cumsum(length) - length
         row = np.repeat(np.arange(len(at)), length)
         place = np.arange(len(row)) - before[row]
         word = lines.codes[lines.at[at][row] + place]
-        columns = [lines.key[at][row].astype(np.int64), sizes[row].astype(np.int32), word.astype(np.int64), place.astype(np.int32), *[m[row] for m in _maps(word, before, 2)]]
+        columns = [lines.key[at][row].astype(np.int64), sizes[row].astype(np.int32), word.astype(np.int64), place.astype(np.int32), *([m[row] for m in _maps(word, before, 2)] if len(at) else [np.zeros(0, np.int64)] * 2)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "n", "word", "place", "m0", "m1"])
 
     return _sets_of(docs, levels, emit, "key long, n int, word long, place int, m0 long, m1 long")
@@ -265,8 +268,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """id, line (from 0): the lines of ``docs`` that repeat an earlier line.
 
-    Lines end at line feeds; words end at ASCII white space and are compared in lower case. Lines of fewer than MIN_WORDS
-    different words, null texts and rows without id have no part. Lines at the same place of rows that share an id are
+    Lines end at line feeds; words end at ASCII white space and are compared in lower case. Lines without a
+    word, null texts and rows without id have no part. Lines at the same place of rows that share an id are
     neither earlier nor later.
     """
     spark = docs.sparkSession

@@ -139,6 +139,23 @@ def test_lines_against_brute_force(spark):
     assert got == brute_lines(rows) and got
 
 
+def test_short_lines_against_brute_force(spark):
+    """Lines of one to six words, with no floor of the operator's own in the comparison."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "\n".join(" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 7))) for _ in range(5))) for i in range(40)]
+    rows += [(100, "home\nthe the the the the the"), (101, "read more\nThe\n\n \nhome"), (102, "one two three four"), (103, "one two three four five"), (104, "one two three"), (105, "two one\t four three")]
+    sets = [(i, n, frozenset(line.lower().split())) for i, t in rows for n, line in enumerate(t.split("\n"))]
+    want = {}
+    for k, (i, n, x) in enumerate(sets):
+        if x and any(y and len(x & y) >= 0.8 * len(x | y) - 1e-9 for _, _, y in sets[:k]):
+            want.setdefault(i, []).append(n)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in line_dedup.dedup_lines(df).collect() if r.removed}
+    assert got == want and got[101] == [1, 4] and got[103] == [0] and got[105] == [0]
+    few = spark.createDataFrame([(1, "a b"), (2, "b a\nc")], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.dedup_lines(few).collect()} == {1: [], 2: [0]}
+
+
 def test_lines_of_odd_rows(odd_docs, no_docs):
     out = {r.doc_id: r for r in line_dedup.dedup_lines(odd_docs).collect()}
     assert out[1].removed == [] and out[2].removed == [0] and out[2].text == "" and out[3].removed == [0]
