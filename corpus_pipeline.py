@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in which no learned language shows, go; all others stay."""
     from siftwell.llm.bitmask_langid import identify
 
-    return identify(docs, keep=COLUMNS).where("lang_pred <> 'und'").select(*COLUMNS)
+    return identify(docs, keep=COLUMNS, shown=True).where("shown").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

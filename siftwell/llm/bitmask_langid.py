@@ -30,6 +30,8 @@ GRAMS = {3: 3000, 4: 6000}
 SLOTS = 1 << 18
 HASHES = 3
 MAX_LANGUAGES = 64
+#: A language shows in a text where false positives give as many different n-grams with a chance of exp(-SHOWS) at most.
+SHOWS = 4
 
 _LETTER = re.compile(r"[^\W\d_]")
 _CLASS = np.full(256, 32, dtype=np.uint8)
@@ -89,6 +91,14 @@ class Filters:
                 found[row[starts], i] += np.add.reduceat((mask >> np.uint64(i) & np.uint64(1)).astype(np.int64), starts)
         return total, np.maximum(0, (found - total[:, None] * self.false_rate) / (1 - self.false_rate))
 
+    def shows(self, data: np.ndarray) -> bool:
+        """Whether more different n-grams of one text pass a filter than chance gives (Chernoff bound of the binomial tail)."""
+        packed = np.unique(np.concatenate([grams(data, np.array([0, len(data)]), n)[0] for n in GRAMS]))
+        mask = np.bitwise_and.reduce([self.masks[x] for x in slots(packed)])
+        found = np.array([np.count_nonzero(mask >> np.uint64(i) & np.uint64(1)) for i in range(len(self.languages))])
+        chance = np.maximum(len(packed) * self.false_rate, 1e-300)
+        return bool(((found > chance) & (found * np.log(np.maximum(found, 1) / chance) - found + chance >= SHOWS)).any())
+
 
 def build(languages: list[str], members: list[np.ndarray]) -> Filters:
     masks = np.zeros(SLOTS, dtype=np.uint64)
@@ -138,12 +148,13 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     return build([r["lang"] for r in kept], [np.array(r["grams"], dtype=np.int64).astype(np.uint64) for r in kept])
 
 
-def identify(docs: DataFrame, filters: Filters | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, filters: Filters | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, shown: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score (or ``keep``, lang_pred and score) of each row of ``docs``.
 
     Without ``filters`` they are learnt from the rows that are not held out. ``und`` with score 0 for a null text, one
     without a letter, and where no language was learnt. Otherwise a learnt language: the largest corrected count, ties
-    to the one most frequent in training; score = that count by the sum of the two largest, 0 if there is no evidence.
+    to the one most frequent in training; score = that count by the sum of the two largest, 0 if there is no evidence. With ``shown`` also the column shown: whether
+    any learnt language is in evidence, beyond what false positives give (see SHOWS).
     """
     if filters is None:
         filters = fit(docs, ~held_out(F.col(id_col)), id_col, text_col, lang_col)
@@ -154,11 +165,11 @@ def identify(docs: DataFrame, filters: Filters | None = None, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, (data, offsets) = batch.column(batch.num_columns - 2), text_buffer(batch.column(batch.num_columns - 1))
-            lang, score = np.full(batch.num_rows, "und", dtype=object), np.zeros(batch.num_rows)
+            lang, score, shows = np.full(batch.num_rows, "und", dtype=object), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
             for a, b in chunks(batch, offsets):
                 if not filters.languages:
                     break
-                _, found = filters.counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                total, found = filters.counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 best = found.argmax(axis=1)
                 two = np.sort(found, axis=1)[:, -2:].sum(axis=1)
                 top = found[np.arange(b - a), best]
@@ -167,8 +178,11 @@ def identify(docs: DataFrame, filters: Filters | None = None, id_col: str = "doc
                     if text is not None and _LETTER.search(text):
                         lang[i] = filters.languages[best[i - a]]
                         score[i] = top[i - a] / two[i - a] if two[i - a] > 0 else 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())], names=[f.name for f in outer] + ["lang_pred", "score"])
+                        # half of all n-grams is no chance; only texts in doubt are counted again
+                        shows[i] = shown and (2 * top[i - a] > total[i - a] or filters.shows(data[offsets[i] : offsets[i + 1]]))
+            columns = [pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())] + [pa.array(shows)] * shown
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=[f.name for f in outer] + ["lang_pred", "score"] + ["shown"] * shown)
 
     limit_batches(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in outer) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in outer) + ", lang_pred string, score double" + ", shown boolean" * shown
     return inner.mapInArrow(run, schema)

@@ -254,6 +254,18 @@ def test_stages_keep_columns_and_clean_documents(spark, odd_docs):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_documents_of_unlearned_scripts_go(spark, sf_dir):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(1)
+    chinese = "".join(chr(0x4E00 + int(x)) for x in rng.zipf(1.3, 4000) % 3000)  # so long that some n-grams pass by chance
+    strange = [(-1, "Это русский текст о погоде и о городе, в котором никто не живёт"), (-2, chinese), (-3, chinese[:200]), (-4, chinese[200:1200])]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*p.COLUMNS)
+    more = docs.unionByName(spark.createDataFrame([(i, t, None, "src0", len(t)) for i, t in strange], docs.schema))
+    kept = {r.doc_id for r in dict(p.STAGES)["language_id"](spark, more, "").select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_pipeline_runs_whole(spark, sf_dir):
     import corpus_pipeline as p
 
