@@ -39,6 +39,11 @@ def fixture_pages(spark: SparkSession) -> DataFrame:
     return D.frame(spark, D.PAGES, "page_id long, domain string, url string, html string")
 
 
+def whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages table with each page's host as its company."""
+    return table(spark, sf_dir, "pages").select("page_id", U.host(F.col("url")).alias("domain"), "url", "html")
+
+
 def listed(c: Column) -> Column:
     """An array as text, null as empty."""
     return F.coalesce(F.array_join(c, "|"), F.lit(""))
@@ -59,9 +64,18 @@ def email_scan(spark, sf_dir):
     return docs.unionByName(pages.select("origin", "id", "match_no", X.clean_address(F.col("raw")).alias("address")))
 
 
+def _scan_quoted(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", listed(E.scan_quoted(F.col("html"))).alias("found"))
+
+
 @_query
 def email_scan_quoted(spark, sf_dir):
-    return fixture_pages(spark).select("page_id", listed(E.scan_quoted(F.col("html"))).alias("found"))
+    return _scan_quoted(fixture_pages(spark))
+
+
+@_query
+def email_scan_quoted_all(spark, sf_dir):
+    return _scan_quoted(whole_pages(spark, sf_dir))
 
 
 @_query
@@ -161,15 +175,24 @@ def fixture_finds(spark, sf_dir):
     return first.select("page_id", "pass_no", "address", "method", "hint")
 
 
-@_query
-def company_emails(spark, sf_dir):
+def _company_emails(pages: DataFrame) -> DataFrame:
     """The stored addresses of each company: all strategies, all passes, first occurrence, validation, score, threshold."""
-    finds = extraction.explode_finds(fixture_pages(spark), F.col("html")).select("domain", "page_id", "url", "pass_no", "strategy_no", "match_no", "address", "method")
+    finds = extraction.explode_finds(pages, F.col("html")).select("domain", "page_id", "url", "pass_no", "strategy_no", "match_no", "address", "method")
     first = validation.validate(extraction.first_occurrence(finds, "domain", "page_id"))
     company = F.regexp_replace(F.col("domain"), "^www[.]", "")
     return scoring.score_finds(first, F.col("url"), company).where(F.col("confidence") >= C.MIN_CONFIDENCE).select("domain", "address", "method", "confidence", "validation_status", "page_id")
 
 
+@_query
+def company_emails(spark, sf_dir):
+    return _company_emails(fixture_pages(spark))
+
+
+@_query
+def company_emails_all(spark, sf_dir):
+    return _company_emails(whole_pages(spark, sf_dir))
+
+
 def _strategy(scan):
     def run(spark, sf_dir):
         return fixture_pages(spark).select("page_id", listed(scan(F.col("html"))).alias("found"))
@@ -186,12 +209,21 @@ def page_comment_emails(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(C.COMMENT), F.lit(1))).alias("comments"), listed(E.in_comments(F.col("html"))).alias("found"))
 
 
-@_query
-def emails_per_page(spark, sf_dir):
+def _emails_per_page(pages: DataFrame) -> DataFrame:
     """How many addresses each pass counts on a page, before companies are looked at."""
-    first = extraction.first_on_page(extraction.explode_finds(fixture_pages(spark), F.col("html")), ["page_id"])
+    first = extraction.first_on_page(extraction.explode_finds(pages, F.col("html")), ["page_id"])
     counts = first.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
-    return fixture_pages(spark).join(counts, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("emails_found"))
+    return pages.join(counts, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("emails_found"))
+
+
+@_query
+def emails_per_page(spark, sf_dir):
+    return _emails_per_page(fixture_pages(spark))
+
+
+@_query
+def emails_per_page_all(spark, sf_dir):
+    return _emails_per_page(whole_pages(spark, sf_dir))
 
 
 # -- URLs and domains ---------------------------------------------------------------------------------------
@@ -234,10 +266,19 @@ def page_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.title(F.col("html")).alias("title"))
 
 
+def _page_meta(pages: DataFrame) -> DataFrame:
+    m = F.map_entries(H.meta(F.col("html")))
+    return pages.select("page_id", listed(F.array_sort(F.transform(m, lambda e: F.concat(e["key"], F.lit("="), e["value"])))).alias("meta"), H.description(F.col("html")).alias("description"))
+
+
 @_query
 def page_meta(spark, sf_dir):
-    m = F.map_entries(H.meta(F.col("html")))
-    return fixture_pages(spark).select("page_id", listed(F.array_sort(F.transform(m, lambda e: F.concat(e["key"], F.lit("="), e["value"])))).alias("meta"), H.description(F.col("html")).alias("description"))
+    return _page_meta(fixture_pages(spark))
+
+
+@_query
+def page_meta_all(spark, sf_dir):
+    return _page_meta(whole_pages(spark, sf_dir))
 
 
 @_query
@@ -498,13 +539,22 @@ def cascade_delete(spark, sf_dir):
     return store.cascade_delete(li, gone, "l_orderkey", "o_orderkey")
 
 
-@_query
-def job_emails(spark, sf_dir):
+def _job_emails(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
     """Jobs that list ids, each id looked up, unknown ones skipped."""
-    jobs = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select("o_orderkey", F.explode(F.array(F.col("o_custkey"), F.col("o_custkey") + 100000)).alias("c_custkey"))
+    jobs = orders.select("o_orderkey", F.explode(F.array(F.col("o_custkey"), F.col("o_custkey") + 100000)).alias("c_custkey"))
     return jobs.join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select("o_orderkey", "c_custkey", "c_name")
 
 
+@_query
+def job_emails(spark, sf_dir):
+    return _job_emails(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
+
+
+@_query
+def job_emails_all(spark, sf_dir):
+    return _job_emails(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
 @_query
 def job_round_trip(spark, sf_dir):
     jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.col("o_custkey").cast("string").alias("company_id"), F.col("o_orderstatus").alias("domain"))

@@ -40,6 +40,25 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["page_meta", "email_scan_quoted", "emails_per_page", "company_emails"])
+def test_page_queries_read_the_whole_table(spark, sf_dir, tmp_path, name):
+    """Over a pages table made of the fixture pages they give the fixture query's rows, which have SQL; over the real one, its pages."""
+    catalogue.fixture_pages(spark).select("page_id", "url", "html").write.parquet(str(tmp_path / "pages.parquet"))
+    assert rows(QUERIES[f"{name}_all"](spark, str(tmp_path)).toPandas()) == rows(QUERIES[name](spark, sf_dir).toPandas())
+    found, pages = QUERIES[f"{name}_all"](spark, sf_dir).toPandas(), pd.read_parquet(f"{sf_dir}/pages.parquet")
+    if name == "company_emails":
+        assert {"domain", "address"} <= set(found.columns) and set(found.page_id) <= set(pages.page_id)
+    else:
+        assert sorted(found.page_id) == sorted(pages.page_id)
+
+
+def test_jobs_of_all_orders(spark, sf_dir):
+    orders, customers = pd.read_parquet(f"{sf_dir}/orders.parquet"), pd.read_parquet(f"{sf_dir}/customer.parquet")
+    names = dict(zip(customers.c_custkey, customers.c_name, strict=True))
+    want = [(o, k, names[k]) for o, c in zip(orders.o_orderkey, orders.o_custkey, strict=True) for k in (c, c + 100000) if k in names]
+    assert sorted(map(tuple, QUERIES["job_emails_all"](spark, sf_dir).collect())) == sorted(want) and len(want) >= len(orders)
+
+
 def test_entry_returns_rows(spark):
     import __spark_entry__
 
