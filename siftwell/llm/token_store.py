@@ -259,14 +259,13 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizers file that drops white space: no token crosses it, so words are encoded once
-    and remembered (the first ``most`` that a worker meets)."""
+    """Ids of whole texts by a tokenizers file that drops white space: no token crosses it, added ones included, so words are
+    encoded once and remembered (the first ``most`` that a worker meets)."""
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.memory: dict[str, bytes] = {"": b""}
         self.most = most
 

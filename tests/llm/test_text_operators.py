@@ -205,6 +205,20 @@ def test_token_files(odd_docs, no_docs):
     assert token_store.read_tokens(token_store.write_tokens(no_docs, WORDS), ids=False).count() == 0
 
 
+def test_added_tokens_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    tok, start = Tokenizer.from_file(WORDS), 0
+    texts = ["a <|endoftext|> b", "<|startoftext|>Word<|endoftext|><|endoftext|>\nword", "<|ENDOFTEXT|> <| endoftext |> x<|endoftext|", "plain words"]
+    blocks = token_store.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORDS)
+    rows = {r.doc_id: r for r in token_store.read_tokens(blocks).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 1], dtype="<u4")
+        assert (rows[i].start, rows[i].n_tokens, rows[i].ids_crc32, bytes(rows[i].ids)) == (start, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes())
+        start += len(ids)
+    assert np.frombuffer(rows[0].ids, "<u4").tolist() == [320, 49407, 321, 1]
+
+
 # -- language ID
 
 
