@@ -32,7 +32,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftwell-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved.saved_at = path
+    return saved
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``save`` that nothing reads any more."""
+    for df in tables:
+        jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def limit_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -8,70 +8,79 @@ not that earlier line stays itself.
 
 Frequencies of words come from all documents, in a table of COUNTERS counts, one for all words of a hash. Words are ordered
 by their count, in steps of about an eighth, and then by hash. Any fixed order keeps the join exact, so words that share a count cost
-at most speed; the table has one size however large the corpus. Equal sets are joined as one. Each row of the join carries a
-128-bit map of the words of its prefix, so most pairs that share one rare word by chance fall away where they meet (prefix overlap
-filter): all that two sets share lies in both prefixes or behind the prefix of one of them. The rest are tested by 256-bit maps
-of the whole sets before the sets themselves are fetched. Sets too small to be similar to any but an equal one (three words and
-fewer at 0.8) have no part in the join; their keys tell all.
+at most speed; the table has one size however large the corpus. Equal sets are joined as one, at the place of the first of them.
+Sets too small to be similar to any but an equal one (three words and fewer at 0.8) have no part in the join; their keys tell all.
+
+One earlier match settles a line, so the join runs twice. First every set meets only a few leaders, the earliest of those that
+share one of its rarest words: linear in the lines, and it settles nearly all members of large groups of near copies. Then
+the sets still open meet all earlier sets that share a word of the prefix; a pair whose later line is settled is not made. Each
+row of that join carries a 64-bit map of the words of its prefix, so most pairs that share one rare word by chance fall away where
+they meet (prefix overlap filter): all that two sets share lies in both prefixes or behind the prefix of one of them.
+
+Sets are known by 64-bit keys and words by 40-bit hashes; "exact" is meant up to equal hashes of different words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, limit_batches, save, text_buffer
+from .common import chunks, discard, limit_batches, save, text_buffer
 from .hashing import hash_words, mix, runs
 
 SIMILARITY = 0.8
-#: Every line with a word takes part.
-MIN_WORDS = 1
 #: Counts of words by hash: 8 bytes each in a task of the survey, one in later tasks.
 COUNTERS = 1 << 19
-#: Logarithm of the bits of the map of lines to be verified.
+#: Bits of a word's hash.
+HASH_BITS = 40
+#: The first round: of so many of a set's rarest words, leaders for each word, and the size ratio within which they are leaders.
+LEAD_WORDS, LEADERS, LEAD_RATIO = 4, 4, 1.25
+#: Logarithm of the bits of the maps of texts and sets to be verified.
 BITMAP_BITS = 23
 
+_U = np.uint64
+_MASK = _U((1 << HASH_BITS) - 1)
+
 
 class _Lines:
-    """The lines of some texts that have at least ``least`` different words, as sets in the global order."""
+    """The lines of some texts that have a word, as sets: in the global order, or in that of the hash if there are no levels."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, levels: np.ndarray | None, least: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, levels: np.ndarray | None):
         cut = offsets[:-1] + np.arange(len(offsets) - 1)
         data = np.insert(data, offsets[1:-1], 10)  # texts are set apart by a line break
         line_start = np.append(0, np.flatnonzero(data == 10) + 1)
-        self.word, start = hash_words(data)
-        line = np.searchsorted(line_start, start, side="right") - 1
-        code = self.word if levels is None else order_code(self.word, levels)
-        by_code = np.argsort(code, kind="stable")
-        few = line[by_code].astype(np.uint16) if len(line_start) < 1 << 16 else line[by_code]
-        order = by_code[np.argsort(few, kind="stable")]
-        line, code, word = line[order], code[order], self.word[order]
-        new = np.ones(len(code), dtype=bool)
-        new[1:] = (code[1:] != code[:-1]) | (line[1:] != line[:-1])
-        line, code, word = line[new], code[new], word[new]
-        at = runs(line)
-        size = np.diff(np.append(at, len(line)))
-        own = np.add.reduceat(mix(word), at) if len(at) else np.zeros(0, np.uint64)
-        full = size >= least
-        self.line, self.at, self.size, self.key = line[at][full], at[full], size[full], mix(own[full] ^ size[full].astype(np.uint64))
-        self.codes = code
+        word, start = hash_words(data)
+        word >>= _U(64 - HASH_BITS)
+        code = word if levels is None else order_code(word, levels)
+        first = np.append(np.searchsorted(start, line_start), len(start))
+        parts = []
+        for a in range(0, len(line_start), 1 << 16):  # 16 bits of the line's number and 48 of the code, sorted as one
+            z = min(a + (1 << 16), len(line_start))
+            number = np.repeat(np.arange(z - a, dtype=_U), np.diff(first[a : z + 1]))
+            both = np.sort(number << _U(48) | code[first[a] : first[z]])
+            both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+            parts.append(((both >> _U(48)).astype(np.int64) + a, both & _U((1 << 48) - 1)))
+        line, self.codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.at = runs(line)
+        self.line = line[self.at]
+        self.size = np.diff(np.append(self.at, len(line)))
+        own = np.add.reduceat(mix(self.codes & _MASK), self.at) if len(self.at) else np.zeros(0, _U)
+        self.key = mix(own ^ self.size.astype(_U))
         self.row = np.searchsorted(cut, line_start[self.line], side="right") - 1
         self.number = self.line - np.searchsorted(line_start, cut)[self.row]
 
 
 def counter_of(word: np.ndarray) -> np.ndarray:
-    return (word >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+    return (word >> _U(HASH_BITS - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
 def order_code(word: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """48 bits that sort rarest first: 8 of the level of the word's count, 40 of its hash."""
-    return levels[counter_of(word)] << np.uint64(40) | word & np.uint64((1 << 40) - 1)
+    return levels[counter_of(word)] << _U(HASH_BITS) | word
 
 
 def pack(codes: np.ndarray) -> bytes:
@@ -88,8 +97,12 @@ def prefix_length(n: np.ndarray | int, similarity: float = SIMILARITY):
     return n - np.ceil(similarity * n - 1e-9).astype(int) + 1
 
 
-def _survey(docs: DataFrame) -> DataFrame:
-    """docs(id, text): rows (kind 0: counter, words counted in it by a task) and (kind 1: key, id, line, size of a line)."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+
+
+def _survey(texts: DataFrame) -> DataFrame:
+    """texts(id, text): rows (kind 0: counter, words counted in it by a task) and (kind 1: key, id, line of a line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, id_type = np.zeros(COUNTERS, np.int64), None
@@ -97,17 +110,18 @@ def _survey(docs: DataFrame) -> DataFrame:
             id_type = batch.column(0).type
             data, offsets = text_buffer(batch.column(1))
             for a, b in chunks(batch, offsets):
-                lines = _Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], None, MIN_WORDS)
-                counts += np.bincount(counter_of(lines.word), minlength=COUNTERS)
+                lines = _Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], None)
+                counts += np.bincount(counter_of(lines.codes), minlength=COUNTERS)
                 n = len(lines.key)
-                yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.array(lines.key.astype(np.int64)), batch.column(0).take(pa.array(a + lines.row)), pa.array(lines.number.astype(np.int32)), pa.array(lines.size.astype(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(lines.key.astype(np.int64)), batch.column(0).take(pa.array(a + lines.row)), pa.array(lines.number.astype(np.int32)), pa.array(np.ones(n, np.int64))], names=names)
         used = np.flatnonzero(counts)
         for a in range(0, len(used), 50_000):
             at = used[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(at), pa.int32()), pa.array(at), pa.nulls(len(at), id_type), pa.array([0] * len(at), pa.int32()), pa.array(counts[at])], names=names)
+            nothing = pa.array(np.zeros(len(at), np.int32))
+            yield pa.RecordBatch.from_arrays([nothing, pa.array(at), pa.nulls(len(at), id_type), nothing, pa.array(counts[at])], names=names)
 
     names = ["kind", "key", "id", "line", "n"]
-    return docs.mapInArrow(run, f"kind int, key long, id {docs.schema['id'].dataType.simpleString()}, line int, n long")
+    return texts.mapInArrow(run, f"kind int, key long, id {texts.schema['id'].dataType.simpleString()}, line int, n long")
 
 
 def _levels(counters: DataFrame) -> np.ndarray:
@@ -116,153 +130,142 @@ def _levels(counters: DataFrame) -> np.ndarray:
     by_counter = counters.groupBy("key").agg(level.alias("v"))
     packed = by_counter.groupBy(F.shiftright("key", 12).alias("run")).agg(F.collect_list(F.struct(F.col("key").cast("int").alias("k"), "v")).alias("x")).select("x").toArrow()
     found = packed["x"].combine_chunks().flatten()
-    levels = np.zeros(COUNTERS, np.uint64)
+    levels = np.zeros(COUNTERS, np.uint8)
     if len(found):
-        levels[found.field("k").to_numpy()] = found.field("v").to_numpy().astype(np.uint64)
+        levels[found.field("k").to_numpy()] = found.field("v").to_numpy().astype(np.uint8)
     return levels
 
 
-def _sets_of(docs: DataFrame, levels: np.ndarray, emit, schema: str) -> DataFrame:
-    """emit(lines, places of one line of each distinct set of a chunk) for all of docs(id, text)."""
-    small = levels.astype(np.uint8)
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of so many items from each start, where each run begins among them)."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(lengths.sum()), before
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = small.astype(np.uint64)
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            for a, b in chunks(batch, offsets):
-                lines = _Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], full, MIN_WORDS)
-                _, first = np.unique(lines.key, return_index=True)
-                if len(first):
-                    yield emit(lines, first)
 
-    return docs.mapInArrow(run, schema)
+def _map64(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each run of words a map of 64 bits, in which the bit of each word's hash is set."""
+    return np.bitwise_or.reduceat(_U(1) << (mix(words) & _U(63)), starts).astype(np.int64) if len(starts) else np.zeros(0, np.int64)
 
 
-def _maps(words: np.ndarray, starts: np.ndarray, longs: int) -> list[np.ndarray]:
-    """For each run of words a map of 64 x ``longs`` bits, in which the bit of each word's hash is set."""
-    place = mix(words) & np.uint64(64 * longs - 1)
-    bit = np.uint64(1) << (place & np.uint64(63))
-    return [np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == j, bit, np.uint64(0)), starts).astype(np.int64) for j in range(longs)]
+def _prefixes(texts: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
+    """key, id, line, n, map and prefix array<long> of each set that another can come near to; id, line: the first place."""
+    id_type = texts.schema["id"].dataType.simpleString()
 
-
-def _shared_at_most(longs: int, sizes: dict) -> Column:
-    """Upper bound of the words that two runs share, from their maps a0.. and b0..: words of one run that fall on one bit may all be shared."""
-    ones = {x: reduce(add, [F.bit_count(f"{x}{j}") for j in range(longs)]) for x in "ab"}
-    both = reduce(add, [F.bit_count(F.col(f"a{j}").bitwiseAND(F.col(f"b{j}"))) for j in range(longs)])
-    return both + F.least(*[sizes[x] - ones[x] for x in "ab"])
-
-
-def _prefixes(docs: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
-    """key, n, word, place, m0, m1: the words of the prefix of each set, with the map of them all; sets once for each chunk."""
-
-    def emit(lines: _Lines, at: np.ndarray) -> pa.RecordBatch:
-        # the nearest that another set can come to one of n words is n of n + 1
-        at = at[lines.size[at] >= similarity * (lines.size[at] + 1) - 1e-9]
-        sizes = lines.size[at]
-        length = prefix_length(sizes, similarity)
-        before = np.cumsum(length) - length
-        row = np.repeat(np.arange(len(at)), length)
-        place = np.arange(len(row)) - before[row]
-        word = lines.codes[lines.at[at][row] + place]
-        columns = [lines.key[at][row].astype(np.int64), sizes[row].astype(np.int32), word.astype(np.int64), place.astype(np.int32), *([m[row] for m in _maps(word, before, 2)] if len(at) else [np.zeros(0, np.int64)] * 2)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "n", "word", "place", "m0", "m1"])
-
-    return _sets_of(docs, levels, emit, "key long, n int, word long, place int, m0 long, m1 long")
-
-
-def _pairs(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """a, b: sets that may be so similar, the smaller one (of equal ones that with the smaller key) as b."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = levels.astype(_U)
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(1))
+            for a, b in chunks(batch, offsets):
+                lines = _Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], full)
+                # the nearest that another set can come to one of n words is n of n + 1
+                able = np.flatnonzero(lines.size >= similarity * (lines.size + 1) - 1e-9)
+                sizes = lines.size[able]
+                place, before = _ragged(lines.at[able], prefix_length(sizes, similarity))
+                words = lines.codes[place]
+                prefix = pa.ListArray.from_arrays(pa.array(np.append(before, len(words)).astype(np.int32)), pa.array(words.astype(np.int64)))
+                columns = [pa.array(lines.key[able].astype(np.int64)), batch.column(0).take(pa.array(a + lines.row[able])), pa.array(lines.number[able].astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(_map64(words, before)), prefix]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "line", "n", "map", "prefix"])
+
+    found = texts.mapInArrow(run, f"key long, id {id_type}, line int, n int, map long, prefix array<long>")
+    # id and line decide the minimum of the structs; the rest follows from the key
+    first = found.groupBy("key").agg(F.min(F.struct("id", "line", "n", "map", "prefix")).alias("x"))
+    return first.select("key", "x.*")
+
+
+def _first_round(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """later, later_id, earlier, earlier_id: sets and those of their leaders that they may be similar to."""
+    size_class = F.floor(F.log("n") / F.log(F.lit(LEAD_RATIO))).cast("int")
+    rows = prefixes.select("key", "id", "line", "n", size_class.alias("class"), F.posexplode(F.slice("prefix", 1, LEAD_WORDS)).alias("place", "word"))
+    leaders = rows.groupBy("word", "class", F.pmod("key", F.lit(LEADERS)).alias("turn")).agg(F.min(F.struct("id", "line", "key", "n", "place")).alias("of"))
+    n, m = F.col("n"), F.col("of.n")
+    need = F.lit(similarity / (1 + similarity)) * (n + m) - F.lit(1e-9)
+    passes = (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - F.lit(1e-9)) & (F.lit(1) + F.least(n - F.col("place") - 1, m - F.col("of.place") - 1) >= need)
+    before = F.struct("of.id", "of.line") < F.struct("id", "line")
+    return rows.join(leaders, ["word", "class"]).where(passes & before).select(F.col("key").alias("later"), F.col("id").alias("later_id"), F.col("of.key").alias("earlier"), F.col("of.id").alias("earlier_id")).distinct()
+
+
+def _second_round(prefixes: DataFrame, settled: DataFrame, similarity: float) -> DataFrame:
+    """The same columns: sets that are not settled and all earlier sets that they may be similar to."""
+    known = prefixes.join(settled.select("key", F.lit(True).alias("done")), "key", "left")
+    rows = known.select(F.posexplode("prefix").alias("place", "word"), "key", "id", "line", "n", "map", F.col("done").isNull().alias("open"))
+    side = lambda s: rows.select("word", *[F.col(c).alias(f"{s}_{c}") for c in ("key", "id", "line", "n", "place", "map", "open")])
     t, eps = F.lit(similarity), F.lit(1e-9)
-    # copies of a set from several chunks are dropped where its words have come together, so one exchange serves both sides
-    once = prefixes.repartition("word").groupBy("word", "key").agg(*[F.max(c).alias(c) for c in ("n", "place", "m0", "m1")])
-    side = lambda s: once.select("word", F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}"), F.col("m0").alias(f"{s}0"), F.col("m1").alias(f"{s}1"))
-    smaller = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    need = t / (F.lit(1) + t) * (F.col("na") + F.col("nb")) - eps
+    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    smaller = (b("n") < a("n")) | ((b("n") == a("n")) & (b("key") < a("key")))
+    need = F.lit(similarity / (1 + similarity)) * (a("n") + b("n")) - eps
     # a pair is found at the first word it shares: before that nothing, after it what is left of the shorter side
-    first_shared = F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need
-    full = {x: F.ceil(t * F.col(f"n{x}") - eps) for x in "ab"}
-    behind = F.greatest(full["a"], full["b"]) - 1
-    in_prefixes = _shared_at_most(2, {x: F.col(f"n{x}") - full[x] + 1 for x in "ab"}) >= need - behind
-    return side("a").join(side("b"), "word").where(smaller & (F.col("nb") >= t * F.col("na") - eps) & first_shared & in_prefixes).select("a", "b").distinct()
+    first_shared = F.lit(1) + F.least(a("n") - a("place") - 1, b("n") - b("place") - 1) >= need
+    full = [F.ceil(t * x("n") - eps) for x in (a, b)]
+    spare = [x("n") - f + 1 - F.bit_count(x("map")) for x, f in zip((a, b), full, strict=True)]
+    # words of one prefix that fall on one bit may all be shared
+    in_prefixes = F.bit_count(a("map").bitwiseAND(b("map"))) + F.least(*spare) >= need - (F.greatest(*full) - 1)
+    b_first = (b("id") < a("id")) | ((b("id") == a("id")) & (b("line") < a("line")))
+    a_first = (a("id") < b("id")) | ((a("id") == b("id")) & (a("line") < b("line")))
+    wanted = (b_first & a("open")) | (a_first & b("open"))
+    pairs = side("a").join(side("b"), "word").where(smaller & (b("n") >= t * a("n") - eps) & first_shared & in_prefixes & wanted)
+    pick = lambda c: (F.when(b_first, a(c)).otherwise(b(c)), F.when(b_first, b(c)).otherwise(a(c)))
+    (later, earlier), (later_id, earlier_id) = pick("key"), pick("id")
+    return pairs.select(later.alias("later"), later_id.alias("later_id"), earlier.alias("earlier"), earlier_id.alias("earlier_id")).distinct()
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
-    return (mix(key) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    return (key >> _U(64 - BITMAP_BITS)).astype(np.int64)
 
 
-def _bitmap(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size in which every key of a pair is marked; it spares other lines the way to the verification."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.zeros(1 << BITMAP_BITS, bool)
-        for batch in batches:
-            for column in batch.columns:
-                marked[_slot(column.to_numpy().astype(np.uint64))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(marked).tobytes()], pa.binary())], names=["bits"])
-
-    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
-    for row in pairs.select("a", "b").coalesce(4).mapInArrow(run, "bits binary").collect():
-        out |= np.frombuffer(row["bits"], np.uint8)
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which every hash of keys(h) is marked; it spares others the way to the verification."""
+    slot = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    found = keys.select(F.shiftrightunsigned(slot, 6).alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), "<u8")
+    out[found["w"].to_numpy()] = found["bits"].to_numpy().view(_U)
     return out
 
 
-def _wanted(lines: _Lines, at: np.ndarray, bits: bytes) -> np.ndarray:
-    slot = _slot(lines.key[at])
-    return at[np.frombuffer(bits, np.uint8)[slot >> 3] >> (7 - (slot & 7)) & 1 == 1]
-
-
-def _signatures(docs: DataFrame, levels: np.ndarray, marked: np.ndarray) -> DataFrame:
-    """key, n and a map of 256 bits of the distinct sets whose key is marked."""
-    bits = marked.tobytes()
+def _marked(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slot = _slot(key)
+    return bits[slot >> 6] >> (slot & 63).astype(_U) & _U(1) == 1
 
-    def emit(lines: _Lines, at: np.ndarray) -> pa.RecordBatch:
-        at = _wanted(lines, at, bits)
-        sizes = lines.size[at]
-        before = np.cumsum(sizes) - sizes
-        row = np.repeat(np.arange(len(at)), sizes)
-        words = lines.codes[lines.at[at][row] + np.arange(len(row)) - before[row]]
-        maps = _maps(words, before, 4) if len(at) else [np.zeros(0, np.int64)] * 4
-        return pa.RecordBatch.from_arrays([pa.array(lines.key[at].astype(np.int64)), pa.array(sizes.astype(np.int32)), *map(pa.array, maps)], names=["key", "n", "s0", "s1", "s2", "s3"])
 
-    found = _sets_of(docs, levels, emit, "key long, n int, s0 long, s1 long, s2 long, s3 long").where(F.col("key").isNotNull())
-    return found.groupBy("key").agg(*[F.max(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")])
+def _sets(texts: DataFrame, levels: np.ndarray, pairs: DataFrame) -> DataFrame:
+    """key, words of the distinct sets of ``pairs``; words: 6 bytes each, rarest first. Only texts that hold some of them are read into sets."""
+    both = lambda c: pairs.select(F.explode(F.array(f"later{c}", f"earlier{c}")).alias("key"))
+    in_text = _bitmap(both("_id").select(F.xxhash64("key").alias("h")))
+    in_sets = _bitmap(both("").select(F.col("key").alias("h")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = levels.astype(_U)
+        for batch in batches:
+            batch = batch.filter(pa.array(_marked(batch.column(1).to_numpy().view(_U), in_text)))
+            if not batch.num_rows:
+                continue
+            data, offsets = text_buffer(batch.column(0))
+            for a, b in chunks(batch, offsets):
+                lines = _Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], full)
+                at = np.flatnonzero(_marked(lines.key, in_sets))
+                _, one = np.unique(lines.key[at], return_index=True)
+                at = at[one]
+                words = [pack(lines.codes[i : i + n]) for i, n in zip(lines.at[at].tolist(), lines.size[at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(lines.key[at].astype(np.int64)), pa.array(words, pa.binary())], names=["key", "words"])
 
-def _near(pairs: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that may be so similar by their maps."""
-    of = lambda s: signatures.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), *[F.col(f"s{j}").alias(f"{s}{j}") for j in range(4)])
-    need = F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - F.lit(1e-9)
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(_shared_at_most(4, {x: F.col(f"n{x}") for x in "ab"}) >= need).select("a", "b")
-
-
-def _sets(docs: DataFrame, levels: np.ndarray, marked: np.ndarray) -> DataFrame:
-    """key, words of the distinct sets whose key is marked; words: 6 bytes each, rarest first."""
-    bits = marked.tobytes()
-
-    def emit(lines: _Lines, at: np.ndarray) -> pa.RecordBatch:
-        at = _wanted(lines, at, bits)
-        words = [pack(lines.codes[i : i + n]) for i, n in zip(lines.at[at].tolist(), lines.size[at].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(lines.key[at].astype(np.int64)), pa.array(words, pa.binary())], names=["key", "words"])
-
-    return _sets_of(docs, levels, emit, "key long, words binary").where(F.col("key").isNotNull()).groupBy("key").agg(F.first("words").alias("words"))
+    return texts.select("text", F.xxhash64("id").alias("h")).mapInArrow(run, "key long, words binary").groupBy("key").agg(F.first("words").alias("words"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that are at least so similar."""
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("words_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("words").alias("words_b")), "b")
+    """key: the later sets of the pairs that are at least so similar."""
+    of = lambda side: sets.select(F.col("key").alias(side), F.col("words").alias(f"{side}_words"))
+    both = pairs.select("later", "earlier").join(of("later"), "later").join(of("earlier"), "earlier").select("later", "later_words", "earlier_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 x, y = unpack(x), unpack(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=["key"])
 
-    return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "key long").distinct()
 
 
 def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -272,21 +275,23 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     word, null texts and rows without id have no part. Lines at the same place of rows that share an id are
     neither earlier nor later.
     """
-    spark = docs.sparkSession
-    limit_batches(spark)
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+    limit_batches(docs.sparkSession)
+    texts = _texts(docs, id_col, text_col)
     survey = save(_survey(texts), "lines-survey")
     levels = _levels(survey.where("kind = 0"))
-    pairs = save(_pairs(_prefixes(texts, levels, similarity), similarity), "lines-pairs")
-    near = save(_near(pairs, _signatures(texts, levels, _bitmap(pairs)), similarity), "lines-near")
-    links = save(_verify(near, _sets(texts, levels, _bitmap(near)), similarity), "lines-links")
-
-    lines = survey.where("kind = 1").select("key", "id", "line", "n")
+    prefixes = save(_prefixes(texts, levels, similarity), "lines-prefixes")
+    leading = save(_first_round(prefixes, similarity), "lines-leading")
+    settled = save(_verify(leading, _sets(texts, levels, leading), similarity), "lines-settled")
+    pairs = save(_second_round(prefixes, settled, similarity), "lines-pairs")
+    discard(prefixes, leading)
+    more = save(_verify(pairs, _sets(texts, levels, pairs), similarity), "lines-more")
+    discard(pairs)
+
+    lines = survey.where("kind = 1").select("key", "id", "line")
     first = lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("lines"))
-    other = links.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("key"), F.col("a").alias("other")))
-    nearest = other.join(first.select(F.col("key").alias("other"), F.col("first").alias("theirs")), "other").groupBy("key").agg(F.min("theirs").alias("theirs"))
-    early = first.join(nearest, "key", "left").where("lines > 1 or theirs is not null").select("key", F.least("first", "theirs").alias("early"))
-    return lines.join(early, "key").where(F.struct("id", "line") > F.col("early")).select("id", "line").distinct()
+    gone = settled.unionByName(more).select("key", F.lit(True).alias("gone"))
+    repeated = first.join(gone, "key", "left").where("lines > 1 or gone").select("key", "first", "gone")
+    return lines.join(repeated, "key").where(F.col("gone") | (F.struct("id", "line") > F.col("first"))).select("id", "line").distinct()
 
 
 def cleaned(text: Column, removed: Column) -> Column:
@@ -299,13 +304,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows and columns of ``docs``, with ``text`` cleaned, plus n_lines, n_removed and removed array<int> (ascending).
 
     n_lines: lines of the text that are not empty. A null text stays null and has none. Rows that share an id lose the
-    lines that any of them loses. A text that loses all its lines is left empty. An empty table gives no rows.
+    lines that any of them loses. A text that loses all its lines is left empty. An empty table gives no rows. Columns
+    of ``docs`` called n_lines, n_removed or removed give way to the operator's own.
     """
-    gone = later_lines(docs, id_col, text_col, similarity).groupBy("id").agg(F.array_sort(F.collect_list("line")).alias("removed")).withColumnRenamed("id", "removed_id")
-    out = docs.join(gone, F.col(id_col) == F.col("removed_id"), "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    count = F.coalesce(F.size(F.filter(F.split(text_col, "\n", -1), lambda s: s != "")), F.lit(0))
-    count = F.when(F.col(text_col).isNull(), 0).otherwise(count)
-    return out.select(
-        *[cleaned(F.col(c), removed).alias(c) if c == text_col else F.col(c) for c in docs.columns], count.cast("int").alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed")
+    gone = later_lines(docs, id_col, text_col, similarity).groupBy("id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
+    numbered = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)])
+    text, removed = F.col(f"c{kept.index(text_col)}"), F.coalesce("lines", F.array().cast("array<int>"))
+    count = F.when(text.isNull(), 0).otherwise(F.coalesce(F.size(F.filter(F.split(text, "\n", -1), lambda s: s != "")), F.lit(0)))
+    return numbered.join(gone, "id", "left").select(
+        *[(cleaned(text, removed) if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(kept)], count.cast("int").alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed")
     )

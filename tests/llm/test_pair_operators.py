@@ -113,7 +113,7 @@ def test_a_large_group_of_near_copies_stays_one_class(spark):
 def brute_lines(rows):
     seen, gone = [], {}
     for doc, number, words in sorted((i, n, frozenset(line.split())) for i, t in rows for n, line in enumerate((t or "").lower().split("\n"))):
-        if len(words) < line_dedup.MIN_WORDS:
+        if not words:
             continue
         if any(len(words & o) >= 0.8 * len(words | o) - 1e-9 for o in seen):
             gone.setdefault(doc, []).append(number)
