@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,11 +39,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables of ``save`` that nothing reads any more."""
+    """Remove tables of ``save`` that nothing reads any more. Spark removes the shuffle files of finished steps when the driver
+    collects its garbage, so that is asked for too."""
     for df in tables:
         jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
         path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
         path.getFileSystem(hadoop).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def limit_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -12,10 +12,11 @@ at most speed; the table has one size however large the corpus. Equal sets are j
 Sets too small to be similar to any but an equal one (three words and fewer at 0.8) have no part in the join; their keys tell all.
 
 One earlier match settles a line, so the join runs twice. First every set meets only a few leaders, the earliest of those that
-share one of its rarest words: linear in the lines, and it settles nearly all members of large groups of near copies. Then
-the sets still open meet all earlier sets that share a word of the prefix; a pair whose later line is settled is not made. Each
-row of that join carries a 64-bit map of the words of its prefix, so most pairs that share one rare word by chance fall away where
-they meet (prefix overlap filter): all that two sets share lies in both prefixes or behind the prefix of one of them.
+share one of its rarest words: linear in the lines, and it settles nearly all members of large groups of near copies, most of them
+by the one leader that they meet in most words. Then all sets meet all earlier ones that share a word of the prefix; a pair whose
+later line is settled is not made. Each row of that join carries a 64-bit map of the words of its prefix, so most pairs that share
+one rare word by chance fall away where they meet (prefix overlap filter): all that two sets share lies in both prefixes or behind
+the prefix of one of them.
 
 Sets are known by 64-bit keys and words by 40-bit hashes; "exact" is meant up to equal hashes of different words.
 """
@@ -31,16 +32,17 @@ from pyspark.sql import functions as F
 
 from .common import chunks, discard, limit_batches, save, text_buffer
 from .hashing import hash_words, mix, runs
+from .marks import bitmap, marked
 
 SIMILARITY = 0.8
 #: Counts of words by hash: 8 bytes each in a task of the survey, one in later tasks.
 COUNTERS = 1 << 19
+#: Counters of a row of the survey.
+_WIDE = 16
 #: Bits of a word's hash.
 HASH_BITS = 40
 #: The first round: of so many of a set's rarest words, leaders for each word, and the size ratio within which they are leaders.
-LEAD_WORDS, LEADERS, LEAD_RATIO = 4, 4, 1.25
-#: Logarithm of the bits of the maps of texts and sets to be verified.
-BITMAP_BITS = 23
+LEAD_WORDS, LEADERS, LEAD_RATIO = 4, 2, 1.25
 
 _U = np.uint64
 _MASK = _U((1 << HASH_BITS) - 1)
@@ -102,38 +104,38 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _survey(texts: DataFrame) -> DataFrame:
-    """texts(id, text): rows (kind 0: counter, words counted in it by a task) and (kind 1: key, id, line of a line)."""
+    """texts(id, text): rows key, id, line of all lines (counts null), and rows of a task's counts: number of the run, counts array<long>."""
+    id_type = texts.schema["id"].dataType.simpleString()
+    names = ["key", "id", "line", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, id_type = np.zeros(COUNTERS, np.int64), None
+        counts, arrow_type = np.zeros(COUNTERS, np.int64), None
         for batch in batches:
-            id_type = batch.column(0).type
+            arrow_type = batch.column(0).type
             data, offsets = text_buffer(batch.column(1))
             for a, b in chunks(batch, offsets):
                 lines = _Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], None)
                 counts += np.bincount(counter_of(lines.codes), minlength=COUNTERS)
-                n = len(lines.key)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(lines.key.astype(np.int64)), batch.column(0).take(pa.array(a + lines.row)), pa.array(lines.number.astype(np.int32)), pa.array(np.ones(n, np.int64))], names=names)
-        used = np.flatnonzero(counts)
-        for a in range(0, len(used), 50_000):
-            at = used[a : a + 50_000]
-            nothing = pa.array(np.zeros(len(at), np.int32))
-            yield pa.RecordBatch.from_arrays([nothing, pa.array(at), pa.nulls(len(at), id_type), nothing, pa.array(counts[at])], names=names)
-
-    names = ["kind", "key", "id", "line", "n"]
-    return texts.mapInArrow(run, f"kind int, key long, id {texts.schema['id'].dataType.simpleString()}, line int, n long")
-
-
-def _levels(counters: DataFrame) -> np.ndarray:
-    """The level of each counter. What comes to the driver has one size: COUNTERS pairs of small numbers, in rows of 4096."""
-    level = F.least(F.lit(255), F.floor(F.lit(6) * F.log2(F.sum("n").cast("double")))).cast("short")
-    by_counter = counters.groupBy("key").agg(level.alias("v"))
-    packed = by_counter.groupBy(F.shiftright("key", 12).alias("run")).agg(F.collect_list(F.struct(F.col("key").cast("int").alias("k"), "v")).alias("x")).select("x").toArrow()
-    found = packed["x"].combine_chunks().flatten()
-    levels = np.zeros(COUNTERS, np.uint8)
-    if len(found):
-        levels[found.field("k").to_numpy()] = found.field("v").to_numpy().astype(np.uint8)
-    return levels
+                columns = [pa.array(lines.key.astype(np.int64)), batch.column(0).take(pa.array(a + lines.row)), pa.array(lines.number.astype(np.int32)), pa.nulls(len(lines.key), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        wide = counts.reshape(-1, _WIDE)
+        used = np.flatnonzero(wide.any(axis=1))
+        for a in range(0, len(used), 5000):
+            at = used[a : a + 5000]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, _WIDE * len(at) + 1, _WIDE, dtype=np.int32)), pa.array(wide[at].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), arrow_type), pa.nulls(len(at), pa.int32()), lists], names=names)
+
+    return texts.mapInArrow(run, f"key long, id {id_type}, line int, counts array<long>")
+
+
+def _levels(survey: DataFrame) -> np.ndarray:
+    """The level of each counter. What comes to the driver has one size: COUNTERS small numbers."""
+    level = lambda i: F.least(F.lit(255), F.floor(F.lit(6) * F.log2(F.sum(F.col("counts")[i]).cast("double") + 1))).cast("short").alias(f"v{i}")
+    found = survey.where("counts is not null").groupBy("key").agg(*[level(i) for i in range(_WIDE)]).toArrow()
+    levels = np.zeros((COUNTERS // _WIDE, _WIDE), np.uint8)
+    for i in range(_WIDE):
+        levels[found["key"].to_numpy(), i] = found[f"v{i}"].to_numpy()
+    return levels.ravel()
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +149,9 @@ def _map64(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduceat(_U(1) << (mix(words) & _U(63)), starts).astype(np.int64) if len(starts) else np.zeros(0, np.int64)
 
 
-def _prefixes(texts: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
-    """key, id, line, n, map and prefix array<long> of each set that another can come near to; id, line: the first place."""
+def _prefixes(texts: DataFrame, levels: np.ndarray, repeated: np.ndarray, similarity: float) -> DataFrame:
+    """key, id, line, n, map, prefix array<long> and single of each set that another can come near to, once for each chunk of texts
+    that holds it; single: it occurs nowhere else (``repeated``: the map of keys that may)."""
     id_type = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,90 +162,95 @@ def _prefixes(texts: DataFrame, levels: np.ndarray, similarity: float) -> DataFr
                 lines = _Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], full)
                 # the nearest that another set can come to one of n words is n of n + 1
                 able = np.flatnonzero(lines.size >= similarity * (lines.size + 1) - 1e-9)
-                sizes = lines.size[able]
+                sizes, single = lines.size[able], ~marked(lines.key[able], repeated)
                 place, before = _ragged(lines.at[able], prefix_length(sizes, similarity))
                 words = lines.codes[place]
                 prefix = pa.ListArray.from_arrays(pa.array(np.append(before, len(words)).astype(np.int32)), pa.array(words.astype(np.int64)))
-                columns = [pa.array(lines.key[able].astype(np.int64)), batch.column(0).take(pa.array(a + lines.row[able])), pa.array(lines.number[able].astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(_map64(words, before)), prefix]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "line", "n", "map", "prefix"])
+                columns = [pa.array(lines.key[able].astype(np.int64)), batch.column(0).take(pa.array(a + lines.row[able])), pa.array(lines.number[able].astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(_map64(words, before)), prefix, pa.array(single)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "line", "n", "map", "prefix", "single"])
+
+    return texts.mapInArrow(run, f"key long, id {id_type}, line int, n int, map long, prefix array<long>, single boolean")
 
-    found = texts.mapInArrow(run, f"key long, id {id_type}, line int, n int, map long, prefix array<long>")
-    # id and line decide the minimum of the structs; the rest follows from the key
-    first = found.groupBy("key").agg(F.min(F.struct("id", "line", "n", "map", "prefix")).alias("x"))
-    return first.select("key", "x.*")
 
+def _once(prefixes: DataFrame) -> DataFrame:
+    """Each set once, at its first place. id and line decide the minimum of the structs; the rest follows from the key."""
+    columns = ["id", "line", "n", "map", "prefix"]
+    first = prefixes.where("not single").groupBy("key").agg(F.min(F.struct(*columns)).alias("x")).select("key", "x.*")
+    return prefixes.where("single").select("key", *columns).unionByName(first)
 
-def _first_round(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """later, later_id, earlier, earlier_id: sets and those of their leaders that they may be similar to."""
-    size_class = F.floor(F.log("n") / F.log(F.lit(LEAD_RATIO))).cast("int")
-    rows = prefixes.select("key", "id", "line", "n", size_class.alias("class"), F.posexplode(F.slice("prefix", 1, LEAD_WORDS)).alias("place", "word"))
-    leaders = rows.groupBy("word", "class", F.pmod("key", F.lit(LEADERS)).alias("turn")).agg(F.min(F.struct("id", "line", "key", "n", "place")).alias("of"))
-    n, m = F.col("n"), F.col("of.n")
+
+def _first_round(sets: DataFrame, similarity: float) -> DataFrame:
+    """later, later_id, earlier, earlier_id, times: sets and those of their leaders that they may be similar to; times: words by which they meet."""
+    size_class = F.floor(F.log("n") / F.log(F.lit(LEAD_RATIO)))
+    words = sets.select("key", "id", "line", "n", F.posexplode(F.slice("prefix", 1, LEAD_WORDS)).alias("place", "word"))
+    rows = words.select(F.xxhash64("word", size_class).alias("bucket"), "key", "id", "line", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("at"))
+    leaders = rows.groupBy("bucket", F.pmod("key", F.lit(LEADERS)).alias("turn")).agg(F.min(F.struct("id", "line", "key", "at")).alias("of"))
+    size = lambda c: F.shiftright(c, 32)
+    behind = lambda c: size(c) - F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) - 1
+    n, m = size("at"), size("of.at")
     need = F.lit(similarity / (1 + similarity)) * (n + m) - F.lit(1e-9)
-    passes = (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - F.lit(1e-9)) & (F.lit(1) + F.least(n - F.col("place") - 1, m - F.col("of.place") - 1) >= need)
-    before = F.struct("of.id", "of.line") < F.struct("id", "line")
-    return rows.join(leaders, ["word", "class"]).where(passes & before).select(F.col("key").alias("later"), F.col("id").alias("later_id"), F.col("of.key").alias("earlier"), F.col("of.id").alias("earlier_id")).distinct()
+    passes = (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - F.lit(1e-9)) & (F.lit(1) + F.least(behind("at"), behind("of.at")) >= need)
+    before = (F.col("of.id") < F.col("id")) | ((F.col("of.id") == F.col("id")) & (F.col("of.line") < F.col("line")))
+    met = rows.join(leaders, "bucket").where(passes & before).select(F.col("key").alias("later"), F.col("id").alias("later_id"), F.col("of.key").alias("earlier"), F.col("of.id").alias("earlier_id"))
+    return met.groupBy(*met.columns).agg(F.count(F.lit(1)).alias("times"))
+
+
+def _open(sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """The sets with a column open: not settled. Only those that a map of the settled ones leaves in doubt are joined with them."""
+    bits = bitmap(settled.select(F.col("key").alias("h")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("open", pa.array(~marked(batch.column(0).to_numpy().view(_U), bits)))
+
+    seen = sets.mapInArrow(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in sets.schema)}, open boolean")
+    doubt = seen.where("not open").drop("open").join(settled.select("key", F.lit(False).alias("open")), "key", "left").withColumn("open", F.col("open").isNull())
+    return seen.where("open").unionByName(doubt)
 
 
-def _second_round(prefixes: DataFrame, settled: DataFrame, similarity: float) -> DataFrame:
-    """The same columns: sets that are not settled and all earlier sets that they may be similar to."""
-    known = prefixes.join(settled.select("key", F.lit(True).alias("done")), "key", "left")
-    rows = known.select(F.posexplode("prefix").alias("place", "word"), "key", "id", "line", "n", "map", F.col("done").isNull().alias("open"))
-    side = lambda s: rows.select("word", *[F.col(c).alias(f"{s}_{c}") for c in ("key", "id", "line", "n", "place", "map", "open")])
+def _second_round(sets: DataFrame, similarity: float) -> DataFrame:
+    """later, later_id, earlier, earlier_id: open sets and all earlier sets that they may be similar to."""
+    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("place").cast("long"), 1) + F.col("open").cast("long")
+    rows = sets.select(F.posexplode("prefix").alias("place", "word"), "key", "id", "line", "n", "map", "open").select("word", "key", "id", "line", "map", packed.alias("at"))
+    side = lambda s: rows.select("word", *[F.col(c).alias(f"{s}_{c}") for c in ("key", "id", "line", "map", "at")])
     t, eps = F.lit(similarity), F.lit(1e-9)
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
-    smaller = (b("n") < a("n")) | ((b("n") == a("n")) & (b("key") < a("key")))
-    need = F.lit(similarity / (1 + similarity)) * (a("n") + b("n")) - eps
+    n, m = (F.shiftright(x("at"), 32) for x in (a, b))
+    behind = [size - F.shiftright(x("at").bitwiseAND(F.lit(0xFFFFFFFF)), 1) - 1 for x, size in ((a, n), (b, m))]
+    is_open = [x("at").bitwiseAND(F.lit(1)) == 1 for x in (a, b)]
+    smaller = (m < n) | ((m == n) & (b("key") < a("key")))
+    need = F.lit(similarity / (1 + similarity)) * (n + m) - eps
     # a pair is found at the first word it shares: before that nothing, after it what is left of the shorter side
-    first_shared = F.lit(1) + F.least(a("n") - a("place") - 1, b("n") - b("place") - 1) >= need
-    full = [F.ceil(t * x("n") - eps) for x in (a, b)]
-    spare = [x("n") - f + 1 - F.bit_count(x("map")) for x, f in zip((a, b), full, strict=True)]
+    first_shared = F.lit(1) + F.least(*behind) >= need
+    full = [F.ceil(t * size - eps) for size in (n, m)]
+    spare = [size - f + 1 - F.bit_count(x("map")) for x, size, f in zip((a, b), (n, m), full, strict=True)]
     # words of one prefix that fall on one bit may all be shared
     in_prefixes = F.bit_count(a("map").bitwiseAND(b("map"))) + F.least(*spare) >= need - (F.greatest(*full) - 1)
     b_first = (b("id") < a("id")) | ((b("id") == a("id")) & (b("line") < a("line")))
     a_first = (a("id") < b("id")) | ((a("id") == b("id")) & (a("line") < b("line")))
-    wanted = (b_first & a("open")) | (a_first & b("open"))
-    pairs = side("a").join(side("b"), "word").where(smaller & (b("n") >= t * a("n") - eps) & first_shared & in_prefixes & wanted)
+    wanted = (b_first & is_open[0]) | (a_first & is_open[1])
+    pairs = side("a").join(side("b"), "word").where(smaller & (m >= t * n - eps) & first_shared & wanted & in_prefixes)
     pick = lambda c: (F.when(b_first, a(c)).otherwise(b(c)), F.when(b_first, b(c)).otherwise(a(c)))
     (later, earlier), (later_id, earlier_id) = pick("key"), pick("id")
     return pairs.select(later.alias("later"), later_id.alias("later_id"), earlier.alias("earlier"), earlier_id.alias("earlier_id")).distinct()
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (key >> _U(64 - BITMAP_BITS)).astype(np.int64)
-
-
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size in which every hash of keys(h) is marked; it spares others the way to the verification."""
-    slot = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    found = keys.select(F.shiftrightunsigned(slot, 6).alias("w"), bit.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 6), "<u8")
-    out[found["w"].to_numpy()] = found["bits"].to_numpy().view(_U)
-    return out
-
-
-def _marked(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    slot = _slot(key)
-    return bits[slot >> 6] >> (slot & 63).astype(_U) & _U(1) == 1
-
-
 def _sets(texts: DataFrame, levels: np.ndarray, pairs: DataFrame) -> DataFrame:
     """key, words of the distinct sets of ``pairs``; words: 6 bytes each, rarest first. Only texts that hold some of them are read into sets."""
     both = lambda c: pairs.select(F.explode(F.array(f"later{c}", f"earlier{c}")).alias("key"))
-    in_text = _bitmap(both("_id").select(F.xxhash64("key").alias("h")))
-    in_sets = _bitmap(both("").select(F.col("key").alias("h")))
+    in_text = bitmap(both("_id").select(F.xxhash64("key").alias("h")))
+    in_sets = bitmap(both("").select(F.col("key").alias("h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = levels.astype(_U)
         for batch in batches:
-            batch = batch.filter(pa.array(_marked(batch.column(1).to_numpy().view(_U), in_text)))
+            batch = batch.filter(pa.array(marked(batch.column(1).to_numpy().view(_U), in_text)))
             if not batch.num_rows:
                 continue
             data, offsets = text_buffer(batch.column(0))
             for a, b in chunks(batch, offsets):
                 lines = _Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], full)
-                at = np.flatnonzero(_marked(lines.key, in_sets))
+                at = np.flatnonzero(marked(lines.key, in_sets))
                 _, one = np.unique(lines.key[at], return_index=True)
                 at = at[one]
                 words = [pack(lines.codes[i : i + n]) for i, n in zip(lines.at[at].tolist(), lines.size[at].tolist(), strict=True)]
@@ -251,6 +259,19 @@ def _sets(texts: DataFrame, levels: np.ndarray, pairs: DataFrame) -> DataFrame:
     return texts.select("text", F.xxhash64("id").alias("h")).mapInArrow(run, "key long, words binary").groupBy("key").agg(F.first("words").alias("words"))
 
 
+def _similar(x: pa.Array, y: pa.Array, similarity: float) -> np.ndarray:
+    """Whether each pair of packed sets is at least so similar. All words of a batch are sorted at once, under the number of their pair."""
+    codes, sizes = [], []
+    for column in (x, y):
+        _, offsets, data = column.buffers()
+        ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        sizes.append(np.diff(ends) // 6)
+        codes.append(unpack(bytes(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]])) | np.repeat(np.arange(len(column), dtype=_U), sizes[-1]) << _U(48))
+    both = np.sort(np.concatenate(codes))
+    shared = np.bincount((both[1:][both[1:] == both[:-1]] >> _U(48)).astype(np.int64), minlength=len(x))
+    return shared >= similarity * (sizes[0] + sizes[1] - shared) - 1e-9
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """key: the later sets of the pairs that are at least so similar."""
     of = lambda side: sets.select(F.col("key").alias(side), F.col("words").alias(f"{side}_words"))
@@ -258,12 +279,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                x, y = unpack(x), unpack(y)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=["key"])
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(_similar(part.column(1).cast(pa.binary()), part.column(2).cast(pa.binary()), similarity)))], names=["key"])
 
     return both.mapInArrow(run, "key long").distinct()
 
@@ -278,20 +296,27 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     limit_batches(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     survey = save(_survey(texts), "lines-survey")
-    levels = _levels(survey.where("kind = 0"))
-    prefixes = save(_prefixes(texts, levels, similarity), "lines-prefixes")
-    leading = save(_first_round(prefixes, similarity), "lines-leading")
-    settled = save(_verify(leading, _sets(texts, levels, leading), similarity), "lines-settled")
-    pairs = save(_second_round(prefixes, settled, similarity), "lines-pairs")
-    discard(prefixes, leading)
-    more = save(_verify(pairs, _sets(texts, levels, pairs), similarity), "lines-more")
+    levels = _levels(survey)
+    lines = survey.where("counts is null").select("key", "id", "line")
+    repeated = save(lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key", "first"), "lines-repeated")
+    prefixes = save(_prefixes(texts, levels, bitmap(repeated.select(F.col("key").alias("h"))), similarity), "lines-prefixes")
+
+    leading = save(_first_round(_once(prefixes), similarity), "lines-leading")
+    sets = save(_sets(texts, levels, leading), "lines-led")
+    best = leading.groupBy("later").agg(F.max_by("earlier", F.struct("times", "earlier")).alias("earlier"))
+    settled = save(_verify(best, sets, similarity), "lines-settled")
+    rest = leading.select("later", "earlier").join(settled.select(F.col("key").alias("later")), "later", "left_anti")
+    settled = settled.unionByName(save(_verify(rest, sets, similarity), "lines-settled"))
+    discard(leading, sets)
+
+    pairs = save(_second_round(_open(_once(prefixes), settled), similarity), "lines-pairs")
+    discard(prefixes)
+    gone = settled.unionByName(save(_verify(pairs, _sets(texts, levels, pairs), similarity), "lines-more"))
     discard(pairs)
 
-    lines = survey.where("kind = 1").select("key", "id", "line")
-    first = lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("lines"))
-    gone = settled.unionByName(more).select("key", F.lit(True).alias("gone"))
-    repeated = first.join(gone, "key", "left").where("lines > 1 or gone").select("key", "first", "gone")
-    return lines.join(repeated, "key").where(F.col("gone") | (F.struct("id", "line") > F.col("first"))).select("id", "line").distinct()
+    told = gone.select("key", F.lit(None).cast(repeated.schema["first"].dataType).alias("first")).unionByName(repeated)
+    told = told.groupBy("key").agg(F.max(F.col("first").isNull()).alias("gone"), F.min("first").alias("first"))
+    return lines.join(told, "key").where(F.col("gone") | (F.struct("id", "line") > F.col("first"))).select("id", "line").distinct()
 
 
 def cleaned(text: Column, removed: Column) -> Column:
