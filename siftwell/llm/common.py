@@ -46,7 +46,7 @@ def discard(*tables: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
         path.getFileSystem(hadoop).delete(path, True)
     gc.collect()
-    jvm.System.gc()
+    SparkSession.getActiveSession()._jvm.System.gc()
 
 
 def limit_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -14,9 +14,8 @@ Sets too small to be similar to any but an equal one (three words and fewer at 0
 One earlier match settles a line, so the join runs twice. First every set meets only a few leaders, the earliest of those that
 share one of its rarest words: linear in the lines, and it settles nearly all members of large groups of near copies, most of them
 by the one leader that they meet in most words. Then all sets meet all earlier ones that share a word of the prefix; a pair whose
-later line is settled is not made. Each row of that join carries a 64-bit map of the words of its prefix, so most pairs that share
-one rare word by chance fall away where they meet (prefix overlap filter): all that two sets share lies in both prefixes or behind
-the prefix of one of them.
+later line is settled is not made. Each row of that join carries a 128-bit map of the words of its set, so most pairs that share
+one rare word by chance fall away where they meet.
 
 Sets are known by 64-bit keys and words by 40-bit hashes; "exact" is meant up to equal hashes of different words.
 """
@@ -24,6 +23,7 @@ Sets are known by 64-bit keys and words by 40-bit hashes; "exact" is meant up to
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +41,10 @@ COUNTERS = 1 << 19
 _WIDE = 16
 #: Bits of a word's hash.
 HASH_BITS = 40
-#: The first round: of so many of a set's rarest words, leaders for each word, and the size ratio within which they are leaders.
+#: The first round: of so many words of a set's prefix, leaders for each word, and the size ratio within which they are leaders.
 LEAD_WORDS, LEADERS, LEAD_RATIO = 4, 2, 1.25
-
+#: Parts of the words that the second round goes through one after the other, to use less disk at a time.
+PARTS = 2
 _U = np.uint64
 _MASK = _U((1 << HASH_BITS) - 1)
 
@@ -144,14 +145,23 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.repeat(starts - before, lengths) + np.arange(lengths.sum()), before
 
 
-def _map64(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each run of words a map of 64 bits, in which the bit of each word's hash is set."""
-    return np.bitwise_or.reduceat(_U(1) << (mix(words) & _U(63)), starts).astype(np.int64) if len(starts) else np.zeros(0, np.int64)
+def _map(words: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
+    """For each run of words a map of 128 bits, in which the bit of each word's hash is set, as two longs."""
+    if not len(starts):
+        return [pa.array([], pa.int64())] * 2
+    place = mix(words) & _U(127)
+    bit = _U(1) << (place & _U(63))
+    return [pa.array(np.bitwise_or.reduceat(np.where(place >> _U(6) == j, bit, _U(0)), starts).astype(np.int64)) for j in (0, 1)]
+
+
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values.astype(np.int64)))
 
 
 def _prefixes(texts: DataFrame, levels: np.ndarray, repeated: np.ndarray, similarity: float) -> DataFrame:
-    """key, id, line, n, map, prefix array<long> and single of each set that another can come near to, once for each chunk of texts
-    that holds it; single: it occurs nowhere else (``repeated``: the map of keys that may)."""
+    """key, id, line, n, map0, map1, prefix, lead and single of each set that another can come near to, once for each chunk of texts
+    that holds it. prefix: its rarest words; lead: those of them with the least hashes; single: it occurs nowhere else (``repeated``: the
+    map of keys that may)."""
     id_type = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,34 +175,45 @@ def _prefixes(texts: DataFrame, levels: np.ndarray, repeated: np.ndarray, simila
                 sizes, single = lines.size[able], ~marked(lines.key[able], repeated)
                 place, before = _ragged(lines.at[able], prefix_length(sizes, similarity))
                 words = lines.codes[place]
-                prefix = pa.ListArray.from_arrays(pa.array(np.append(before, len(words)).astype(np.int32)), pa.array(words.astype(np.int64)))
-                columns = [pa.array(lines.key[able].astype(np.int64)), batch.column(0).take(pa.array(a + lines.row[able])), pa.array(lines.number[able].astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(_map64(words, before)), prefix, pa.array(single)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "line", "n", "map", "prefix", "single"])
+                whole, starts = _ragged(lines.at[able], sizes)
+                owner = np.repeat(np.arange(len(able)), np.diff(np.append(before, len(words))))
+                by_hash = np.lexsort((words & _MASK, owner))  # a word's hash is random, its level is not
+                lead = by_hash[np.arange(len(words)) - before[owner] < LEAD_WORDS]
+                columns = [
+                    pa.array(lines.key[able].astype(np.int64)), batch.column(0).take(pa.array(a + lines.row[able])), pa.array(lines.number[able].astype(np.int32)), pa.array(sizes.astype(np.int32)),
+                    *_map(lines.codes[whole], starts), _lists(words, before), _lists(words[lead], np.searchsorted(owner[lead], np.arange(len(able)))), pa.array(single),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "line", "n", "map0", "map1", "prefix", "lead", "single"])
 
-    return texts.mapInArrow(run, f"key long, id {id_type}, line int, n int, map long, prefix array<long>, single boolean")
+    return texts.mapInArrow(run, f"key long, id {id_type}, line int, n int, map0 long, map1 long, prefix array<long>, lead array<long>, single boolean")
 
 
 def _once(prefixes: DataFrame) -> DataFrame:
     """Each set once, at its first place. id and line decide the minimum of the structs; the rest follows from the key."""
-    columns = ["id", "line", "n", "map", "prefix"]
+    columns = ["id", "line", "n", "map0", "map1", "prefix", "lead"]
     first = prefixes.where("not single").groupBy("key").agg(F.min(F.struct(*columns)).alias("x")).select("key", "x.*")
     return prefixes.where("single").select("key", *columns).unionByName(first)
 
 
+def _may_share(n: Column, m: Column, maps: list[tuple[Column, Column]], similarity: float) -> Column:
+    """Whether sets of n and m words may be so similar by their maps: words of one set that fall on one bit may all be shared."""
+    need = F.lit(similarity / (1 + similarity)) * (n + m) - F.lit(1e-9)
+    ones = [sum((F.bit_count(x[i]) for x in maps[1:]), F.bit_count(maps[0][i])) for i in (0, 1)]
+    both = sum((F.bit_count(x.bitwiseAND(y)) for x, y in maps[1:]), F.bit_count(maps[0][0].bitwiseAND(maps[0][1])))
+    return both + F.least(n - ones[0], m - ones[1]) >= need
+
+
 def _first_round(sets: DataFrame, similarity: float) -> DataFrame:
     """later, later_id, earlier, earlier_id, times: sets and those of their leaders that they may be similar to; times: words by which they meet."""
     size_class = F.floor(F.log("n") / F.log(F.lit(LEAD_RATIO)))
-    words = sets.select("key", "id", "line", "n", F.posexplode(F.slice("prefix", 1, LEAD_WORDS)).alias("place", "word"))
-    rows = words.select(F.xxhash64("word", size_class).alias("bucket"), "key", "id", "line", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("at"))
-    leaders = rows.groupBy("bucket", F.pmod("key", F.lit(LEADERS)).alias("turn")).agg(F.min(F.struct("id", "line", "key", "at")).alias("of"))
-    size = lambda c: F.shiftright(c, 32)
-    behind = lambda c: size(c) - F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) - 1
-    n, m = size("at"), size("of.at")
-    need = F.lit(similarity / (1 + similarity)) * (n + m) - F.lit(1e-9)
-    passes = (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - F.lit(1e-9)) & (F.lit(1) + F.least(behind("at"), behind("of.at")) >= need)
+    rows = sets.select(F.explode("lead").alias("word"), "key", "id", "line", size_class.alias("class")).select(F.xxhash64("word", "class").alias("bucket"), "key", "id", "line")
+    leaders = rows.groupBy("bucket", F.pmod("key", F.lit(LEADERS)).alias("turn")).agg(F.min(F.struct("id", "line", "key")).alias("of"))
     before = (F.col("of.id") < F.col("id")) | ((F.col("of.id") == F.col("id")) & (F.col("of.line") < F.col("line")))
-    met = rows.join(leaders, "bucket").where(passes & before).select(F.col("key").alias("later"), F.col("id").alias("later_id"), F.col("of.key").alias("earlier"), F.col("of.id").alias("earlier_id"))
-    return met.groupBy(*met.columns).agg(F.count(F.lit(1)).alias("times"))
+    met = rows.join(leaders, "bucket").where(before & (F.col("of.key") != F.col("key"))).select(F.col("key").alias("later"), F.col("id").alias("later_id"), F.col("of.key").alias("earlier"), F.col("of.id").alias("earlier_id"))
+    pairs = met.groupBy(*met.columns).agg(F.count(F.lit(1)).alias("times"))
+    of = lambda side: sets.select(F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "map0", "map1")])
+    may = _may_share(F.col("later_n"), F.col("earlier_n"), [(F.col(f"later_map{j}"), F.col(f"earlier_map{j}")) for j in (0, 1)], similarity)
+    return pairs.join(of("later"), "later").join(of("earlier"), "earlier").where(may).select(*pairs.columns)
 
 
 def _open(sets: DataFrame, settled: DataFrame) -> DataFrame:
@@ -208,28 +229,23 @@ def _open(sets: DataFrame, settled: DataFrame) -> DataFrame:
     return seen.where("open").unionByName(doubt)
 
 
-def _second_round(sets: DataFrame, similarity: float) -> DataFrame:
-    """later, later_id, earlier, earlier_id: open sets and all earlier sets that they may be similar to."""
+def _second_round(sets: DataFrame, part: int, similarity: float) -> DataFrame:
+    """later, later_id, earlier, earlier_id: open sets and all earlier sets that they may be similar to, as far as words of one part tell."""
     packed = F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("place").cast("long"), 1) + F.col("open").cast("long")
-    rows = sets.select(F.posexplode("prefix").alias("place", "word"), "key", "id", "line", "n", "map", "open").select("word", "key", "id", "line", "map", packed.alias("at"))
-    side = lambda s: rows.select("word", *[F.col(c).alias(f"{s}_{c}") for c in ("key", "id", "line", "map", "at")])
+    rows = sets.select(F.posexplode("prefix").alias("place", "word"), "key", "id", "line", "n", "map0", "map1", "open").where(F.pmod("word", F.lit(PARTS)) == part).select("word", "key", "id", "line", "map0", "map1", packed.alias("at"))
+    side = lambda s: rows.select("word", *[F.col(c).alias(f"{s}_{c}") for c in rows.columns[1:]])
     t, eps = F.lit(similarity), F.lit(1e-9)
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
     n, m = (F.shiftright(x("at"), 32) for x in (a, b))
     behind = [size - F.shiftright(x("at").bitwiseAND(F.lit(0xFFFFFFFF)), 1) - 1 for x, size in ((a, n), (b, m))]
     is_open = [x("at").bitwiseAND(F.lit(1)) == 1 for x in (a, b)]
     smaller = (m < n) | ((m == n) & (b("key") < a("key")))
-    need = F.lit(similarity / (1 + similarity)) * (n + m) - eps
     # a pair is found at the first word it shares: before that nothing, after it what is left of the shorter side
-    first_shared = F.lit(1) + F.least(*behind) >= need
-    full = [F.ceil(t * size - eps) for size in (n, m)]
-    spare = [size - f + 1 - F.bit_count(x("map")) for x, size, f in zip((a, b), (n, m), full, strict=True)]
-    # words of one prefix that fall on one bit may all be shared
-    in_prefixes = F.bit_count(a("map").bitwiseAND(b("map"))) + F.least(*spare) >= need - (F.greatest(*full) - 1)
+    first_shared = F.lit(1) + F.least(*behind) >= F.lit(similarity / (1 + similarity)) * (n + m) - eps
     b_first = (b("id") < a("id")) | ((b("id") == a("id")) & (b("line") < a("line")))
     a_first = (a("id") < b("id")) | ((a("id") == b("id")) & (a("line") < b("line")))
     wanted = (b_first & is_open[0]) | (a_first & is_open[1])
-    pairs = side("a").join(side("b"), "word").where(smaller & (m >= t * n - eps) & first_shared & wanted & in_prefixes)
+    pairs = side("a").join(side("b"), "word").where(smaller & (m >= t * n - eps) & first_shared & _may_share(n, m, [(a(f"map{j}"), b(f"map{j}")) for j in (0, 1)], similarity) & wanted)
     pick = lambda c: (F.when(b_first, a(c)).otherwise(b(c)), F.when(b_first, b(c)).otherwise(a(c)))
     (later, earlier), (later_id, earlier_id) = pick("key"), pick("id")
     return pairs.select(later.alias("later"), later_id.alias("later_id"), earlier.alias("earlier"), earlier_id.alias("earlier_id")).distinct()
@@ -309,10 +325,14 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     settled = settled.unionByName(save(_verify(rest, sets, similarity), "lines-settled"))
     discard(leading, sets)
 
-    pairs = save(_second_round(_open(_once(prefixes), settled), similarity), "lines-pairs")
+    parts = []
+    for part in range(PARTS):
+        parts.append(save(_second_round(_open(_once(prefixes), settled), part, similarity), "lines-pairs"))
+        discard()
     discard(prefixes)
+    pairs = reduce(DataFrame.unionByName, parts).distinct()
     gone = settled.unionByName(save(_verify(pairs, _sets(texts, levels, pairs), similarity), "lines-more"))
-    discard(pairs)
+    discard(*parts)
 
     told = gone.select("key", F.lit(None).cast(repeated.schema["first"].dataType).alias("first")).unionByName(repeated)
     told = told.groupBy("key").agg(F.max(F.col("first").isNull()).alias("gone"), F.min("first").alias("first"))
