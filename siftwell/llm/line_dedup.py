@@ -155,7 +155,8 @@ def _map(words: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
 
 
 def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values.astype(np.int64)))
+    """The words of each run as 32 bits of their hashes. Words that agree in these cost the join a needless pair, and no more."""
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values.astype(np.uint32).view(np.int32)))
 
 
 def _prefixes(texts: DataFrame, levels: np.ndarray, repeated: np.ndarray, similarity: float) -> DataFrame:
@@ -185,14 +186,15 @@ def _prefixes(texts: DataFrame, levels: np.ndarray, repeated: np.ndarray, simila
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "line", "n", "map0", "map1", "prefix", "lead", "single"])
 
-    return texts.mapInArrow(run, f"key long, id {id_type}, line int, n int, map0 long, map1 long, prefix array<long>, lead array<long>, single boolean")
+    return texts.mapInArrow(run, f"key long, id {id_type}, line int, n int, map0 long, map1 long, prefix array<int>, lead array<int>, single boolean")
 
 
-def _once(prefixes: DataFrame) -> DataFrame:
-    """Each set once, at its first place. id and line decide the minimum of the structs; the rest follows from the key."""
-    columns = ["id", "line", "n", "map0", "map1", "prefix", "lead"]
-    first = prefixes.where("not single").groupBy("key").agg(F.min(F.struct(*columns)).alias("x")).select("key", "x.*")
-    return prefixes.where("single").select("key", *columns).unionByName(first)
+_SET = ["key", "id", "line", "n", "map0", "map1", "prefix", "lead"]
+
+
+def _firsts(prefixes: DataFrame) -> DataFrame:
+    """Sets that may occur more than once, each once, at its first place. id and line decide the minimum; the rest follows from the key."""
+    return prefixes.where("not single").groupBy("key").agg(F.min(F.struct(*_SET[1:])).alias("x")).select("key", "x.*")
 
 
 def _may_share(n: Column, m: Column, maps: list[tuple[Column, Column]], similarity: float) -> Column:
@@ -317,7 +319,12 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = save(lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key", "first"), "lines-repeated")
     prefixes = save(_prefixes(texts, levels, bitmap(repeated.select(F.col("key").alias("h"))), similarity), "lines-prefixes")
 
-    leading = save(_first_round(_once(prefixes), similarity), "lines-leading")
+    firsts = save(_firsts(prefixes), "lines-firsts")
+    each = prefixes.where("single").select(*_SET).unionByName(firsts)
+    discard()
+
+    leading = save(_first_round(each, similarity), "lines-leading")
+    discard()
     sets = save(_sets(texts, levels, leading), "lines-led")
     best = leading.groupBy("later").agg(F.max_by("earlier", F.struct("times", "earlier")).alias("earlier"))
     settled = save(_verify(best, sets, similarity), "lines-settled")
@@ -327,9 +334,9 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     parts = []
     for part in range(PARTS):
-        parts.append(save(_second_round(_open(_once(prefixes), settled), part, similarity), "lines-pairs"))
+        parts.append(save(_second_round(_open(each, settled), part, similarity), "lines-pairs"))
         discard()
-    discard(prefixes)
+    discard(prefixes, firsts)
     pairs = reduce(DataFrame.unionByName, parts).distinct()
     gone = settled.unionByName(save(_verify(pairs, _sets(texts, levels, pairs), similarity), "lines-more"))
     discard(*parts)
