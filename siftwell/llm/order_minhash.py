@@ -6,9 +6,11 @@ when they share those shingles in that order. Texts that agree on a function are
 two shingle sequences then decides: with M shingles aligned in order, texts of n and m shingles are linked if
 M / (n + m - M) >= 0.8. Aligning so many leaves at most (n + m) / 9 shingles out, which bounds the band exactly.
 
-Equal texts are one text here, so copies are never compared. Of the leaders of its buckets, every text is first compared
-with the one it meets most often, which settles groups of near copies with one comparison for each member; texts in
-different groups that share a bucket are compared in pairs after that, and none are left out.
+Equal texts are one text here, so copies are never compared. One link settles where a text belongs, so texts that share a
+sketch are not all compared with each other. Of the leaders of its buckets, every text is first compared with the one it meets
+most often, which settles groups of near copies with one comparison for each member. Texts that still stand in other groups
+than texts of their buckets are then compared with a few more leaders of each bucket, and only what is left after that is
+compared in pairs; none are left out.
 """
 
 from __future__ import annotations
@@ -20,15 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, limit_batches, save, text_buffer
+from .common import chunks, discard, limit_batches, save, text_buffer
 from .components import components
 from .hashing import hash_words, mix
+from .marks import bitmap, marked
 
 WORDS = 5
 SIMILARITY = 0.8
 #: (sketch functions, shingles in each, least and greatest number of shingles of a text). A pair at similarity 0.8 has
 #: at most 1.25 times as many on one side, so it always meets in one family; it is missed by all its functions with a chance below 0.005.
 FAMILIES = ((50, 8, 24, None), (20, 3, 1, 40))
+#: Leaders of a bucket in the second round.
+LEADERS = 2
 
 
 def shingles(data: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -114,7 +119,7 @@ def aligned(x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY) -> flo
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, digest, text): doc_id, digest, n (labelled shingles) and keys array<long>."""
+    """rows(doc_id, text): doc_id, digest, n (labelled shingles) and keys array<long>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,12 +138,35 @@ def _sketches(rows: DataFrame) -> DataFrame:
                     keys.append(sketch(x).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "keys"])
 
-    return rows.select("doc_id", "digest", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, n int, keys array<long>")
+    return rows.select("doc_id", digest().alias("digest"), "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, n int, keys array<long>")
+
+
+def digest():
+    """16 bytes by which a text is known."""
+    return F.unhex(F.substring(F.sha2("text", 256), 1, 32))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+
+
+def _texts(rows: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """digest and text of the texts in pairs(a, b), each once; others do not leave their task."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    bits = bitmap(wanted.join(heads, "digest").select(F.xxhash64("rep").alias("h")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(marked(batch.column(1).to_numpy().view(np.uint64), bits)))
+            if batch.num_rows:
+                yield batch.select([0])
+
+    found = rows.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "text string").select(digest().alias("digest"), "text")
+    return found.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """pairs(a, b) of texts(doc_id, text): those linked, with their similarity."""
-    kind = texts.schema["doc_id"].dataType.simpleString()
+    """pairs(a, b) of texts(digest, text): those linked, with their similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
@@ -146,65 +174,90 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             (da, oa), (db, ob) = text_buffer(batch.column(2)), text_buffer(batch.column(3))
             ids, out = batch.column(0).to_pylist(), []
             for i in range(batch.num_rows):
-                text = da[oa[i] : oa[i + 1]]
-                if left is None or ids[i] != last or len(text) != len(before) or (text != before).any():  # else as in the row before
-                    last, before, left = ids[i], text, shingles(text)
+                if ids[i] != last:  # else as in the row before
+                    last, left = ids[i], shingles(da[oa[i] : oa[i + 1]])
                 out.append(aligned(left, shingles(db[ob[i] : ob[i + 1]]), similarity))
             score = np.array(out, dtype=np.float64)
             keep = pa.array(score >= similarity - 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(score).filter(keep)], names=["a", "b", "similarity"])
 
-    left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    left, right = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
+
+
+def _ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _apart(crowded: DataFrame, links: DataFrame) -> DataFrame:
+    """key, text, n, group: texts of the buckets that hold texts of several groups, as far as ``links`` tell."""
+    settled = components(links.select("a", "b"))
+    at = crowded.join(settled.withColumnRenamed("node", "text"), "text", "left").select("key", "text", "n", F.coalesce("component", "text").alias("group"))
+    mixed = at.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key")
+    return save(at.join(mixed, "key"), "omh-apart")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep, class_id for each row of ``docs``; links a, b, similarity between different texts, which span the classes).
+    """(doc_id, rep, class_id, digest, class_digest for each row of ``docs``; links a, b, similarity between different texts, which span the classes).
 
     rep: least id with the same text; class_id: least id of the class. Words are compared in lower case. Null and
     empty texts, and those of white space only, link with nothing but equal texts; a null equals an empty text. Rows
-    without id are left out. Rows that repeat an id are classed by their own texts; different texts with the same least
-    id count as one. An empty table gives empty tables.
+    without id are left out. Rows that share an id are classed by their own texts, which digest and class_digest name.
+    a and b are the least ids of two texts. An empty table gives empty tables.
     """
-    spark = docs.sparkSession
-    limit_batches(spark)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    sketched = save(_sketches(rows.withColumn("digest", F.unhex(F.sha2("text", 256)))), "omh-sketches")
-    reps = sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = save(sketched.select("doc_id", "digest").join(reps, "digest").select("doc_id", "rep", "digest"), "omh-member")
-    heads = member.where("doc_id = rep").select("doc_id", "digest")
-    bands = sketched.join(heads, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key"))
+    limit_batches(docs.sparkSession)
+    rows = _rows(docs, id_col, text_col)
+    sketched = save(_sketches(rows), "omh-sketches")
+    heads = save(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "omh-heads")
+    reps = heads.select("digest", "rep")
+    bands = heads.select(F.col("digest").alias("text"), "n", F.explode("keys").alias("key")).distinct()
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     crowded = save(bands.join(sizes, "key"), "omh-crowded")
 
     # A bucket's leader is the text that meets most others in all its buckets: of a group of near copies, the one they were
     # made from. Every other text is compared with the leader it meets in most buckets.
-    rank = crowded.groupBy("rep").agg(F.struct(-F.sum("size"), F.col("rep")).alias("rank"))
-    leaders = crowded.select("key", "rep").join(rank, "rep").groupBy("key").agg(F.min_by("rep", "rank").alias("leader"))
-    met = crowded.join(leaders, "key").where("rep <> leader").groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("times"))
-    first = met.groupBy("rep").agg(F.min_by("leader", F.struct(-F.col("times"), "leader")).alias("a")).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-    first = save(first, "omh-first")
-    links = save(_verify(first, rows, similarity), "omh-links1")
-    settled = components(links.select("a", "b"))
+    rank = crowded.groupBy("text").agg(F.struct(-F.sum("size"), F.col("text")).alias("rank"))
+    leaders = crowded.select("key", "text").join(rank, "text").groupBy("key").agg(F.min_by("text", "rank").alias("leader"))
+    met = crowded.join(leaders, "key").where("text <> leader").groupBy("leader", "text").agg(F.count(F.lit(1)).alias("times"))
+    first = save(met.groupBy("text").agg(F.min_by("leader", F.struct(-F.col("times"), "leader")).alias("leader")).select(*_ordered("leader", "text")).distinct(), "omh-first")
+    links = save(_verify(first, _texts(rows, reps, first), similarity), "omh-links1")
 
-    # texts of different groups that share a bucket
-    at = crowded.join(settled.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("group"))
-    mixed = at.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key")
-    at = save(at.join(mixed, "key"), "omh-mixed")
-    x, y = at.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga")), at.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("group").alias("gb"))
+    # texts of different groups that share a bucket: each with LEADERS texts of the bucket
     # n / m >= similarity is necessary; 1e-9 for rounding
-    near = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - F.lit(1e-9)
-    second = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & near).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = save(_verify(second, rows, similarity), "omh-links2")
-    links = links.unionByName(more)
+    near = F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - F.lit(1e-9)
+    apart = _apart(crowded, links)
+    several = apart.groupBy("key", F.pmod(F.hash("text"), F.lit(LEADERS)).alias("turn")).agg(F.min(F.struct(F.xxhash64("text", "key"), "text", "n", "group")).alias("of"))
+    several = several.select("key", F.col("of.text").alias("leader"), F.col("of.n").alias("m"), F.col("of.group").alias("other"))
+    second = apart.join(several, "key").where((F.col("group") != F.col("other")) & near).select(*_ordered("leader", "text")).distinct()
+    second = save(second.join(first, ["a", "b"], "left_anti"), "omh-second")
+    links = links.unionByName(save(_verify(second, _texts(rows, reps, second), similarity), "omh-links2"))
+    discard(apart)
+
+    # and what is left in pairs
+    apart = _apart(crowded, links)
+    other = apart.select("key", F.col("text").alias("leader"), F.col("n").alias("m"), F.col("group").alias("other"))
+    third = apart.join(other, "key").where((F.col("text") < F.col("leader")) & (F.col("group") != F.col("other")) & near).select(*_ordered("leader", "text")).distinct()
+    third = save(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "omh-third")
+    links = links.unionByName(save(_verify(third, _texts(rows, reps, third), similarity), "omh-links3"))
+    discard(crowded, apart)
+
     classes = components(links.select("a", "b"))
-    found = member.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("class_id"))
+    of_text = reps.join(classes.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("component", "digest").alias("class_digest"))
+    least = of_text.groupBy("class_digest").agg(F.min("rep").alias("class_id"))
+    of_text = of_text.join(least, "class_digest").select("digest", "rep", "class_id", "class_digest")
+    found = sketched.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "rep", "class_id", "digest", "class_digest")
+    named = lambda c: reps.select(F.col("digest").alias(c), F.col("rep").alias(f"{c}_id"))
+    links = links.join(named("a"), "a").join(named("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity")
     return found, links
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` with the least id of each class, one row for an id; rows without id stay."""
+    """One row of each class of ``docs``: that with the least id, and the least digest of its text if rows share that id; of rows that
+    agree in both, any one. Rows without id stay."""
     found, _ = near_duplicates(docs, id_col, text_col, similarity)
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    kept = found.groupBy("class_digest").agg(F.min(F.struct("doc_id", "digest")).alias("x")).select(F.col("x.doc_id").alias("kept_id"), F.col("x.digest").alias("kept_digest"))
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(id_col).alias("kept_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    at = ["kept_id", "kept_digest"]
+    one = named.where(F.col("kept_id").isNotNull()).withColumn("kept_digest", digest()).drop("text").join(kept, at, "left_semi").dropDuplicates(at)
+    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return one.select(*back).unionByName(docs.where(F.col(id_col).isNull()))
