@@ -35,17 +35,22 @@ def _powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, byte at which it starts) of UTF-8 bytes. A word's hash depends on its bytes alone."""
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, byte after the last) of each word of UTF-8 bytes. A word's hash depends on its bytes alone."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     up, down = _powers_upto(len(data) + 1)
     space = np.concatenate(([True], _SPACE[data], [True]))
     edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[0::2], edge[1::2]
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64)), starts
+    return mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64)), starts, ends
+
+
+def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word."""
+    return word_spans(data)[:2]
 
 
 def runs(sorted_values: np.ndarray) -> np.ndarray:

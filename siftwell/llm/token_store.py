@@ -2,13 +2,16 @@
 
 A block holds the ids of whole documents and is decoded by itself: every model starts anew in it, and a CRC-32 of its ids
 is checked on reading. Ids are predicted by three models: order 2 (what followed the last two ids), order 1 (what followed
-the last id) and order 0 (how often an id has occurred). Each candidate, first that of order 2, then that of order 1, is
-confirmed or refused by one binary decision whose probability mixes, in the logistic domain and with weights that adapt, the
-models' confidence in that candidate. An id that both miss is coded by order 0. All decisions go through one range coder.
+the last id) and order 0 (how often an id has occurred). Orders 2 and 1 each name one candidate and a confidence, a count that
+rises with every hit and falls with every miss; a candidate without any left is replaced. The chances of the two candidates mix, in
+the logistic domain and with weights that adapt, how often candidates of their confidences were right in this block; what
+the pair of confidences itself has shown then takes over from the mixture. The rest of the range belongs to order 0. So each id is
+one step of the range coder.
 
 A block is cut into lanes that are coded side by side, one id of each lane at a time, with models that all lanes of the block
-share; every lane has its own range coder. So each step is array arithmetic over all lanes of several blocks. All of
-it is integer arithmetic, so that blocks decode alike on every machine.
+share; every lane has its own range coder. So each step is array arithmetic over all lanes of several blocks, and mixing,
+which depends on the confidences only, is done once for a run of steps. All of it is integer arithmetic, so that blocks decode
+alike on every machine.
 """
 
 from __future__ import annotations
@@ -17,41 +20,52 @@ import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import limit_batches, save
+from .common import chunks, limit_batches, save, text_buffer
+from .hashing import word_spans
 
 #: Ids after which a block is closed (at the end of a document), and ids of a lane.
 BLOCK_IDS = 1 << 17
-LANE_IDS = 256
+LANE_IDS = 512
 #: Blocks coded together.
-TOGETHER = 8
+TOGETHER = 16
 END_ID = 1
-VERSION = 1
-
-_T1, _T2 = 1 << 15, 1 << 16
-_ORDER0_BITS = 24
-#: Steps after which order 0 takes up the ids seen since.
-_REFRESH = 48
+VERSION = 2
+
+#: Slots of order 1 and order 2 in a block, and confidences.
+_T1, _T2, _SURE = 1 << 16, 1 << 16, 16
+#: Bits of order 0's frequencies and of the chances of the candidates: together those of the coder's range.
+_ORDER0_BITS, _CHANCE_BITS = 22, 10
+_WHOLE = 1 << _CHANCE_BITS
+#: Logarithm of the cells in which a decoder looks up order 0.
+_CELLS = 13
+#: Steps after which the chances are mixed anew, and after which order 0 takes up the ids seen since.
+_MIX, _REFRESH = 16, 64
+#: Confidence after a hit and after a miss.
+_UP = np.minimum(np.arange(_SURE, dtype=np.int32) + 1, _SURE - 1)
+_DOWN = np.arange(_SURE, dtype=np.int32) // 2
 _U = np.uint64
+_BITS = _U(_ORDER0_BITS + _CHANCE_BITS)
 _TOP = _U(1) << _U(32)
 _LOW = _TOP - _U(1)
 
 
 @lru_cache(1)
 def _logistic() -> tuple[np.ndarray, np.ndarray]:
-    """stretch of a 12-bit probability, in units of 1/256, and squash of a stretch + 2047 as a 16-bit probability."""
+    """stretch of a 12-bit probability, in units of 1/256, and squash of a stretch + 2047 as a 12-bit probability."""
     stretch = np.array([round(256 * math.log((p + 0.5) / (4096 - p - 0.5))) for p in range(4096)], dtype=np.int64)
-    squash = np.array([min(65000, max(500, round(65536 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int64)
+    squash = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int64)
     return stretch, squash
 
 
 class _Coder:
-    """Range coders, one for each lane: 64-bit low and range, 32 bits at a time, no carry."""
+    """Range coders, one for each lane: 64-bit low and range, 32 bits at a time, no carry. Each step is for the first m lanes."""
 
     def __init__(self, lanes: int, words: list[np.ndarray] | None = None):
         self.low = np.zeros(lanes, _U)
@@ -61,171 +75,208 @@ class _Coder:
             self.out = np.zeros((lanes, 64), np.uint32)
             self.n = np.zeros(lanes, np.int64)
         else:
-            self.data = np.concatenate([*words, np.zeros(4, np.uint32)]).astype(_U)
-            size = np.array([len(w) for w in words], dtype=np.int64)
+            zeros = np.zeros(2, np.uint32)  # behind each lane's words
+            self.data = np.concatenate([x for w in words for x in (w, zeros)]).astype(_U)
+            size = np.array([len(w) + 2 for w in words], dtype=np.int64)
             self.at = np.cumsum(size) - size
+            self.end = np.cumsum(size) - 1
             self.code = self.data[self.at] << _U(32) | self.data[self.at + 1]
             self.at += 2
 
-    def _normalise(self, lane: np.ndarray, low: np.ndarray, span: np.ndarray) -> None:
-        tight = span < _TOP
-        move = tight | ((low ^ (low + span)) < _TOP)
-        if move.any():
-            at = np.flatnonzero(move)
-            who, l, r = lane[at], low[at], span[at]
+    def narrow(self, start: np.ndarray, size: np.ndarray, unit: np.ndarray | None = None) -> None:
+        """Narrow each lane to [start, start + size) of 2**_BITS."""
+        m = len(start)
+        low, span = self.low[:m], self.range[:m]
+        if unit is None:
+            unit = span >> _BITS
+        low += unit * start
+        np.multiply(unit, size, out=span)
+        at = np.flatnonzero((span < _TOP) | ((low ^ (low + span)) < _TOP))
+        if len(at):
+            lo, r = low[at], span[at]
             # a range that straddles a word's end and has become small is cut at that end
-            straddles = (l ^ (l + r)) >= _TOP
-            r = np.where(straddles, (_TOP - (l & _LOW)) & _LOW, r)
+            straddles = (lo ^ (lo + r)) >= _TOP
+            r = np.where(straddles, (_TOP - (lo & _LOW)) & _LOW, r)
             if self.decoding:
-                self.code[who] = self.code[who] << _U(32) | self.data[np.minimum(self.at[who], len(self.data) - 1)]
-                self.at[who] += 1
+                self.code[at] = self.code[at] << _U(32) | self.data[np.minimum(self.at[at], self.end[at])]
+                self.at[at] += 1
             else:
-                if self.n.max(initial=0) + 1 >= self.out.shape[1]:
+                n = self.n[at]
+                if n.max() + 1 >= self.out.shape[1]:
                     self.out = np.concatenate((self.out, np.zeros_like(self.out)), axis=1)
-                self.out[who, self.n[who]] = (l >> _U(32)).astype(np.uint32)
-                self.n[who] += 1
-            low[at], span[at] = l << _U(32), np.maximum(r, _U(1)) << _U(32)
-        self.low[lane], self.range[lane] = low, span
-
-    def code_range(self, lane: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int = 16) -> None:
-        """Narrow each lane to [start, start + size) of 2**bits."""
-        low, unit = self.low[lane], self.range[lane] >> _U(bits)
-        self._normalise(lane, low + unit * start, unit * size)
+                self.out[at, n] = (lo >> _U(32)).astype(np.uint32)
+                self.n[at] = n + 1
+            low[at], span[at] = lo << _U(32), np.maximum(r, _U(1)) << _U(32)
 
-    def below(self, lane: np.ndarray, split: np.ndarray) -> np.ndarray:
-        """Whether each lane's code lies below ``split`` of 2**16."""
-        return self.code[lane] - self.low[lane] < (self.range[lane] >> _U(16)) * split
-
-    def target(self, lane: np.ndarray, bits: int) -> np.ndarray:
-        return np.minimum((self.code[lane] - self.low[lane]) // (self.range[lane] >> _U(bits)), _U((1 << bits) - 1))
+    def target(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each lane's code in 2**_BITS, unit of its range)."""
+        unit = self.range[:m] >> _BITS
+        return np.minimum((self.code[:m] - self.low[:m]) // unit, (_U(1) << _BITS) - _U(1)), unit
 
     def finish(self) -> list[np.ndarray]:
-        last = np.stack(((self.low >> _U(32)), self.low & _LOW), axis=1).astype(np.uint32)
-        return [np.concatenate((self.out[i, : self.n[i]], last[i])) for i in range(len(self.n))]
+        # a range is 2**32 at least, so it holds a value that ends in 32 zeros
+        self.out[np.arange(len(self.n)), self.n] = ((self.low >> _U(32)) + ((self.low & _LOW) > 0)).astype(np.uint32)
+        return [x[: n + 1].copy() for x, n in zip(self.out, self.n.tolist(), strict=True)]
 
 
-class _Models:
-    """The models of several blocks, each on its own part of every table."""
+class _Order0:
+    """How often each id has occurred in each of several blocks, as whole frequencies that sum to 2**_ORDER0_BITS."""
 
-    def __init__(self, blocks: int, ids: int):
-        self.ids = ids
-        self.next1, self.next2 = np.zeros(blocks * _T1, np.int32), np.zeros(blocks * _T2, np.int32)
-        # confidence: 12-bit probability that the candidate is right
-        self.sure1, self.sure2 = np.full(blocks * _T1, 1024, np.int32), np.full(blocks * _T2, 1024, np.int32)
-        self.weights = np.full((blocks, 2, 4), 1 << 14, np.int64)  # 16-bit fraction; by block and decision: two models, bias, order 0
-        self.weights[:, :, 2:] = 0
+    def __init__(self, blocks: int, ids: int, searched: bool):
+        self.ids, self.searched = ids, searched
         self.count = np.ones((blocks, ids), np.int64)
-        self.pending: list[np.ndarray] = []
+        self.seen: list[np.ndarray] = []
+        self.start = np.zeros((blocks, ids + 1), np.int32)
+        self.block = np.arange(blocks, dtype=np.int32)[:, None] << _ORDER0_BITS + 1
         self._tabulate()
 
     def _tabulate(self) -> None:
-        """Order 0 as whole frequencies of 2**24: each id has one at least, the rest by count."""
+        """Each id has one at least, the rest by count."""
         whole = 1 << _ORDER0_BITS
         unit = ((whole - self.ids) << 16) // self.count.sum(axis=1, keepdims=True)
         size = 1 + (self.count * unit >> 16)
         size[:, 0] += whole - size.sum(axis=1)
-        self.size = size
-        self.start = np.zeros((len(size), self.ids + 1), np.int64)
         np.cumsum(size, axis=1, out=self.start[:, 1:])
-
-    def see(self, block: np.ndarray, ids: np.ndarray, step: int) -> None:
-        self.pending.append(block * self.ids + ids)
+        self.flat = self.start.ravel()
+        if self.searched:
+            self.ordered = (self.start + self.block).ravel()
+            cells = np.arange(1 << _CELLS, dtype=np.int32) << _ORDER0_BITS - _CELLS
+            self.cell = np.searchsorted(self.ordered, (self.block + cells).ravel(), side="right") - 1
+
+    def see(self, place: np.ndarray, step: int) -> None:
+        """place: block * (ids + 1) + id"""
+        self.seen.append(place)
         if step & (step - 1) == 0 or step % _REFRESH == 0:
-            seen = np.concatenate(self.pending)
-            self.count += 32 * np.bincount(seen, minlength=self.count.size).reshape(self.count.shape)
-            self.pending = []
+            times = np.bincount(np.concatenate(self.seen), minlength=self.start.size).reshape(self.start.shape)
+            self.count += 32 * times[:, :-1]
+            self.seen = []
             self._tabulate()
 
-
-def _slots(block: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h1 = (one * 40503 >> 3) & (_T1 - 1)
-    h2 = ((one * 2654435761 + two * 2246822519 & 0xFFFFFFFF) >> 9) & (_T2 - 1)
-    return block * _T1 + h1, block * _T2 + h2
+    def find(self, block: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Place of the id whose frequencies hold the target: from the first id of the target's cell a step or two, else by search."""
+        place = self.cell[(block << _CELLS) + (target >> _ORDER0_BITS - _CELLS)]
+        whole = (target + (block << _ORDER0_BITS + 1)).astype(np.int32)
+        place += self.ordered[place + 1] <= whole
+        far = np.flatnonzero(self.ordered[place + 1] <= whole)
+        place[far] = np.searchsorted(self.ordered, whole[far], side="right") - 1
+        return place
+
+
+class _Mixer:
+    """Chances of the two candidates for each block and pair of confidences: order 2's, and order 1's if that is not it."""
+
+    def __init__(self, blocks: int):
+        shape = (blocks, 2, _SURE, _SURE)  # block, whether the candidates agree, confidence of order 2, of order 1
+        self.times, self.hits = np.zeros(shape, np.int64), np.zeros((2, *shape), np.int64)  # hits: of order 2; of order 1
+        self.weights = np.full((2, blocks, 2, 3), 1 << 15, np.int64)  # 16-bit fractions; by decision, block, agreement: order 2, order 1, bias
+        self.weights[..., 2] = 0
+        self.seen: list[np.ndarray] = []
+        self._mix()
+
+    def _mix(self) -> None:
+        stretch, squash = _logistic()
+        times, chances = self.times, []
+        for d in (0, 1):
+            hits = self.hits[d]
+            inputs = []
+            for axis in (3, 2):  # what each model's confidence alone has shown
+                rate = (hits.sum(axis=(1, axis), keepdims=True) * 4096 + 205) // (times.sum(axis=(1, axis), keepdims=True) + 1)
+                inputs.append(stretch[np.minimum(4095, rate)])
+            w = self.weights[d][:, :, None, None, :]
+            x = np.clip((w[..., 0] * inputs[0] + w[..., 1] * inputs[1] + (w[..., 2] << 8)) >> 16, -2047, 2047)
+            p = squash[x + 2047]
+            chances.append((p * 32 + hits * 4096) // (32 + times))
+            # weights move against the mixture's error on what has been seen
+            error, n = hits * 4096 - times * p, np.maximum(1, times.sum(axis=(2, 3)))
+            for j, x in enumerate((*inputs, np.full((1, 1, 1, 1), 256))):
+                self.weights[d][..., j] += (error * x >> 4).sum(axis=(2, 3)) // n >> 2
+            np.clip(self.weights[d], -(1 << 17), 1 << 17, out=self.weights[d])
+            times = times - hits
+        two = np.clip(chances[0] >> 12 - _CHANCE_BITS, 1, _WHOLE - 64)
+        one = np.clip(chances[1] * (_WHOLE - two) >> 12, 1, _WHOLE - 32 - two)
+        one[:, 1] = 0  # the same candidate
+        self.packed = (two << 16 | one).ravel()
+
+    def see(self, context: np.ndarray, two: np.ndarray, one: np.ndarray, step: int) -> None:
+        self.seen.append(context * 3 + two + 2 * one)
+        if step <= _MIX or step % _MIX == 0:
+            found = np.bincount(np.concatenate(self.seen), minlength=3 * self.times.size).reshape(*self.times.shape, 3)
+            self.times += found.sum(axis=-1)
+            self.hits += np.moveaxis(found[..., 1:], -1, 0)
+            self.seen = []
+            self._mix()
+
+
+def _learn(table: np.ndarray, slot: np.ndarray, entry: np.ndarray, right: np.ndarray, ids: np.ndarray) -> None:
+    """A candidate gains or loses confidence; one without any is replaced by the id that came."""
+    sure = entry & _SURE - 1
+    table[slot] = np.where(right | (sure > 0), entry - sure + np.where(right, _UP[sure], _DOWN[sure]), ids * _SURE + 1)
 
 
 def _code(ids_of: list[np.ndarray] | None, counts: list[int], words: list[list[np.ndarray]] | None, vocabulary: int):
     """Encode (ids_of given) or decode (words given) some blocks of so many ids; the same steps either way."""
-    stretch, squash = _logistic()
     lanes = [max(1, -(-n // LANE_IDS)) for n in counts]
     block = np.repeat(np.arange(len(counts)), lanes)
     number = np.concatenate([np.arange(k) for k in lanes])
-    # lane i of a block has the ids i, i + lanes, i + 2 lanes ..: neighbours in the text are coded by neighbours in time
-    per = np.array(counts)[block]
-    length = np.minimum(LANE_IDS, np.maximum(0, per - number * LANE_IDS))
-    first = np.concatenate([np.arange(k) * LANE_IDS for k in lanes])
-    base = np.repeat(np.cumsum([0, *counts[:-1]]), lanes)
+    length = np.minimum(LANE_IDS, np.array(counts)[block] - number * LANE_IDS)
+    start = np.repeat(np.cumsum([0, *counts[:-1]]), lanes) + number * LANE_IDS
+    # the longest lanes first, so that the lanes of a step are the first ones
+    order = np.argsort(-length, kind="stable")
+    block, length, start = block[order], length[order], start[order]
+    place = np.minimum(start + np.arange(int(length.max(initial=0)))[:, None], max(0, sum(counts) - 1))
     flat = np.concatenate(ids_of).astype(np.int64) if ids_of is not None else np.zeros(sum(counts), np.int64)
-    coder = _Coder(len(block), None if words is None else [w for x in words for w in x])
-    models = _Models(len(counts), vocabulary)
+    at = flat[place] if words is None else np.zeros(place.shape, np.int64)
+    given = None if words is None else [w for x in words for w in x]
+    coder = _Coder(len(block), None if given is None else [given[i] for i in order])
+    zero, mixer = _Order0(len(counts), vocabulary, words is not None), _Mixer(len(counts))
+    next1, next2 = np.zeros(len(counts) * _T1, np.int32), np.zeros(len(counts) * _T2, np.int32)
+    base1, base2, base0, mixing = block * _T1, block * _T2, block * (vocabulary + 1), block * (2 * _SURE * _SURE)
     one, two = np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
-    every = np.arange(len(block))
-    for step in range(int(length.max(initial=0))):
-        live = every[length > step]
-        b, where = block[live], base[live] + first[live] + step
-        s1, s2 = _slots(b, one[live], two[live])
-        ids = flat[where] if words is None else np.full(len(live), -1, np.int64)
-        c2, c1 = models.next2[s2], models.next1[s1]
-        p2, p1 = models.sure2[s2], models.sure1[s1]
-        agree = c1 == c2
-        rare = np.minimum(4095, models.size[b, c2] >> 12)
-        zero = stretch[rare]
-        # first decision: is it the candidate of order 2? order 1 speaks for it if it has the same candidate
-        done = _decide(coder, models.weights[:, 0], live, b, ids, c2, stretch[p2], np.where(agree, stretch[p1], -stretch[p1] >> 2), zero, squash)
-        if words is not None:
-            ids[done] = c2[done]
-        left = np.flatnonzero(~done & ~agree)
-        if len(left):
-            zero1 = stretch[np.minimum(4095, models.size[b[left], c1[left]] >> 12)]
-            got = ids[left]
-            hit = _decide(coder, models.weights[:, 1], live[left], b[left], got, c1[left], stretch[p1[left]], -stretch[p2[left]] >> 2, zero1, squash)
-            if words is not None:
-                ids[left[hit]] = c1[left[hit]]
-            done[left[hit]] = True
-        left = np.flatnonzero(~done)
-        if len(left):
-            bl, ll = b[left], live[left]
-            if words is not None:
-                target = coder.target(ll, _ORDER0_BITS).astype(np.int64)
-                for k in np.unique(bl):
-                    mine = bl == k
-                    ids[left[mine]] = np.searchsorted(models.start[k], target[mine], side="right") - 1
-            coder.code_range(ll, models.start[bl, ids[left]].astype(_U), models.size[bl, ids[left]].astype(_U), _ORDER0_BITS)
-        flat[where] = ids
-        # learn: confidence moves towards what happened, a candidate that was wrong and is doubted is replaced
-        for nxt, sure, slot, cand, p in ((models.next2, models.sure2, s2, c2, p2), (models.next1, models.sure1, s1, c1, p1)):
-            right = ids == cand
-            moved = np.where(right, p + ((4095 - p) >> 2), p - (p >> 2))
-            swap = ~right & (moved < 1200)
-            sure[slot] = np.where(swap, 1400, moved)
-            nxt[slot] = np.where(swap, ids, cand)
-        models.see(b, ids, step + 1)
-        two[live], one[live] = one[live], ids
+    for step, ids in enumerate(at):
+        m = int(np.searchsorted(-length, -step, side="left"))
+        ids, one, two = ids[:m], one[:m], two[:m]
+        s1 = base1[:m] + (one & _T1 - 1)
+        s2 = base2[:m] + ((one * 40503 + two * 30011 >> 3) & _T2 - 1)
+        e1, e2 = next1[s1], next2[s2]
+        c1, c2 = e1 >> 4, e2 >> 4
+        context = mixing[:m] + ((c1 == c2) * _SURE + (e2 & _SURE - 1)) * _SURE + (e1 & _SURE - 1)
+        chances = mixer.packed[context]
+        p2, p1 = chances >> 16, chances & 0xFFFF
+        known = p2 + p1
+        rest = _WHOLE - known
+        if words is None:
+            hit2 = ids == c2
+            hit1 = (ids == c1) & ~hit2
+            where = base0[:m] + ids
+        else:
+            target, unit = coder.target(m)
+            target = target.astype(np.int64)
+            hit2 = target < p2 << _ORDER0_BITS
+            hit1 = (target < known << _ORDER0_BITS) & ~hit2
+            miss = np.flatnonzero(~(hit2 | hit1))
+            ids[:] = np.where(hit2, c2, c1)
+            where = base0[:m] + ids
+            where[miss] = zero.find(block[miss], (target[miss] - (known[miss] << _ORDER0_BITS)) // rest[miss])
+            ids[miss] = where[miss] - base0[miss]
+        first = zero.flat[where]
+        begin = np.where(hit2, 0, np.where(hit1, p2 << _ORDER0_BITS, (known << _ORDER0_BITS) + rest * first))
+        size = np.where(hit2, p2 << _ORDER0_BITS, np.where(hit1, p1 << _ORDER0_BITS, rest * (zero.flat[where + 1] - first)))
+        coder.narrow(begin.view(_U), size.view(_U), None if words is None else unit)
+        _learn(next1, s1, e1, ids == c1, ids)
+        _learn(next2, s2, e2, hit2, ids)
+        mixer.see(context, hit2, hit1, step + 1)
+        zero.see(where, step + 1)
+        one, two = ids, one
     if words is None:
-        found, at = coder.finish(), np.cumsum([0, *lanes])
-        return [found[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+        found, bounds = [None] * len(block), np.cumsum([0, *lanes])
+        for i, lane in zip(order.tolist(), coder.finish(), strict=True):
+            found[i] = lane
+        return [found[a:z] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+    inside = np.arange(len(at))[:, None] < length
+    flat[place[inside]] = at[inside]
     return np.split(flat, np.cumsum(counts)[:-1])
 
 
-def _decide(coder, weights, lane, block, ids, candidate, x1, x2, x0, squash) -> np.ndarray:
-    """Code whether the id is the candidate; the mixed probability's weights then move against its error."""
-    w = weights[block]
-    mixed = np.clip((w[:, 0] * x1 + w[:, 1] * x2 + (w[:, 2] << 8) + w[:, 3] * x0) >> 15, -2047, 2047)
-    p = squash[mixed + 2047]
-    if coder.decoding:
-        hit = coder.below(lane, p.astype(_U))
-    else:
-        hit = ids == candidate
-    coder.code_range(lane, np.where(hit, 0, p).astype(_U), np.where(hit, p, 65536 - p).astype(_U))
-    error = np.where(hit, 65536, 0) - p
-    n = np.maximum(1, np.bincount(block, minlength=len(weights)))
-    for j, x in enumerate((x1, x2, np.full(len(x1), 256, np.int64), x0)):
-        # sums of integers below 2**53 are exact as float64
-        push = np.bincount(block, weights=(error * x >> 10).astype(np.float64), minlength=len(weights)).astype(np.int64)
-        weights[:, j] += push // n
-    np.clip(weights, -(1 << 17), 1 << 17, out=weights)
-    return hit
-
-
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """A payload for each block: version, vocabulary, ids, CRC-32, words of each lane, the lanes."""
     out = []
@@ -258,30 +309,110 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: ASCII characters other than letters, digits, white space, controls and the apostrophe, which begins short forms.
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizers file that drops white space: no token crosses it, added ones included, so words are
-    encoded once and remembered (the first ``most`` that a worker meets)."""
+    """Ids of whole texts by a tokenizers file of lower-case words that drops white space. No token crosses white space, or stands on
+    both sides of a place where ASCII letters and marks meet (added tokens apart), so the pieces between are encoded once and
+    remembered by their 64-bit hashes, the first ``most`` that a worker meets."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 4_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[str, bytes] = {"": b""}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.vocabulary, bool)  # ids that end a pre-token
+        if suffix:
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.most = most
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        missing = list(set().union(*pieces) - self.memory.keys())
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        packed = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(missing, found, strict=True)}
-        if len(self.memory) + len(packed) <= self.most:
-            self.memory |= packed
-            packed = self.memory
-            look = packed.__getitem__
-        else:
-            memory = self.memory
-            look = lambda w: memory[w] if w in memory else packed[w]
-        return [np.frombuffer(b"".join(map(look, words)), dtype="<u4") for words in pieces]
+        # pieces known for long, and of late: sorted hashes, where the ids of each begin, how many they are
+        self.known = [(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.n = 0
+
+    def _plain(self, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of so many words of ASCII letters, between spaces, and how many each has). Each is one pre-token, so its end shows."""
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == words else self._one_by_one(text.split())
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), dtype="<u4"), np.array(list(map(len, found)), dtype=np.int64)
+
+    def _learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of new pieces of data begin and how many they are; hashes: ascending."""
+        letters = np.append(0, np.cumsum(_LETTER[data]))
+        plain = letters[ends] - letters[starts] == ends - starts
+        parts = []
+        for a in range(0, len(hashes), 2000):
+            some = a + np.flatnonzero(plain[a : a + 2000])
+            if len(some):
+                size = ends[some] - starts[some] + 1
+                before = np.cumsum(size) - size
+                spaced = np.append(data, np.uint8(32))[np.repeat(starts[some] - before, size) + np.arange(size.sum())]
+                spaced[before + size - 1] = 32
+                parts.append((some, *self._plain(spaced.tobytes().decode("ascii"), len(some))))
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            text = data.tobytes()
+            parts.append((rest, *self._one_by_one([text[i:j].decode() for i, j in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)])))
+        begin, sizes, n = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), self.n
+        for some, ids, size in parts:
+            while n + len(ids) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+            self.ids[n : n + len(ids)] = ids
+            begin[some], sizes[some] = n + np.cumsum(size) - size, size
+            n += len(ids)
+        if len(self.known[0][0]) + len(self.known[1][0]) + len(hashes) <= self.most:
+            self.n = n  # else the next new pieces overwrite these
+            late = [np.concatenate(x) for x in zip(self.known[1], (hashes, begin, sizes), strict=True)]
+            if 8 * len(late[0]) > len(self.known[0][0]):
+                late = [np.concatenate(x) for x in zip(self.known[0], late, strict=True)]
+                self.known[0] = self._sorted(late)
+                late = [x[:0] for x in late]
+            self.known[1] = self._sorted(late)
+        return begin, sizes
+
+    @staticmethod
+    def _sorted(columns: list[np.ndarray]) -> tuple:
+        order = np.argsort(columns[0])
+        return tuple(x[order] for x in columns)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text) of UTF-8 bytes."""
+        data, cut = np.insert(data, offsets[1:-1], 32), offsets[:-1] + np.arange(len(offsets) - 1)  # texts are set apart
+        if b"<|" not in data.tobytes():  # no added token
+            data = _LOWER[data]
+            letter, mark = _LETTER[data], _MARK[data]
+            meet = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+            cut = cut + np.searchsorted(meet, cut)
+            data = np.insert(data, meet, 32)
+        words, starts, ends = word_spans(data)
+        pieces, which = np.unique(words, return_inverse=True)
+        begin, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        new = np.ones(len(pieces), bool)
+        for hashes, at, n in self.known:
+            if len(hashes):
+                place = np.minimum(np.searchsorted(hashes, pieces), len(hashes) - 1)
+                hit = hashes[place] == pieces
+                begin[hit], sizes[hit] = at[place[hit]], n[place[hit]]
+                new &= ~hit
+        if new.any():
+            example = np.zeros(len(pieces), np.int64)
+            example[which] = np.arange(len(words))
+            example = example[new]
+            begin[new], sizes[new] = self._learn(data, pieces[new], starts[example], ends[example])
+        size = sizes[which]
+        upto = np.append(0, np.cumsum(size))
+        ids = self.ids[np.repeat(begin[which] - upto[:-1], size) + np.arange(upto[-1])]
+        return ids, np.diff(np.append(upto[np.searchsorted(starts, cut)], upto[-1]))
 
     @property
     def vocabulary(self) -> int:
@@ -300,7 +431,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     payload the coded ids. A null text is an empty one; null ids come first, rows of one id stay side by side. ``path``:
     a tokenizers file whose pre-tokens never hold white space, at the same place on every worker.
     """
-    limit_batches(docs.sparkSession, 64)
+    limit_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,11 +456,17 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         for batch in batches:
             id_type = batch.column(0).type
-            end = np.array([END_ID], dtype="<u4")
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            data, offsets = text_buffer(batch.column(1))
+            ids, sizes = [], []
+            for a, b in chunks(batch, offsets):
+                found = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                ids.append(np.insert(found[0], np.cumsum(found[1]), END_ID))
+                sizes.append(found[1] + 1)
+            sizes = np.concatenate(sizes)
+            for doc_id, tokens in zip(batch.column(0).to_pylist(), np.split(np.concatenate(ids), np.cumsum(sizes)[:-1]), strict=True):
                 blocks[-1][0].append(doc_id)
-                blocks[-1][1].append(np.append(ids, end))
-                open_ids += len(ids) + 1
+                blocks[-1][1].append(tokens)
+                open_ids += len(tokens)
                 if open_ids >= BLOCK_IDS:
                     if len(blocks) == TOGETHER:
                         yield flush()
@@ -364,7 +501,7 @@ def read_tokens(blocks: DataFrame, ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)][: 7 if ids else 6], names=names)
 
     names = ["part", "block", "doc_id", "within", "n_tokens", "ids_crc32", "ids"][: 7 if ids else 6]
-    limit_batches(blocks.sparkSession, 64)
+    limit_batches(blocks.sparkSession, TOGETHER)
     schema = f"part int, block int, doc_id {kind}, within long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
     decoded = blocks.select("part", "block", "doc_ids", "n_tokens", "payload").mapInArrow(run, schema)
     sizes = blocks.select("part", "block", "n_ids")
