@@ -11,12 +11,12 @@ lower case, where ASCII characters other than letters count as spaces. Predictio
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ MAX_LANGUAGES = 64
 #: A language shows in a text where false positives give as many different n-grams with a chance of exp(-SHOWS) at most.
 SHOWS = 4
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _CLASS = np.full(256, 32, dtype=np.uint8)
 _CLASS[128:] = np.arange(128, 256)
 _CLASS[97:123] = np.arange(97, 123)
@@ -151,6 +151,8 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 def identify(docs: DataFrame, filters: Filters | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, shown: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score (or ``keep``, lang_pred and score) of each row of ``docs``.
 
+    A letter is a character of Unicode's category L. Columns of ``keep`` called lang_pred, score or shown give way to the operator's own.
+
     Without ``filters`` they are learnt from the rows that are not held out. ``und`` with score 0 for a null text, one
     without a letter, and where no language was learnt. Otherwise a learnt language: the largest corrected count, ties
     to the one most frequent in training; score = that count by the sum of the two largest, 0 if there is no evidence. With ``shown`` also the column shown: whether
@@ -158,9 +160,13 @@ def identify(docs: DataFrame, filters: Filters | None = None, id_col: str = "doc
     """
     if filters is None:
         filters = fit(docs, ~held_out(F.col(id_col)), id_col, text_col, lang_col)
-    keep = keep if keep is not None else [id_col]
-    inner = docs.select(*[F.col(c) for c in keep], held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text_in"), F.lower(text_col).alias("text_low"))
-    outer = [f for f in inner.schema.fields if f.name not in ("text_in", "text_low")]
+    if keep is None:
+        first = [F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out")]
+    else:
+        first = [F.col(c) for c in keep if c not in ("lang_pred", "score", "shown")]
+    outer = docs.select(*first).schema.fields
+    # the last two by place: their names may be those of columns to be kept
+    inner = docs.select(*first, F.col(text_col).alias("text_in"), F.lower(text_col).alias("text_low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

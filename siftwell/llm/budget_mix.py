@@ -39,7 +39,7 @@ def weight_of(name: Column, weights: Mapping[str, float], default: float = 1.0)
 
 
 def order_key(seed: int, epoch: Column, key: Column) -> Column:
-    return F.md5(F.concat_ws("/", F.lit(str(seed)), epoch.cast("string"), F.coalesce(key.cast("string"), F.lit("null"))))
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), epoch.cast("string"), key))
 
 
 def split_budget(nodes: DataFrame, parent: Sequence[str]) -> DataFrame:
@@ -91,48 +91,56 @@ def mix(
 
     levels: name and expression of each level, root first; null names count as ``(none)``. The budget is that share of
     all tokens. A row without tokens costs nothing and is chosen with its place in the order; a leaf without any tokens gives
-    nothing. Rows with the same id sort by tokens; equal rows are all counted. An empty table gives no rows. Columns of ``docs`` named ``mix_..`` are not allowed.
+    nothing. Rows with the same id sort by tokens; equal rows are all counted. An empty table gives no rows.
+    Tokens are words between ASCII white space. Columns of ``docs`` that are called as the new ones give way to them.
     """
     names = [f"mix_{x}" for x in levels]
-    placed = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("(none)")).alias(n) for n, c in zip(names, levels.values(), strict=True)])
-    key = F.col(id_col)
-    bucket = lambda epoch: F.substring(order_key(seed, epoch, key), 1, BUCKET_DIGITS)
+    if "mix_copies" in names or len({n.lower() for n in names}) < len(names):
+        raise ValueError("levels need names that differ from each other and from 'copies'")
+    kept = [c for c in docs.columns if c.lower() not in {*map(str.lower, names), "mix_copies"}]
+    # the operator's own columns are named apart from those of docs, whatever these are called
+    placed = docs.select(
+        *[F.col(f"`{c}`").alias(f"mixing__c{i}") for i, c in enumerate(kept)], F.col(id_col).alias("mixing__id"), F.col(text_col).alias("mixing__text"), *[F.coalesce(c.cast("string"), F.lit("(none)")).alias(n) for n, c in zip(names, levels.values(), strict=True)]
+    )
+    id_col, text_col = "mixing__id", "mixing__text"
+    # rows without id are ordered by their text, so that they do not share one place
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null/"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
 
     sums = save(
-        placed.select(*names, key, word_count(F.col(text_col)).alias("mix_n"))
-        .select(*names, "mix_n", key, F.explode(F.array(*[F.lit(e) for e in range(max_epochs)])).alias("mix_epoch"))
-        .groupBy(*names, "mix_epoch", bucket(F.col("mix_epoch")).alias("mix_bucket"))
-        .agg(F.sum("mix_n").alias("tokens")),
+        placed.select(*names, key.alias("mixing__key"), word_count(F.col(text_col)).alias("mixing__n"))
+        .select(*names, "mixing__n", "mixing__key", F.explode(F.array(*[F.lit(e) for e in range(max_epochs)])).alias("mixing__epoch"))
+        .groupBy(*names, "mixing__epoch", F.substring(order_key(seed, F.col("mixing__epoch"), F.col("mixing__key")), 1, BUCKET_DIGITS).alias("mixing__bucket"))
+        .agg(F.sum("mixing__n").alias("tokens")),
         "mix-sums",
     )
-    leaves = sums.where("mix_epoch = 0").groupBy(*names).agg(F.sum("tokens").alias("tokens"))
+    leaves = sums.where("mixing__epoch = 0").groupBy(*names).agg(F.sum("tokens").alias("tokens"))
     plan = leaf_budgets(leaves, names, weights, F.floor(F.col("t") * F.lit(budget_share)), max_epochs)
     plan = plan.select(
         *names,
-        F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int").alias("mix_whole"),
-        F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias("mix_part"),
+        F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int").alias("mixing__whole"),
+        F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(0).alias("mixing__part"),
     )
-    running = Window.partitionBy(*names).orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*names).orderBy("mixing__bucket").rowsBetween(Window.unboundedPreceding, 0)
     # the boundary bucket of each leaf: the first whose running sum passes the part to be given
     edges = (
         sums.join(plan, names)
-        .where("mix_epoch = mix_whole")
+        .where("mixing__epoch = mixing__whole")
         .withColumn("upto", F.sum("tokens").over(running))
-        .where("upto > mix_part")
+        .where("upto > mixing__part")
         .groupBy(*names)
-        .agg(F.min(F.struct("mix_bucket", (F.col("upto") - F.col("tokens")).alias("before"))).alias("edge"))
+        .agg(F.min(F.struct("mixing__bucket", (F.col("upto") - F.col("tokens")).alias("before"))).alias("edge"))
     )
-    plan = save(plan.join(edges, names, "left").select(*names, "mix_whole", "mix_part", F.col("edge.mix_bucket").alias("mix_edge"), F.col("edge.before").alias("mix_before")), "mix-plan")
+    plan = save(plan.join(edges, names, "left").select(*names, "mixing__whole", "mixing__part", F.col("edge.mixing__bucket").alias("mixing__edge"), F.col("edge.before").alias("mixing__before")), "mix-plan")
     if plan.count() <= BROADCAST_LEAVES:
         plan = F.broadcast(plan)
-    at = placed.join(plan, names).withColumn("mix_key", order_key(seed, F.col("mix_whole"), key)).withColumn("mix_bucket", F.substring("mix_key", 1, BUCKET_DIGITS))
-    keep = [*docs.columns, *names, "mix_copies"]
-    clear = at.where("mix_edge is null or mix_bucket <> mix_edge").withColumn("mix_copies", F.col("mix_whole") + F.when(F.col("mix_edge").isNull() & (F.col("mix_part") == 0), 0).when(F.col("mix_edge").isNull() | (F.col("mix_bucket") < F.col("mix_edge")), 1).otherwise(0))
-    inside = Window.partitionBy(*names).orderBy("mix_key", "mix_n").rowsBetween(Window.unboundedPreceding, 0)
+    at = placed.join(plan, names).withColumn("mixing__key", order_key(seed, F.col("mixing__whole"), key)).withColumn("mixing__bucket", F.substring("mixing__key", 1, BUCKET_DIGITS))
+    keep = [*[F.col(f"mixing__c{i}").alias(c) for i, c in enumerate(kept)], *names, "mix_copies"]
+    clear = at.where("mixing__edge is null or mixing__bucket <> mixing__edge").withColumn("mix_copies", F.col("mixing__whole") + F.when(F.col("mixing__edge").isNull() & (F.col("mixing__part") == 0), 0).when(F.col("mixing__edge").isNull() | (F.col("mixing__bucket") < F.col("mixing__edge")), 1).otherwise(0))
+    inside = Window.partitionBy(*names).orderBy("mixing__key", "mixing__n").rowsBetween(Window.unboundedPreceding, 0)
     edge = (
-        at.where("mix_bucket = mix_edge")
-        .withColumn("mix_n", word_count(F.col(text_col)))
-        .withColumn("mix_upto", F.col("mix_before") + F.sum("mix_n").over(inside))
-        .withColumn("mix_copies", F.col("mix_whole") + F.when(F.col("mix_upto") <= F.col("mix_part"), 1).otherwise(0))
+        at.where("mixing__bucket = mixing__edge")
+        .withColumn("mixing__n", word_count(F.col(text_col)))
+        .withColumn("mixing__upto", F.col("mixing__before") + F.sum("mixing__n").over(inside))
+        .withColumn("mix_copies", F.col("mixing__whole") + F.when(F.col("mixing__upto") <= F.col("mixing__part"), 1).otherwise(0))
     )
     return clear.select(*keep).unionByName(edge.select(*keep)).where("mix_copies > 0")

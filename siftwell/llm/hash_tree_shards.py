@@ -5,7 +5,7 @@ from the document's id and the child's name, and the smallest draw wins. A child
 its name and its own weight, so a change of weight moves documents only into or out of the subtree that changed.
 
 Law ``key``: the id and the topology decide. A shard that is added as a region of its own changes no other weight, so
-documents move into it alone. Null ids hash as the text ``null``.
+documents move into it alone. Rows without id have a key made of their text, so they are spread like others.
 """
 
 from __future__ import annotations
@@ -27,9 +27,12 @@ class Leaf(NamedTuple):
     weight: float = 1.0
 
 
-def topology(shards: int, racks: int = 2, per_rack: int = 4) -> list[Leaf]:
-    """Regions of ``racks`` x ``per_rack`` shards of weight 1, filled in order of the shard number."""
-    return [Leaf(f"region{s // (racks * per_rack)}", f"rack{s // per_rack}", s) for s in range(shards)]
+def topology(shards: int, base: int = 16, racks: int = 2, per_rack: int = 4) -> list[Leaf]:
+    """A cluster built with ``base`` shards and grown since. The first ``base`` fill regions of ``racks`` x ``per_rack`` shards of
+    weight 1, in the order of the shard number; each shard added after is a region of its own. So one more shard, from any
+    count on, changes the weight of no subtree that was there, and rows move into it only."""
+    built = [Leaf(f"region{s // (racks * per_rack)}", f"rack{s // per_rack}", s) for s in range(min(shards, base))]
+    return built + [Leaf(f"added{s}", f"added{s}", s) for s in range(base, shards)]
 
 
 def _draw(key: Column, name: Column, weight: Column) -> Column:
@@ -56,7 +59,7 @@ def with_shard(df: DataFrame, key: Column, leaves: list[Leaf], out: str) -> Data
     racks = [(region, rack) for region in tree for rack in tree[region]]
     first = {region: next(i for i, (r, _) in enumerate(racks) if r == region) for region in tree}
     weigh = lambda found: sum(x.weight for x in found)
-    df = df.withColumn("tree_key", F.coalesce(key.cast("string"), F.lit("null")))
+    df = df.withColumn("tree_key", key.cast("string"))
     df = _level(df, "tree_region", None, [[(r, sum(map(weigh, tree[r].values()))) for r in tree]])
     df = _level(df, "tree_rack", "tree_region", [[(f"{r}/{k}", weigh(tree[r][k])) for k in tree[r]] for r in tree])
     df = df.withColumn("tree_rack", F.array(*[F.lit(first[r]) for r in tree])[F.col("tree_region")] + F.col("tree_rack"))
@@ -74,13 +77,14 @@ def assign_shards(docs: DataFrame, leaves: list[Leaf], grown: list[Leaf] | None
     gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    bucket = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(SLOT_BUCKETS)).cast("int")
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null/"), F.md5(text.cast("binary"))))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(SLOT_BUCKETS)).cast("int")
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+        F.col(id_col).alias("doc_id"), key.alias("key"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     ).withColumn("bucket", bucket)
-    rows = with_shard(rows, F.col("doc_id"), leaves, "shard")
-    rows = with_shard(rows, F.col("doc_id"), grown, "grown_shard") if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
-    runs = with_shard(docs.select(F.col(id_col).alias("doc_id")), F.col("doc_id"), leaves, "shard").groupBy("shard", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    rows = with_shard(rows, F.col("key"), leaves, "shard")
+    rows = with_shard(rows, F.col("key"), grown, "grown_shard") if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
+    runs = with_shard(docs.select(key.alias("key")), F.col("key"), leaves, "shard").groupBy("shard", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")

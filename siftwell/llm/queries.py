@@ -14,7 +14,7 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .order_minhash import near_duplicates
 
     found, _ = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return found.select("doc_id", "rep", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +52,6 @@ def op9_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-#: Length of op8's sections: a document's text in stretches of so many characters.
-SECTION_CHARS = 1000
-
-
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies; the same on every worker."""
     import public_tokenizers
@@ -91,11 +87,7 @@ def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .token_attribution import attribute_tokens
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    last = F.ceil(F.coalesce(F.length("text"), F.lit(0)) / SECTION_CHARS).cast("int")
-    numbers = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
-    sections = F.transform(numbers, lambda i: F.struct((i * SECTION_CHARS).alias("start"), ((i + 1) * SECTION_CHARS).alias("end")))
-    return attribute_tokens(docs.withColumn("sections", sections), tokenizer_path("byte_bpe_50k.tiktoken"), PATTERN, "sections")
+    return attribute_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), PATTERN)
 
 
 def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,20 @@ def line_bounds(text: str) -> np.ndarray:
     return np.append(0, after[after < len(codes)])
 
 
+def in_order(starts: list, ends: list, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sections clipped to the text, in order and apart, and the place of each in the list given. One with a null bound or that ends
+    before it starts is empty; of sections that overlap, the one that starts first has the characters of both, of equal starts the first given."""
+    s = np.array([length if x is None or y is None else x for x, y in zip(starts, ends, strict=True)], dtype=np.int64).clip(0, length)
+    e = np.array([length if x is None or y is None else y for x, y in zip(starts, ends, strict=True)], dtype=np.int64).clip(0, length)
+    order = np.argsort(s, kind="stable")
+    s, e = s[order], np.maximum(s, e)[order]
+    if len(s) > 1:
+        taken = np.maximum.accumulate(e)
+        s[1:] = np.maximum(s[1:], taken[:-1])
+        e = np.maximum(s, e)
+    return s, e, order
+
+
 def allocate(first: np.ndarray, past: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int, int]:
     """(tokens of each section, tokens outside all, tokens that cross a boundary). Sections are in order and apart."""
     cuts = np.unique(np.concatenate((starts, ends)))  # pieces between cuts are wholly in one section or outside
@@ -71,9 +85,9 @@ def allocate(first: np.ndarray, past: np.ndarray, starts: np.ndarray, ends: np.n
 def attribute_tokens(docs: DataFrame, path: str, pattern: str, sections_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_sections, n_crossing, n_outside, section_tokens array<int>.
 
-    sections_col: array<struct<start int, end int>> of character ranges, in order and apart (clipped to the text); without
-    it, the lines. A null or empty text has no tokens and no lines; given sections then count 0 each. A null array is
-    an empty one. ``path`` and ``pattern``: rank file, at the same place on every worker, and pre-token pattern.
+    sections_col: array<struct<start int, end int>> of character ranges, clipped to the text; without it, the lines. Those with a
+    null bound or without characters count 0; characters of two sections belong to the one that starts first (see ``in_order``). A
+    null or empty text has no tokens and no lines; given sections then count 0 each. A null array is an empty one. ``path`` and ``pattern``: rank file, at the same place on every worker, and pre-token pattern.
     """
     limit_batches(docs.sparkSession)
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
@@ -90,10 +104,15 @@ def attribute_tokens(docs: DataFrame, path: str, pattern: str, sections_col: str
                 if given is None:
                     starts = line_bounds(text)
                     ends = np.append(starts[1:], len(text)) if len(starts) else starts
+                    order = None
                 else:
                     s, e = next(given)
-                    starts, ends = (np.clip(np.array(x or [], dtype=np.int64), 0, len(text)) for x in (s, e))
+                    starts, ends, order = in_order(s or [], e or [], len(text))
                 counts, outside, crossing = allocate(first, past, starts, ends)
+                if order is not None:
+                    given_order = np.zeros_like(counts)
+                    given_order[order] = counts
+                    counts = given_order
                 for column, value in zip(out, (len(ids), len(starts), crossing, outside, counts), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in out[:4]], pa.array(out[4], pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "n_sections", "n_crossing", "n_outside", "section_tokens"])
