@@ -107,6 +107,24 @@ def test_a_large_group_of_near_copies_stays_one_class(spark):
     assert {r.class_id for r in found.collect()} == {0}
 
 
+def test_rows_of_one_id_are_classed_by_their_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, 1), (1, "something else entirely", 2), (2, text + " end", 3), (2, "a third text stands here", 4), (None, text, 5), (3, " ".join(f"v{i}" for i in range(40_000)), 6), (4, " ".join(f"v{i}" for i in range(10, 40_010)), 7)], "doc_id long, text string, digest int")
+    found = {(r.doc_id, r.class_id) for r in order_minhash.near_duplicates(docs)[0].collect()}
+    assert found == {(1, 1), (2, 1), (2, 2), (3, 3), (4, 3)}
+    assert sorted(r.digest for r in order_minhash.keep_one(docs).collect()) == [1, 2, 4, 5, 6]
+
+
+def test_groups_that_no_leader_joins(spark):
+    """A chain in which each text is near to its neighbours only, all in buckets of one another."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 200])) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sh = [order_minhash.shingles(np.frombuffer(t.encode(), np.uint8)) for _, t in rows]
+    edges = [(a, b) for a in range(50) for b in range(a + 1, 50) if order_minhash.aligned(sh[a], sh[b]) >= 0.8]
+    assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs)[0].collect()} == classes(edges, range(50))
+
+
 # -- lines
 
 
@@ -156,6 +174,18 @@ def test_short_lines_against_brute_force(spark):
     assert {r.doc_id: r.removed for r in line_dedup.dedup_lines(few).collect()} == {1: [], 2: [0]}
 
 
+def test_lines_with_clashing_columns_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "a b c d e\nx y z", 7, 8, 9, "q"), (1, "x y z\nnew words here", 7, 8, 9, "q"), (2, "a b c d e f", 7, 8, 9, "q"), (None, "a b c d e", 7, 8, 9, "q")], "doc_id long, text string, removed int, n_lines int, n_removed int, removed_id string")
+    out = line_dedup.dedup_lines(docs)
+    rows = out.collect()
+    assert out.columns == ["doc_id", "text", "removed_id", "n_lines", "n_removed", "removed"] and len(rows) == 4
+    got = {(r.doc_id, r.text) for r in rows}
+    # line 1 of document 1 repeats line 0 of its other row; both rows lose what either loses
+    assert got == {(1, "a b c d e"), (1, "x y z"), (2, ""), (None, "a b c d e")}
+    long = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(50_000))), (2, " ".join(f"w{i}" for i in range(100, 50_050)))], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.dedup_lines(long).collect()} == {1: [], 2: [0]}
+
+
 def test_lines_of_odd_rows(odd_docs, no_docs):
     out = {r.doc_id: r for r in line_dedup.dedup_lines(odd_docs).collect()}
     assert out[1].removed == [] and out[2].removed == [0] and out[2].text == "" and out[3].removed == [0]
@@ -201,6 +231,32 @@ def test_vector_links_against_brute_force(vectors):
     assert got == {i: (n[i], group[i], group[i] == i) for i, _, _ in rows} and len(edges) > 40
 
 
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.8, 0.92])
+def test_links_with_a_common_direction(spark, common):
+    """Vectors that share a direction, in clusters and apart: no link is lost where centring widens the angles."""
+    rng = np.random.default_rng(9)
+    axis = np.eye(32)[0]
+    base = rng.standard_normal((60, 32))
+    x = np.concatenate([base + 0.35 * rng.standard_normal((60, 32)) for _ in range(5)] + [rng.standard_normal((500, 32))])
+    x -= np.outer(x @ axis, axis)
+    x = np.sqrt(common) * axis + np.sqrt(1 - common) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in itq_neardup.near_vectors(df).collect()}
+    links, found = near.sum(), sum(got.values())
+    assert found <= links and found >= 0.99 * links > 0
+    assert (itq_neardup.plan(u, 800, 0.93)[1] == 0) == (common > 0.7)  # beyond that, all are compared, and none is lost
+    assert common < 0.7 or found == links
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.01, 1.0], 0), (None, [1.0, 0.0], 0)]
+    got = sorted(map(tuple, itq_neardup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    assert got == [(1, 1, 1, True)] * 3 + [(2, 1, 1, False)]
+
+
 def test_no_vectors(spark, vectors):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert itq_neardup.near_vectors(none).count() == 0

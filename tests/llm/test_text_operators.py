@@ -48,6 +48,19 @@ def test_shards_follow_the_tree(spark):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
+@pytest.mark.parametrize("shards", [16, 17, 20])
+def test_one_more_shard_takes_rows_only_into_itself(spark, shards):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    rows = hash_tree_shards.assign_shards(docs, hash_tree_shards.topology(shards), hash_tree_shards.topology(shards + 1)).collect()
+    assert all(r.grown_shard in (r.shard, shards) for r in rows) and any(r.grown_shard == shards for r in rows)
+
+
+def test_rows_without_id_are_spread(spark):
+    docs = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    rows = hash_tree_shards.assign_shards(docs, hash_tree_shards.topology(16)).collect()
+    assert len({r.shard for r in rows}) == 16 and len({(r.shard, r.slot) for r in rows}) == 400
+
+
 def test_a_weight_moves_rows_of_its_subtree_only(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     leaves = hash_tree_shards.topology(16)
@@ -93,6 +106,23 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
     assert budget_mix.mix(no_docs, levels, [{}]).count() == 0
 
 
+def test_mix_of_clashing_names(spark):
+    names = ["n", "key", "bucket", "epoch", "copies_", "whole", "part", "edge", "before", "upto"]
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 3}", i) for i in range(30)], "doc_id long, text string, mix_n string, mixing__n long")
+    for name in names:
+        out = budget_mix.mix(docs, {name: F.col("mix_n")}, [{}], 0.5, 2)
+        rows = out.collect()
+        assert rows and set(out.columns) == {"doc_id", "text", "mix_n", "mixing__n", f"mix_{name}", "mix_copies"} and all(r.mixing__n == r.doc_id for r in rows)
+    with pytest.raises(ValueError):
+        budget_mix.mix(docs, {"copies": F.col("mix_n")}, [{}])
+
+
+def test_mix_of_rows_without_id(spark):
+    docs = spark.createDataFrame([(None, f"w{i} x", "s") for i in range(40)], "doc_id long, text string, source string")
+    rows = budget_mix.mix(docs, {"source": F.col("source")}, [{}], 0.5, 1).collect()
+    assert len(rows) == 20
+
+
 # -- byte-level BPE through sentencepiece
 
 ODD = ["", " ", "it's  fine\n\n x", "'sup ''s", "naïve café ½ Ⅷ² 9", "\x1cA\x85B\xa0C", "a" * 3000, "中文 😀 ़", " end ", "tab\tx\n\ty"]
@@ -164,6 +194,34 @@ def test_attribution_of_odd_rows(odd_docs, no_docs):
     assert rows[1].n_outside >= 1 and sum(rows[1].section_tokens) + rows[1].n_outside == rows[1].n_tokens and rows[5].section_tokens == [0, 0]
 
 
+def test_sections_with_nulls_and_overlaps(spark):
+    from public_tokenizers import PATTERN
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta")], "doc_id long, text string")
+    sections = "array(named_struct('start', 11, 'end', 22), named_struct('start', cast(null as int), 'end', 5), named_struct('start', 0, 'end', 13), named_struct('start', 9, 'end', 3), named_struct('start', -4, 'end', 6))"
+    (row,) = token_attribution.attribute_tokens(docs.withColumn("s", F.expr(sections)), BPE, PATTERN, "s").collect()
+    assert row.section_tokens[1] == row.section_tokens[3] == row.section_tokens[4] == 0
+    assert row.section_tokens[2] > 0 and row.section_tokens[0] > 0 and sum(row.section_tokens) + row.n_outside == row.n_tokens
+
+
+def test_line_tokens_against_brute_force(spark, sf_dir):
+    """Whole documents: each token's characters by decoding, each character's line by counting breaks."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    enc = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks={e: i for i, e in enumerate(spm_bpe.codec(BPE).entries)}, special_tokens={})
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    for r in token_attribution.attribute_tokens(docs, BPE, PATTERN).join(docs, "doc_id").collect():
+        text = r.text or ""
+        ids, offsets = enc.encode_ordinary(text), enc.decode_with_offsets(enc.encode_ordinary(text))[1]
+        line = np.cumsum([0] + [c == "\n" for c in text])[:-1] if text else np.zeros(0, int)
+        want = Counter()
+        for a, raw in zip(offsets, map(enc.decode_single_token_bytes, ids), strict=True):
+            n = sum((b & 0xC0) != 0x80 for b in raw) or 1
+            want[Counter(line[a : a + n].tolist()).most_common(1)[0][0]] += 1
+        assert r.n_tokens == len(ids) and {i: n for i, n in enumerate(r.section_tokens) if n} == dict(want)
+
+
 def test_spans_hold_whole_characters():
     from public_tokenizers import PATTERN
 
@@ -219,6 +277,23 @@ def test_added_tokens_keep_their_ids(spark):
     assert np.frombuffer(rows[0].ids, "<u4").tolist() == [320, 49407, 321, 1]
 
 
+def test_token_files_of_other_rows(spark):
+    """Null and repeated ids, odd characters, and a document longer than a block."""
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(WORDS), np.random.default_rng(6)
+    letters = list("abcXYZ '.,!?0129<|>éßΣ日\u0301\n\t-_\"()\x0b\x1c\x85")
+    rows = [(int(i) if i else None, "".join(rng.choice(letters, rng.integers(0, 60)))) for i in rng.integers(0, 40, 200)] + [(77, " ".join(f"w{i}" for i in range(60_000)))]
+    found = token_store.read_tokens(token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), WORDS)).collect()
+    want = Counter((i, np.array([*tok.encode(t, add_special_tokens=False).ids, 1], dtype="<u4").tobytes()) for i, t in rows)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in found) == want
+    place = 0
+    for r in sorted(found, key=lambda r: r.start):
+        assert r.start == place
+        place += r.n_tokens
+    assert [r.doc_id for r in sorted(found, key=lambda r: r.start)] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+
+
 # -- language ID
 
 
@@ -238,6 +313,55 @@ def test_prediction_of_odd_rows(odd_docs, no_docs):
     assert none == {"und"}
 
 
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, "the house of the", "en") for i in range(8)] + [(100, "½ ² Ⅷ", None), (101, "x", None)], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in lang.identify(docs).collect()}
+    assert (rows[100].lang_pred, rows[100].score) == ("und", 0.0) and rows[101].lang_pred == "en"
+
+
+def test_kept_columns_may_be_called_as_its_own(spark):
+    docs = spark.createDataFrame([(1, "the house", "en", 5, "a", "b", 0.5)], "doc_id long, text string, lang string, held_out int, text_in string, text_low string, score double")
+    out = lang.identify(docs, keep=docs.columns)
+    (row,) = out.collect()
+    assert out.columns == ["doc_id", "text", "lang", "held_out", "text_in", "text_low", "lang_pred", "score"] and (row.held_out, row.text_in, row.text_low) == (5, "a", "b")
+    repeated = lang.identify(docs.unionByName(docs).withColumn("text", F.repeat(F.lit("the house of the "), 20_000)))
+    assert [r.lang_pred for r in repeated.collect()] == ["en", "en"]
+
+
+def brute_identify(texts, members, false_rate):
+    """Corrected counts by Python sets of n-grams, filters given as a test of membership."""
+    out = []
+    for text in texts:
+        folded = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in text.lower().encode())
+        grams = [folded[i : i + n] for n in lang.GRAMS for i in range(len(folded) - n + 1)]
+        grams = [g for g in grams if b"  " not in g]
+        found = [max(0.0, (sum(g in m for g in grams) - len(grams) * f) / (1 - f)) for m, f in zip(members, false_rate, strict=True)]
+        best = found.index(max(found))
+        two = sum(sorted(found)[-2:])
+        out.append((best, found[best] / two if two else 0.0))
+    return out
+
+
+def test_prediction_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").limit(80)
+    filters = lang.fit(docs, F.lit(True))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+
+    class Member:
+        def __init__(self, bit):
+            self.bit = bit
+
+        def __contains__(self, gram):
+            packed = np.array([int.from_bytes(bytes([len(gram)]) + gram, "big")], dtype=np.uint64)
+            return all(int(filters.masks[at[0]]) >> self.bit & 1 for at in lang.slots(packed))
+
+    want = brute_identify(texts.values(), [Member(i) for i in range(len(filters.languages))], filters.false_rate)
+    got = {r.doc_id: r for r in lang.identify(docs, filters).collect()}
+    for (i, t), (best, score) in zip(texts.items(), want, strict=True):
+        if any(c.isalpha() for c in t):
+            assert got[i].lang_pred == filters.languages[best] and got[i].score == pytest.approx(score)
+
+
 def test_filters_return_every_language_of_an_ngram():
     grams = [np.array([1, 2, 3], np.uint64), np.array([3, 4], np.uint64)]
     f = lang.build(["a", "b"], grams)
