@@ -28,11 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage is cut and lost executors cost nothing that was written."""
+def save(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
+    """Write a table to the shared folder and read it back: the lineage is cut and lost executors cost nothing that was written.
+    Without ``dictionary`` for columns of hashes, which hardly repeat."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftwell-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     saved = spark.read.schema(df.schema).parquet(path)
     saved.saved_at = path
     return saved

@@ -42,7 +42,7 @@ _WIDE = 16
 #: Bits of a word's hash.
 HASH_BITS = 40
 #: The first round: of so many words of a set's prefix, leaders for each word, and the size ratio within which they are leaders.
-LEAD_WORDS, LEADERS, LEAD_RATIO = 4, 2, 1.25
+LEAD_WORDS, LEADERS, LEAD_RATIO = 3, 2, 1.25
 #: Parts of the words that the second round goes through one after the other, to use less disk at a time.
 PARTS = 2
 _U = np.uint64
@@ -208,33 +208,44 @@ def _may_share(n: Column, m: Column, maps: list[tuple[Column, Column]], similari
 def _first_round(sets: DataFrame, similarity: float) -> DataFrame:
     """later, later_id, earlier, earlier_id, times: sets and those of their leaders that they may be similar to; times: words by which they meet."""
     size_class = F.floor(F.log("n") / F.log(F.lit(LEAD_RATIO)))
-    rows = sets.select(F.explode("lead").alias("word"), "key", "id", "line", size_class.alias("class")).select(F.xxhash64("word", "class").alias("bucket"), "key", "id", "line")
-    leaders = rows.groupBy("bucket", F.pmod("key", F.lit(LEADERS)).alias("turn")).agg(F.min(F.struct("id", "line", "key")).alias("of"))
+    folded = F.col("map0").bitwiseOR(F.col("map1"))  # the map of 64 bits
+    rows = sets.select(F.explode("lead").alias("word"), "key", "id", "line", "n", size_class.alias("class"), folded.alias("map")).select(F.xxhash64("word", "class").alias("bucket"), "key", "id", "line", "n", "map")
+    leaders = rows.groupBy("bucket", F.pmod("key", F.lit(LEADERS)).alias("turn")).agg(F.min(F.struct("id", "line", "key", "n", "map")).alias("of"))
     before = (F.col("of.id") < F.col("id")) | ((F.col("of.id") == F.col("id")) & (F.col("of.line") < F.col("line")))
-    met = rows.join(leaders, "bucket").where(before & (F.col("of.key") != F.col("key"))).select(F.col("key").alias("later"), F.col("id").alias("later_id"), F.col("of.key").alias("earlier"), F.col("of.id").alias("earlier_id"))
-    pairs = met.groupBy(*met.columns).agg(F.count(F.lit(1)).alias("times"))
-    of = lambda side: sets.select(F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "map0", "map1")])
-    may = _may_share(F.col("later_n"), F.col("earlier_n"), [(F.col(f"later_map{j}"), F.col(f"earlier_map{j}")) for j in (0, 1)], similarity)
-    return pairs.join(of("later"), "later").join(of("earlier"), "earlier").where(may).select(*pairs.columns)
+    may = _may_share(F.col("n"), F.col("of.n"), [(F.col("map"), F.col("of.map"))], similarity)
+    met = rows.join(leaders, "bucket").where(before & (F.col("of.key") != F.col("key")) & may)
+    met = met.select(F.col("key").alias("later"), F.col("id").alias("later_id"), F.col("of.key").alias("earlier"), F.col("of.id").alias("earlier_id"))
+    return met.groupBy(*met.columns).agg(F.count(F.lit(1)).alias("times"))
 
 
-def _open(sets: DataFrame, settled: DataFrame) -> DataFrame:
-    """The sets with a column open: not settled. Only those that a map of the settled ones leaves in doubt are joined with them."""
+def _open(sets: DataFrame, settled: DataFrame, part: int) -> DataFrame:
+    """The sets with a column open: not settled, and words array<long>: those of the prefix that are of a part, each with its place.
+    Only sets that a map of the settled ones leaves in doubt are joined with them."""
     bits = bitmap(settled.select(F.col("key").alias("h")))
+    kinds = {f.name: f.dataType.simpleString() for f in sets.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("open", pa.array(~marked(batch.column(0).to_numpy().view(_U), bits)))
-
-    seen = sets.mapInArrow(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in sets.schema)}, open boolean")
+            lists = batch.column(6)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            words = lists.values.to_numpy()[ends[0] : ends[-1]]
+            owner = np.repeat(np.arange(len(lists)), np.diff(ends))
+            place = np.arange(len(words)) - (ends[:-1] - ends[0])[owner]
+            mine = words % PARTS == part
+            starts = np.searchsorted(owner[mine], np.arange(len(lists) + 1)).astype(np.int32)
+            packed = pa.ListArray.from_arrays(pa.array(starts), pa.array(words[mine].astype(np.int64) << 32 | place[mine]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], packed, pa.array(~marked(batch.column(0).to_numpy().view(_U), bits))], names=names)
+
+    names = [*_SET[:6], "words", "open"]
+    seen = sets.select(*_SET[:7]).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in _SET[:6]) + ", words array<long>, open boolean")
     doubt = seen.where("not open").drop("open").join(settled.select("key", F.lit(False).alias("open")), "key", "left").withColumn("open", F.col("open").isNull())
     return seen.where("open").unionByName(doubt)
 
 
-def _second_round(sets: DataFrame, part: int, similarity: float) -> DataFrame:
-    """later, later_id, earlier, earlier_id: open sets and all earlier sets that they may be similar to, as far as words of one part tell."""
-    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("place").cast("long"), 1) + F.col("open").cast("long")
-    rows = sets.select(F.posexplode("prefix").alias("place", "word"), "key", "id", "line", "n", "map0", "map1", "open").where(F.pmod("word", F.lit(PARTS)) == part).select("word", "key", "id", "line", "map0", "map1", packed.alias("at"))
+def _second_round(sets: DataFrame, similarity: float) -> DataFrame:
+    """later, later_id, earlier, earlier_id: open sets and all earlier sets that they may be similar to, as far as ``words`` tell."""
+    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("w").bitwiseAND(F.lit(0xFFFFFFFF)), 1) + F.col("open").cast("long")
+    rows = sets.select(F.explode("words").alias("w"), "key", "id", "line", "n", "map0", "map1", "open").select(F.shiftright("w", 32).cast("int").alias("word"), "key", "id", "line", "map0", "map1", packed.alias("at"))
     side = lambda s: rows.select("word", *[F.col(c).alias(f"{s}_{c}") for c in rows.columns[1:]])
     t, eps = F.lit(similarity), F.lit(1e-9)
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
@@ -313,11 +324,11 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     limit_batches(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
-    survey = save(_survey(texts), "lines-survey")
+    survey = save(_survey(texts), "lines-survey", dictionary=False)
     levels = _levels(survey)
     lines = survey.where("counts is null").select("key", "id", "line")
     repeated = save(lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1").select("key", "first"), "lines-repeated")
-    prefixes = save(_prefixes(texts, levels, bitmap(repeated.select(F.col("key").alias("h"))), similarity), "lines-prefixes")
+    prefixes = save(_prefixes(texts, levels, bitmap(repeated.select(F.col("key").alias("h"))), similarity), "lines-prefixes", dictionary=False)
 
     firsts = save(_firsts(prefixes), "lines-firsts")
     each = prefixes.where("single").select(*_SET).unionByName(firsts)
@@ -334,7 +345,7 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     parts = []
     for part in range(PARTS):
-        parts.append(save(_second_round(_open(each, settled), part, similarity), "lines-pairs"))
+        parts.append(save(_second_round(_open(each, settled, part), similarity), "lines-pairs"))
         discard()
     discard(prefixes, firsts)
     pairs = reduce(DataFrame.unionByName, parts).distinct()
