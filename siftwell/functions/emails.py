@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
+from .html import unescape
 from .text import clean_address
 
 
@@ -41,8 +42,8 @@ def in_comments(html: Column) -> Column:
 
 
 def in_base64(html: Column) -> Column:
-    """Bad padding gives nothing; bytes that are no UTF-8 stand as U+FFFD, which no address holds."""
-    decoded = F.transform(F.regexp_extract_all(html, F.lit(C.BASE64), F.lit(1)), lambda x: F.make_valid_utf8(F.try_to_binary(x, F.lit("base64")).cast("string")))
+    """Bad padding gives nothing; bytes that are no UTF-8 are left out."""
+    decoded = F.transform(F.regexp_extract_all(html, F.lit(C.BASE64), F.lit(1)), lambda x: F.replace(F.make_valid_utf8(F.try_to_binary(x, F.lit("base64")).cast("string")), F.lit("\ufffd"), F.lit("")))
     return _each(F.filter(decoded, lambda x: x.isNotNull()), scan_outside_urls)
 
 
@@ -70,8 +71,8 @@ def cloudflare(html: Column) -> Column:
 
 
 def mailto(html: Column) -> Column:
-    """Targets of mailto links up to ``?``, not URL-decoded and not split."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(C.MAILTO), F.lit(1)), lambda x: F.lower(F.trim(F.substring_index(x, "?", 1))))
+    """Targets of mailto links up to ``?``, character references decoded, not URL-decoded and not split."""
+    found = F.transform(F.regexp_extract_all(html, F.lit(C.MAILTO), F.lit(1)), lambda x: F.lower(F.trim(F.substring_index(unescape(x), "?", 1))))
     return F.filter(found, lambda x: x.contains("@"))
 
 

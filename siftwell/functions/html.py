@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
 from .text import strip
 
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+#: Numbers that stand for characters of Windows-1252 where pages use them as references.
+_WINDOWS = {n: ord(bytes([n]).decode("cp1252")) for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+#: References by name (with a semicolon), or by number (with or without).
+REFERENCE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,8};)"
+
+
+def references() -> dict[str, int]:
+    """Code points of the named characters: those of HTML 4 in the standard library, and those that hide addresses."""
+    return name2codepoint | {"apos": 39, "commat": 64, "period": 46, "colon": 58, "sol": 47, "lowbar": 95, "plus": 43, "num": 35}
+
+
+def _map(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
+def _character(reference: Column) -> Column:
+    """The character of a reference; null if there is no such name."""
+    number = lambda rx: F.nullif(F.regexp_extract(reference, rx, 1), F.lit(""))
+    code = F.coalesce(
+        F.try_element_at(_map(references()), F.regexp_extract(reference, "^&([A-Za-z][A-Za-z0-9]*);$", 1)),
+        number("^&#([0-9]+)").cast("int"),
+        F.conv(number("^&#[xX]([0-9a-fA-F]+)"), 16, 10).cast("int"),
+    )
+    code = F.coalesce(F.try_element_at(_map(_WINDOWS), code), code)
+    code = F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), 0xFFFD).otherwise(code)
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
 def unescape(c: Column) -> Column:
-    """The commonest entities; ``&amp;`` last, so that nothing is unescaped twice."""
-    for entity, char in _ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Character references decoded, each once: those of ``&`` come last, and longer ones before shorter ones."""
+    found = F.transform(F.array_distinct(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))), lambda r: F.struct(r.alias("r"), _character(r).alias("c")))
+    placed = F.transform(F.filter(found, lambda x: x["c"].isNotNull()), lambda x: F.struct((x["c"] == "&").alias("last"), (-F.length(x["r"])).alias("size"), x["r"].alias("r"), x["c"].alias("c")))
+    decoded = F.aggregate(F.array_sort(placed), c, lambda text, x: F.replace(text, x["r"], x["c"]))
+    return F.when(c.contains("&"), decoded).otherwise(c)
 
 
 def title(html: Column) -> Column:
@@ -34,18 +62,28 @@ def visible_text(html: Column) -> Column:
 
 
 def section_text(html: Column, tag: str, most: int) -> Column:
-    """Text of the first such element, cut to so many characters."""
-    return F.left(_tags_off(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)), F.lit(most))
+    """Text of the first such element, cut to so many characters; without one, that of the first element whose class holds the
+    name, up to the first end tag of its kind."""
+    named = F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
+    opening = rf"""(?is)<([a-z][a-z0-9]*)\s[^>]*class\s*=\s*["'][^"'>]*{tag}[^>]*>"""
+    start, kind = F.regexp_extract(html, opening, 0), F.regexp_extract(html, opening, 1)
+    after = F.substring(html, F.length(F.split_part(html, start, F.lit(1))) + F.length(start) + 1, F.length(html))
+    classed = F.split_part(after, F.concat(F.lit("</"), kind), F.lit(1))
+    return F.left(_tags_off(F.when(named != "", named).when(start != "", classed).otherwise("")), F.lit(most))
 
 
 def meta(html: Column) -> Column:
-    """name or property -> content; needs a session whose map keys may repeat, so the last of equal names is kept here."""
+    """name or property -> content; the last of equal names counts. Values stand in quotes or bare."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
-    attribute = lambda t, n: F.regexp_extract(t, rf"""(?is)\s{n}\s*=\s*["']([^"']*)["']""", 1)
+
+    def attribute(t: Column, n: str) -> Column:
+        quoted, bare = (F.regexp_extract(t, rf"""(?is)\s{n}\s*=\s*{rx}""", 1) for rx in ("""["']([^"']*)["']""", """([^\\s"'>]+)"""))
+        return F.when(quoted != "", quoted).otherwise(bare)
+
     pairs = F.transform(tags, lambda t: F.struct(F.lower(F.coalesce(F.nullif(attribute(t, "name"), F.lit("")), attribute(t, "property"))).alias("k"), F.left(unescape(attribute(t, "content")), F.lit(1000)).alias("v")))
-    pairs = F.filter(pairs, lambda p: (p["k"] != "") & (p["v"] != ""))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    none = F.create_map().cast("map<string,string>")
+    # one pass: the tags are read once, not once for each of them
+    return F.aggregate(pairs, none, lambda m, p: F.when((p["k"] == "") | (p["v"] == ""), m).otherwise(F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"]))))
 
 
 def description(html: Column) -> Column:
@@ -74,14 +112,17 @@ def social_links(html: Column) -> Column:
 def technologies(html: Column, headers: Column | None = None) -> Column:
     """array<struct<name, category, detection>>: page rules in order, then header rules; the first of a name counts."""
     one = lambda n, c, d: F.struct(F.lit(n).alias("name"), F.lit(c).alias("category"), F.lit(d).alias("detection"))
-    hits = [F.when(html.rlike("(?i)" + rx), one(n, c, "html")) for n, c, rx in C.TECHNOLOGIES]
+    # one scan for all tells most pages apart, which hold none
+    any_rule = html.rlike("(?i)" + "|".join(f"(?:{rx})" for _, _, rx in C.TECHNOLOGIES))
+    hits = [F.when(any_rule & html.rlike("(?i)" + rx), one(n, c, "html")) for n, c, rx in C.TECHNOLOGIES]
     if headers is not None:
         low = F.transform_keys(headers, lambda k, _: F.lower(k))
         for n, c, header, part in C.HEADER_TECHNOLOGIES:
             here = F.map_contains_key(low, header) & (F.lower(low[header]).contains(part) if part else F.lit(True))
             hits.append(F.when(here, one(n, c, "header")))
-    found = F.array_compact(F.array(*hits))
-    return F.filter(found, lambda x, i: ~F.exists(F.slice(found, 1, i), lambda y: y["name"] == x["name"]))
+    # one pass over the hits, which are looked for once
+    nothing = F.array().cast("array<struct<name:string,category:string,detection:string>>")
+    return F.aggregate(F.array_compact(F.array(*hits)), nothing, lambda found, x: F.when(F.exists(found, lambda y: y["name"] == x["name"]), found).otherwise(F.concat(found, F.array(x))))
 
 
 PHONE = r"(?:\+?1[\s.\-]?)?(?:\(([2-9]\d{2})\)|([2-9]\d{2}))[\s.\-]?([2-9]\d{2})[\s.\-]?(\d{4})"

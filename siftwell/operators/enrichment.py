@@ -72,6 +72,26 @@ def first_map(rows: DataFrame, key: Sequence[str], order: Column, entry_key: str
     return best.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(entry_key).alias("k"), "v")))).alias(out))
 
 
+def usable(pages: DataFrame) -> DataFrame:
+    """Pages that were fetched and have content; only these are read any further."""
+    return pages.where(F.coalesce(F.col("success"), F.lit(False)) & (F.coalesce(F.col("html"), F.lit("")) != ""))
+
+
+def first_page_facts(pages: DataFrame, company: str, order: Column, facts: Column) -> DataFrame:
+    """company and facts: those of each company's first usable page, whatever later pages say."""
+    return usable(pages).groupBy(company).agg(F.min_by(facts, order).alias("facts"))
+
+
+def phones_of_company(stated: Column, found: Column) -> Column:
+    """Numbers that the first page's structured data states, as they are written there, then those found in texts, each once."""
+    return F.array_distinct(F.concat(F.coalesce(stated, F.array().cast("array<string>")), F.coalesce(found, F.array().cast("array<string>"))))
+
+
+def engines_of_run(companies: DataFrame, engines: str) -> DataFrame:
+    """One row: all engines that any company of a run used, sorted."""
+    return companies.select(F.explode(engines).alias("engine")).distinct().agg(F.array_sort(F.collect_list("engine")).alias("engines"))  # a handful of names
+
+
 def home_page(pages: DataFrame, company: str, url: Column, base: Column, order: Column) -> DataFrame:
     """The first page of each company whose URL is its base URL."""
     w = Window.partitionBy(company).orderBy(order)

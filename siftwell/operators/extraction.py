@@ -38,13 +38,18 @@ def raw_finds(html: Column) -> Column:
     return F.filter(F.concat(*[found(m, p, s, scan(html)) for p, s, m, scan in RAW_STRATEGIES]), lambda x: x["address"].rlike(r"@[^@]*\.[^@]*$"))
 
 
-def parsed_finds(html: Column, schema_addresses: Column | None = None) -> Column:
-    """By expressions over the HTML: mailto links, visible text, footer, header and, if given, addresses of JSON-LD."""
+def page_parts(html: Column) -> dict[str, Column]:
+    """What the first pass reads of a page, as columns of their own so that each is made once."""
+    return {"part_mailto": E.mailto(html), "part_text": H.visible_text(html), "part_footer": H.section_text(html, "footer", 5000), "part_header": H.section_text(html, "header", 2000)}
+
+
+def parsed_finds(schema_addresses: Column | None = None) -> Column:
+    """Over ``page_parts``: mailto links, visible text, footer, header and, if given, addresses of JSON-LD."""
     parts = [
-        found("mailto", 1, 1, E.mailto(html)),
-        found("html_regex", 1, 2, F.concat(E.mailto(html), E.scan_quoted(H.visible_text(html)))),
-        found("footer", 1, 3, E.scan(H.section_text(html, "footer", 5000))),
-        found("header", 1, 4, E.scan(H.section_text(html, "header", 2000))),
+        found("mailto", 1, 1, F.col("part_mailto")),
+        found("html_regex", 1, 2, F.concat(F.col("part_mailto"), E.scan_quoted(F.col("part_text")))),
+        found("footer", 1, 3, E.scan(F.col("part_footer"))),
+        found("header", 1, 4, E.scan(F.col("part_header"))),
     ]
     if schema_addresses is not None:
         parts.append(found("schema_ld", 1, 5, schema_addresses))
@@ -53,8 +58,9 @@ def parsed_finds(html: Column, schema_addresses: Column | None = None) -> Column
 
 def explode_finds(pages: DataFrame, html: Column, schema_addresses: Column | None = None) -> DataFrame:
     """pages plus a row for each find; pages whose HTML cannot hold an address are not searched."""
-    may = html.contains("@") | F.lower(html).rlike(r"cfemail|email-protection|\bat\b|\[at\]|\(at\)|\{at\}|＠") | html.rlike(C.BASE64)
-    return pages.where(may).withColumn("find", F.explode(F.concat(parsed_finds(html, schema_addresses), raw_finds(html)))).select(*pages.columns, "find.*")
+    may = html.contains("@") | html.rlike("(?i)&(?:#0*64\\b|#x0*40\\b|commat;)") | F.lower(html).rlike(r"cfemail|email-protection|\bat\b|\[at\]|\(at\)|\{at\}|＠") | html.rlike(C.BASE64)
+    parts = pages.where(may).withColumns(page_parts(html))
+    return parts.withColumn("find", F.explode(F.concat(parsed_finds(schema_addresses), raw_finds(html)))).select(*pages.columns, "find.*")
 
 
 def from_text(texts: DataFrame, text: Column, method: str = "pdf_text") -> DataFrame:

@@ -15,6 +15,11 @@ def insert_new(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], orde
     return first.join(stored.select(*keys), list(keys), "left_anti")
 
 
+def lookup(df: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of one key; none if there is no such key. The condition reaches the scan."""
+    return df.where(F.col(key) == F.lit(value))
+
+
 def keyed_update(stored: DataFrame, updates: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """``stored`` with the given columns replaced where an update has a value for them. One update for a key."""
     new = updates.select(F.col(key), *[F.col(c).alias(f"new_{c}") for c in columns])

@@ -17,7 +17,7 @@ from ..operators import extraction, scoring, store, validation
 from ..sources import feeds, imports
 from ..streaming import jobs as J
 from . import fixtures as D
-from .export import export_totals
+from .export import export_companies, export_company, export_totals
 
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -592,6 +592,188 @@ def token_bucket(spark, sf_dir):
     return J.token_bucket(e, "event_type", "s", 5.0, "event_id").select("event_id", "event_type", F.round("wait", 6).alias("wait"))
 
 
+# -- pages with structured data, references and sections by class; runs and queues ----------------------------------
+
+
+def rich_pages(spark: SparkSession) -> DataFrame:
+    return D.frame(spark, D.RICH_PAGES, "page_id long, domain string, url string, success boolean, html string")
+
+
+@_query
+def rich_finds(spark, sf_dir):
+    """All strategies, that over JSON-LD included, with the first of each pass of a page."""
+    from ..operators.parsing import parse_html
+
+    pages = rich_pages(spark).withColumn("parsed", parse_html(F.col("html")))
+    finds = extraction.explode_finds(pages, F.col("html"), F.col("parsed.schema_addresses"))
+    return extraction.first_on_page(finds, ["page_id"]).select("page_id", "pass_no", "address", "method", "hint")
+
+
+@_query
+def schema_emails(spark, sf_dir):
+    from ..operators.parsing import parse_html
+
+    return rich_pages(spark).select("page_id", listed(F.array_sort(F.array_distinct(parse_html(F.col("html"))["schema_addresses"]))).alias("found"))
+
+
+@_query
+def rich_sections(spark, sf_dir):
+    html = F.col("html")
+    footer = H.section_text(html, "footer", 5000)
+    return rich_pages(spark).select("page_id", H.title(html).alias("title"), footer.alias("footer"), H.section_text(html, "header", 2000).alias("header"), F.coalesce(H.copyright_year(footer).cast("string"), F.lit("")).alias("year"), H.description(html).alias("description"))
+
+
+@_query
+def open_graph(spark, sf_dir):
+    rich = rich_pages(spark).select("page_id", "html")
+    both = rich.unionByName(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return both.select("page_id", F.explode(H.open_graph(F.col("html"))).alias("name", "content"))
+
+
+@_query
+def company_metadata(spark, sf_dir):
+    """Name and description by the first usable page of each company."""
+    from ..operators.parsing import company_facts, parse_html
+
+    html = F.col("html")
+    pages = rich_pages(spark).withColumn("parsed", parse_html(html))
+    facts = company_facts(F.col("parsed.json_ld"), H.open_graph(html), H.meta(html), H.title(html), H.description(html))
+    found = N.first_page_facts(pages, "domain", F.col("page_id"), facts)
+    return found.select("domain", F.col("facts.name").alias("name"), F.col("facts.description").alias("description"), listed(F.col("facts.phone_numbers")).alias("phones"))
+
+
+@_query
+def company_phones(spark, sf_dir):
+    """Stated numbers of the first usable page, then those in the texts of all usable pages in order."""
+    from ..operators.parsing import company_facts, parse_html
+
+    html = F.col("html")
+    pages = N.usable(rich_pages(spark)).withColumn("parsed", parse_html(html))
+    facts = company_facts(F.col("parsed.json_ld"), H.open_graph(html), H.meta(html), H.title(html), H.description(html))
+    stated = N.first_page_facts(pages, "domain", F.col("page_id"), facts).select("domain", F.col("facts.phone_numbers").alias("stated"))
+    rows = pages.select("domain", "page_id", F.posexplode(H.phones(H.visible_text(html))).alias("at", "phone"))
+    found = N.union_in_order(rows, ["domain"], ["page_id", "at"], "phone", "found")
+    return stated.join(found, "domain", "left").select("domain", listed(N.phones_of_company(F.col("stated"), F.col("found"))).alias("phones"))
+
+
+@_query
+def site_technologies(spark, sf_dir):
+    """As tech_pages, with the fixture pages, whose sites use some."""
+    pages = fixture_pages(spark).select("page_id", "url", "html").unionByName(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = pages.select("page_id", U.host(F.col("url")).alias("host"), F.explode(H.technologies(F.col("html"))).alias("t"))
+    best = found.groupBy("host", F.col("t.name").alias("name")).agg(F.min(F.struct("page_id", "t.category", "t.detection")).alias("first"))
+    return best.select("host", "name", "first.page_id", "first.category", "first.detection")
+
+
+@_query
+def page_profiles(spark, sf_dir):
+    """Profile links of all pages and of the fixture's, merged by host, the first of each platform."""
+    pages = fixture_pages(spark).select("page_id", "url", "html").unionByName(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    rows = pages.select(U.host(F.col("url")).alias("host"), "page_id", F.explode(H.social_links(F.col("html"))).alias("platform", "link"))
+    return N.first_map(rows, ["host"], F.col("page_id"), "platform", "link", "links").select("host", F.explode("links").alias("platform", "link"))
+
+
+@_query
+def escalated_pages(spark, sf_dir):
+    """Pages that need a browser: those that gave no answer, or hardly any content."""
+    pages = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 5 != 0).alias("success"), F.when(F.col("page_id") % 7 != 0, 200).alias("status"), F.when(F.col("page_id") % 9 == 0, F.left("html", F.lit(300))).otherwise(F.col("html")).alias("html"))
+    return pages.select("page_id", U.escalate(F.col("success"), F.col("status"), F.col("html")).alias("escalate")).where("escalate")
+
+
+@_query
+def usable_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 3 != 0).alias("success"), F.when(F.col("page_id") % 5 != 0, F.col("html")).alias("html"))
+    return N.usable(pages.unionByName(rich_pages(spark).select("page_id", "success", "html"))).select("page_id", F.length("html").alias("chars"))
+
+
+@_query
+def feed_heads(spark, sf_dir):
+    return D.frame(spark, D.FEEDS, "id long, xml string").select("id", feeds.feed(F.col("xml")).alias("f")).select("id", "f.title", "f.description", "f.link")
+
+
+@_query
+def feed_links(spark, sf_dir):
+    both = rich_pages(spark).select("page_id", "html").unionByName(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return both.select("page_id", feeds.feed_url(F.col("html")).alias("feed")).where("feed is not null")
+
+
+@_query
+def crawled_issues(spark, sf_dir):
+    """Issues of pages that were fetched in all ways: not at all, with an error, slowly."""
+    pages = table(spark, sf_dir, "pages").withColumn("success", F.col("page_id") % 11 != 0).withColumn("status", F.when(F.col("page_id") % 7 == 0, 503).otherwise(200)).withColumn("ms", (F.col("page_id") % 40 * 260).cast("double"))
+    found = N.issue_list(F.col("success"), F.col("url"), F.col("status"), F.col("ms"), F.col("html"), H.section_text(F.col("html"), "footer", 5000), F.lit(True), 2026)
+    return pages.select("page_id", F.explode(found).alias("issue")).where("issue.code in ('unreachable', 'bad_status', 'slow_load', 'outdated_copyright')").select("page_id", "issue.code", "issue.text")
+
+
+@_query
+def export_filtered(spark, sf_dir):
+    """Companies with their addresses of enough confidence that are no duplicates, by the export operator."""
+    return _exported(spark, sf_dir, lambda c, e: export_companies(c, e, 60))
+
+
+@_query
+def export_one(spark, sf_dir):
+    return _exported(spark, sf_dir, lambda c, e: export_company(c, e, "7"))
+
+
+def _exported(spark: SparkSession, sf_dir: str, export) -> DataFrame:
+    companies = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
+    key = F.col("o_orderkey")
+    emails = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("company_id"), key.cast("string").alias("address"), (key % 101).cast("int").alias("confidence"), (key % 4 == 0).alias("is_duplicate"), F.lit("").alias("source"), F.lit("mailto").alias("method"),
+        F.lit("").alias("page"), F.col("o_orderstatus").alias("validation_status"), F.lit(True).alias("mx_valid"), F.lit(False).alias("is_disposable"), F.lit(False).alias("is_role_based"), F.lit(None).cast("timestamp").alias("discovered_at"),
+    )
+    return export(companies, emails).select("id", "name", listed(F.transform("emails", lambda e: F.concat_ws(":", e["confidence"].cast("string"), e["address"], e["validation_status"]))).alias("emails"))
+
+
+@_query
+def insert_two_keys(spark, sf_dir):
+    """Addresses that a company does not have yet: a key of two columns, the first of equal ones."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
+    return store.insert_new(li.where("l_orderkey % 3 = 0"), li, ["l_suppkey", "l_partkey"], ["l_orderkey", "l_linenumber"])
+
+
+@_query
+def engines_of_run(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("engines"))  # three names at most
+    return N.engines_of_run(li, "engines").select(listed(F.col("engines")).alias("engines"))
+
+
+@_query
+def company_lookup(spark, sf_dir):
+    return store.lookup(table(spark, sf_dir, "customer"), "c_custkey", 7).select("c_custkey", "c_name")
+
+
+@_query
+def iso_times(spark, sf_dir):
+    at = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", X.iso_timestamp(at).alias("iso"), X.file_stamp(at).alias("stamp"))
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("domain"), "o_orderdate", "o_orderkey", F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("day"), "o_orderstatus")
+
+
+@_query
+def claimed_jobs(spark, sf_dir):
+    """One job of a domain at a time; the others go back."""
+    mine, back = J.claim(_jobs(spark, sf_dir), "domain", ["day", "o_orderkey"])
+    return mine.select("domain", "o_orderkey", F.lit("claimed").alias("outcome")).unionByName(back.select("domain", "o_orderkey", F.lit("queued").alias("outcome")))
+
+
+@_query
+def not_recent_jobs(spark, sf_dir):
+    """Jobs whose domain was not done within 400 days; only finished ones count."""
+    jobs = _jobs(spark, sf_dir)
+    return J.not_recent(jobs.where("o_orderstatus <> 'F'"), jobs.where("o_orderstatus = 'F'"), "domain", "day", "day", 400).select("domain", "o_orderkey")
+
+
+@_query
+def run_progress(spark, sf_dir):
+    status = F.expr("case o_orderstatus when 'F' then 'done' when 'O' then 'queued' when 'P' then 'failed' end")
+    return J.progress(table(spark, sf_dir, "orders").select(status.alias("status")), "status")
+
+
 @_query
 def parsed_pages(spark, sf_dir):
     """Links of all pages, resolved against each page's URL."""

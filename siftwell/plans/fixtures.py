@@ -11,6 +11,15 @@ PAGES = [
     (4, 'empty.example.net', 'https://empty.example.net/', ''),
     (5, 'odd.example.net', 'https://odd.example.net/team', '<span data-cfemail="543"></span><span data-cfemail="5437312631"></span> plain text "quoted"@odd-names.com and a..b@odd-names.com and <x@odd-names.com>'),
 ]
+#: page_id, domain, url, fetched with success, html: references, structured data, classes that name sections, OpenGraph, feeds.
+RICH_PAGES = [
+    (1, 'acme.io', 'https://acme.io/', False, '<html><head><title>Not fetched</title></head></html>'),
+    (2, 'acme.io', 'https://acme.io/', True, '<html><head><title>Acme &mdash; Caf&eacute; &amp; more</title><meta property="og:site_name" content="Acme &amp; Co"><meta property="og:description" content="Good things"><meta name=keywords content=things><link rel="alternate" type="application/rss+xml" href="/feed.xml"><script type="application/ld+json">{"@type": "Organization", "name": "Acme Ltd", "email": "hello@acme.io", "telephone": "(212) 555-0100", "contactPoint": [{"email": "desk@acme.io"}, "mail@acme.io"], "founder": {"@type": "Person", "Email": "Ann Lee <ann@acme.io>"}}</script></head><body><a href="mailto:info&#64;acme.io">a</a><a href="mailto:sales&#x40;acme.io?subject=x">b</a><div class="site-header wide">Head &#38; top@acme.io</div><div class="site-footer">&copy; 2019 Acme, foot&commat;acme.io</div></body></html>'),
+    (3, 'acme.io', 'https://acme.io/contact', True, '<html><head><script type="application/ld+json">{"name": "No type", "contactPoint": {"email": "hidden@acme.io"}}</script><script type="application/ld+json">not json</script></head><body><FOOTER>Copyright 2012, late@acme.io</FOOTER></body></html>'),
+    (4, 'bakery.org', 'http://bakery.org/', True, ''),
+    (5, 'bakery.org', 'http://bakery.org/', True, '<html><head><title>Bakery</title><meta name="description" content="Bread &lt;daily&gt;"><link href="/atom" type="application/atom+xml" rel="alternate"></head><body>Call 212-555-0199 or write to bread@bakery.org</body></html>'),
+]
+FEEDS = [(1, '<rss><channel><title>News &amp; more</title><description><![CDATA[All of it]]></description><link>https://acme.io/news</link><item><title>First</title></item></channel></rss>'), (2, '<feed><title>Atom title</title><entry><title>E</title></entry></feed>'), (3, '<html></html>')]
 ADDRESSES = [" Info@Acme-Plumbing.com ", "bob.smith@acme-plumbing.com", "joe@mailinator.com", "x@example.com", "no-at-sign", "two@@signs.com", "a@b", "user@-bad.com", "sales@shop-front.de", "a/b@slash.io", "x" * 65 + "@long.com", "ok@sub.domain.co.uk", "", "noreply@unreachable.org", "refused@bounce.net", "ann@nomx.io"]
 MX = [("acme-plumbing.com", "mx1.acme-plumbing.com"), ("mailinator.com", "mx.mailinator.com"), ("shop-front.de", "mx.shop-front.de"), ("bounce.net", "mx.bounce.net"), ("unreachable.org", "mx.unreachable.org")]
 DNS = [("unreachable.org", False), ("acme-plumbing.com", True)]

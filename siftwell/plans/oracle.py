@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import constants as C
+from ..functions import html as H
 from . import fixtures as D
 
 
@@ -99,10 +100,21 @@ def visible(c: str) -> str:
     return tags_off(out)
 
 
+_NAMED = "map {" + ", ".join(f"'{k}': {v}" for k, v in H.references().items()) + "}"
+_WINDOWS = "map {" + ", ".join(f"{n}: {ord(bytes([n]).decode('cp1252'))}" for n in range(128, 160) if n not in (129, 141, 143, 144, 157)) + "}"
+_DIGITS = "list_transform(range(4, length(ref) + 1), lambda pos: strpos('0123456789abcdef', lower(substr(ref, pos, 1))) - 1)"
+
+
 def unescape(c: str) -> str:
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = f"replace({c}, {q(a)}, {q(b)})"
-    return c
+    """Character by character reference: by name, or by number in base 10 or 16."""
+    ten = "try_cast(regexp_extract(ref, '^&#([0-9]+)', 1) as int)"
+    sixteen = f"list_reduce(list_prepend(0, list_filter({_DIGITS}, lambda dg: dg >= 0)), lambda num, dg: num * 16 + dg)"
+    code = f"coalesce({_NAMED}[trim(ref, '&;')], {ten}, case when regexp_matches(ref, '^&#[xX]') then {sixteen} end)"
+    known = f"list_filter(list_transform(list_distinct({found(c, H.REFERENCE)}), lambda ref: {{'r': ref, 'n': {code}}}), lambda hit: hit.n is not null)"
+    chars = f"list_transform({known}, lambda hit: {{'r': hit.r, 'c': chr((case when hit.n = 0 or hit.n > 1114111 or hit.n between 55296 and 57343 then 65533 else coalesce({_WINDOWS}[hit.n], hit.n) end)::int)}})"
+    order = f"list_sort(list_transform({chars}, lambda hit: {{'last': hit.c = '&', 'size': -length(hit.r), 'r': hit.r, 'c': hit.c}}))"
+    first = f"{{'last': false, 'size': 0::bigint, 'r': '', 'c': {c}}}"
+    return f"list_reduce(list_prepend({first}, {order}), lambda acc, hit: {{'last': acc.last, 'size': acc.size, 'r': acc.r, 'c': replace(acc.c, hit.r, hit.c)}}).c"
 
 
 def tags_off(c: str) -> str:
@@ -111,8 +123,11 @@ def tags_off(c: str) -> str:
 
 
 def section(c: str, tag: str, most: int) -> str:
-    inner = f"regexp_extract({c}, '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1)"
-    return f"left({tags_off(inner)}, {most})"
+    opening = q(rf"""(?is)<([a-z][a-z0-9]*)\s[^>]*class\s*=\s*["'][^"'>]*{tag}[^>]*>""")
+    named = f"regexp_extract({c}, '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1)"
+    start, kind = f"regexp_extract({c}, {opening}, 0)", f"regexp_extract({c}, {opening}, 1)"
+    classed = f"split_part(substr({c}, strpos({c}, {start}) + length({start})), '</' || {kind}, 1)"
+    return f"left({tags_off(f'(case when {named} <> {q(str())} then {named} when {start} <> {q(str())} then {classed} else {q(str())} end)')}, {most})"
 
 
 def title(c: str) -> str:
@@ -123,7 +138,9 @@ def title(c: str) -> str:
 def metas(c: str) -> str:
     """list of {k, v}: the last of equal keys, in their order."""
     tag = r"(?is)<meta\s[^>]*>"
-    at = lambda n: rf"""regexp_extract(t, '(?is)\s{n}\s*=\s*["'']([^"'']*)["'']', 1)"""
+    quoted = lambda n: rf"""regexp_extract(t, '(?is)\s{n}\s*=\s*["'']([^"'']*)["'']', 1)"""
+    bare = lambda n: rf"""regexp_extract(t, '(?is)\s{n}\s*=\s*([^\s"''>]+)', 1)"""
+    at = lambda n: f"coalesce(nullif({quoted(n)}, ''), {bare(n)})"
     pairs = f"list_filter(list_transform({found(c, tag)}, lambda t: {{'k': lower(coalesce(nullif({at('name')}, ''), {at('property')})), 'v': left({unescape(at('content'))}, 1000)}}), lambda p: p.k <> '' and p.v <> '')"
     return pairs
 
@@ -215,7 +232,7 @@ def finds(pages: str, url_column: bool = False) -> str:
 
 
 def mailto(c: str) -> str:
-    return f"list_filter(list_transform({found(c, C.MAILTO, 1)}, lambda x: lower(trim(split_part(x, '?', 1)))), lambda x: contains(x, '@'))"
+    return f"list_filter(list_transform({found(c, C.MAILTO, 1)}, lambda x: lower(trim(split_part({unescape('x')}, '?', 1)))), lambda x: contains(x, '@'))"
 
 
 SCRIPTS = each(found("html", C.SCRIPT, 1), outside("x"))
@@ -369,4 +386,81 @@ def oracle_sql() -> dict[str, str]:
             union all select k.user_id, (select min({'s': e.s, 'event_id': e.event_id}) from e where e.user_id = k.user_id and e.s >= k.f.s + 86400) as f from k where k.f is not null)
           select f.event_id as event_id, user_id, f.s as s from k where f is not null""",
     }
+    out |= rich_sql()
     return out
+
+
+RICH = D.values(D.RICH_PAGES, "page_id, domain, url, success, html")
+_LD = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
+_LD_BLOCKS = f"list_filter({found('html', _LD, 1)}, lambda b: json_valid(b))"
+
+
+def og(relation: str) -> str:
+    """page_id, name, content: the last of equal names counts."""
+    return f"""(select page_id, e.k[4:] as name, left(e.v, 500) as content from (select page_id, unnest(list_filter(m, lambda e, i: starts_with(e.k, 'og:') and len(list_filter(m[i + 1:], lambda o: o.k = e.k)) = 0)) as e
+      from (select page_id, {metas("html")} as m from {relation})))"""
+
+
+def schema_addresses() -> str:
+    """page_id, address: of the leaves whose key, or whose list's key, is one of mail; what stands in an object under such a key is not read."""
+    mail = "(email|contactemail|contactpoint)"
+    return f"""(select distinct page_id, unnest({found("leaf", C.EMAIL)}) as address from (select page_id, t.fullkey as path, t.value ->> '$' as leaf
+      from (select page_id, unnest({_LD_BLOCKS}) as block from {RICH}) b, json_tree(b.block::json) t where t.type = 'VARCHAR')
+      where regexp_matches(path, '(?i)[.]"?{mail}"?([[][0-9]+[]])?$') and not regexp_matches(path, '(?i)[.]"?{mail}"?[.]'))"""
+
+
+def rich_sql() -> dict[str, str]:
+    finds_of = finds(f"(select page_id, domain, url, html from {RICH})")
+    all_finds = f"""(select page_id, pass_no, strategy_no, match_no, address, method, hint from {finds_of} union all
+      select page_id, 1, 5, 0, {clean("address")}, 'schema_ld', {C.METHOD_HINT["schema_ld"]} from {schema_addresses()})"""
+    ld = "(select page_id, domain, [x for x in blocks if (x ->> '$.\"@type\"') is not null][1] as x from (select page_id, domain, {b} as blocks from {r}))".format(b=_LD_BLOCKS.replace("lambda b: json_valid(b))", "lambda b: json_valid(b))::json[]"), r=RICH)
+    usable = "success and coalesce(html, '') <> ''"
+    title_ = f"nullif({title('html')}, '')"
+    described = f"nullif(left(coalesce(list_filter({metas('html')}, lambda e: e.k = 'description')[-1].v, ''), 500), '')"
+    og_of = lambda n: f"(select nullif(content, '') from {og(RICH)} o where o.page_id = p.page_id and name = '{n}')"
+    first = f"""(select p.domain, p.page_id, coalesce(nullif(l.x ->> '$.name', ''), {og_of("site_name")}, {title_}) as name, coalesce(nullif(l.x ->> '$.description', ''), {og_of("description")}, {described}) as description,
+      coalesce(l.x ->> '$.telephone', '') as phones from {RICH} p left join {ld} l on l.page_id = p.page_id where {usable} and p.page_id = (select min(page_id) from {RICH} q where q.domain = p.domain and q.success and q.html <> ''))"""
+    footer = section("html", "footer", 5000)
+    pages_both = f"(select page_id, url, html from {PAGES} union all select page_id, url, html from pages)"
+    seven, five = "page_id % 3 <> 0", "page_id % 5 <> 0"
+    both = f"(select page_id, html from {RICH} union all select page_id, html from pages)"
+    link = r"""(?is)<link\s[^>]*>"""
+    t = C.ISSUE_TEXT
+    exported = lambda where, more: f"""select c_custkey::varchar as id, c_name as name, coalesce(string_agg(conf || ':' || o_orderkey || ':' || o_orderstatus, '|' order by conf desc, o_orderkey::varchar), '') as emails
+      from customer left join (select *, o_orderkey % 101 as conf from orders where o_orderkey % 4 <> 0 and o_orderkey % 101 >= {where}) on o_custkey = c_custkey {more} group by 1, 2"""
+    return {
+        "rich_finds": f"select page_id, pass_no::int as pass_no, address, method, hint::int as hint from (select *, row_number() over (partition by page_id, pass_no, address order by strategy_no, match_no) as rn from {all_finds}) where rn = 1",
+        "schema_emails": f"select p.page_id, coalesce(string_agg(address, '|' order by address), '') as found from {RICH} p left join {schema_addresses()} a using (page_id) group by 1",
+        "rich_sections": f"""select page_id, {title("html")} as title, {footer} as footer, {section("html", "header", 2000)} as header, regexp_extract({footer}, {q(C.COPYRIGHT_YEAR)}, 1) as year,
+          coalesce({described}, '') as description from {RICH}""",
+        "open_graph": f"select page_id, name, content from {og(both)}",
+        "company_metadata": f"select domain, name, description, phones from {first}",
+        "company_phones": f"""select f.domain, array_to_string(list_distinct_in_order, '|') as phones from (select f.domain, list_filter(list_concat(case when f.phones <> '' then [f.phones] else []::varchar[] end, coalesce(x.found, []::varchar[])), lambda v: true) as list_distinct_in_order
+          from {first} f left join (select domain, list(phone order by page_id, i) as found from (select domain, phone, min(page_id) as page_id, min(i) as i from (select domain, page_id, i, ph[i] as phone from
+            (select domain, page_id, {PHONES.replace("text", "body")} as ph from (select *, {visible("html")} as body from {RICH} where {usable})), range(1, 100) r(i) where i <= len(ph)) group by 1, 2) group by 1) x on x.domain = f.domain) f""",
+        "site_technologies": f"""select h as host, split_part(x, '/', 1) as name, page_id, split_part(x, '/', 2) as category, split_part(x, '/', 3) as detection from (select *, row_number() over (partition by h, split_part(x, '/', 1) order by page_id, i) as rn
+          from (select h, page_id, i, t[i] as x from (select page_id, {host("url")} as h, {technologies("html")} as t from {pages_both}), range(1, 100) r(i) where i <= len(t))) where rn = 1""",
+        "page_profiles": "select h as host, platform, arg_min(link, page_id) as link from (" + " union all ".join(
+            f"select page_id, {host('url')} as h, {q(p)} as platform, split_part(rtrim(regexp_extract(html, {q(rx)}), '/'), '?', 1) as link from {pages_both}" for p, rx in C.SOCIAL.items()) + ") where link <> '' group by 1, 2",
+        "escalated_pages": "select page_id, true as escalate from pages where page_id % 7 = 0 or (page_id % 5 <> 0 and length(case when page_id % 9 = 0 then left(html, 300) else html end) < 500)",
+        "usable_pages": f"select page_id, length(html)::int as chars from (select page_id, {seven} as success, case when {five} then html end as html from pages union all select page_id, success, html from {RICH}) where {usable}",
+        "feed_heads": f"""select id, case when contains(xml, '<feed>') then regexp_extract(xml, '<title>(.*?)</title>', 1) when contains(xml, '<channel>') then {unescape("regexp_extract(xml, '<title>(.*?)</title>', 1)")} end as title,
+          case when contains(xml, '<channel>') then regexp_extract(xml, 'CDATA.(.*?)..>', 1) end as description, case when contains(xml, '<channel>') then regexp_extract(xml, '<link>(.*?)</link>', 1) end as link from {D.values(D.FEEDS, "id, xml")}""",
+        "feed_links": f"""select page_id, regexp_extract(l, '(?is)href\\s*=\\s*["'']([^"'']*)["'']', 1) as feed from (select page_id, list_filter({found("html", link)}, lambda t: regexp_matches(t, '(?i)rel\\s*=\\s*["''][^"'']*alternate')
+          and regexp_matches(t, '(?i)type\\s*=\\s*["''][^"'']*(rss|atom)'))[1] as l from {both}) where l is not null""",
+        "crawled_issues": f"""select page_id, code, text from (select page_id, unnest(case when page_id % 11 = 0 then [{{'code': 'unreachable', 'text': {q(t["unreachable"])}}}] else list_filter([
+          case when page_id % 7 = 0 then {{'code': 'bad_status', 'text': {q(t["bad_status"])} || '503'}} end, case when page_id % 40 * 260 > {C.SLOW_MS} then {{'code': 'slow_load', 'text': {q(t["slow_load"])} || printf('%.1f', page_id % 40 * 0.26) || 's)'}} end,
+          case when 2026 - y >= 2 then {{'code': 'outdated_copyright', 'text': {q(t["outdated_copyright"])} || y || ')'}} end], lambda i: i is not null) end, recursive := true) from (select page_id, try_cast(regexp_extract({footer}, {q(C.COPYRIGHT_YEAR)}, 1) as int) as y from pages))""",
+        "export_filtered": exported(60, ""),
+        "export_one": exported(0, "where c_custkey = 7"),
+        "insert_two_keys": """select l_suppkey, l_partkey, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_suppkey, l_partkey order by l_orderkey, l_linenumber) as rn from lineitem) n
+          where rn = 1 and not exists (select 1 from lineitem s where s.l_orderkey % 3 = 0 and s.l_suppkey = n.l_suppkey and s.l_partkey = n.l_partkey)""",
+        "engines_of_run": "select string_agg(distinct l_returnflag, '|' order by l_returnflag) as engines from lineitem",
+        "company_lookup": "select c_custkey, c_name from customer where c_custkey = 7",
+        "iso_times": "select event_id, strftime(ts::timestamp, '%Y-%m-%dT%H:%M:%S') as iso, strftime(ts::timestamp, '%Y%m%d_%H%M%S') as stamp from events",
+        "claimed_jobs": "select o_custkey as domain, o_orderkey, case when row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) = 1 then 'claimed' else 'queued' end as outcome from orders",
+        "not_recent_jobs": """select o_custkey as domain, o_orderkey from orders left join (select o_custkey, max(o_orderdate::date) as d from orders where o_orderstatus = 'F' group by 1) l using (o_custkey)
+          where o_orderstatus <> 'F' and (d is null or o_orderdate::date - d >= 400)""",
+        "run_progress": """select count(*) as jobs, count_if(o_orderstatus = 'O')::bigint as queued, 0::bigint as crawling, count_if(o_orderstatus = 'F')::bigint as done, count_if(o_orderstatus = 'P')::bigint as failed,
+          round(count_if(o_orderstatus in ('F', 'P')) / count(*), 4) as share_over from orders""",
+    }

@@ -25,8 +25,12 @@ def read_company_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def number_records(df: DataFrame, out: str = "source_row", first: int = 2) -> DataFrame:
     """Record numbers of one ordered file, from 2 on, as the header is record 1. Without one ordered file the numbers mean nothing."""
-    numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + first))
-    return df.sparkSession.createDataFrame(numbered, df.schema.add(out, "long"))
+    # ids count up from 2**33 times the partition's number; the records of earlier partitions take the place of that
+    placed = df.withColumn("record_at", F.monotonically_increasing_id()).withColumn("record_part", F.shiftright("record_at", 33))
+    counts = placed.groupBy("record_part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("record_part", F.coalesce(F.sum("n").over(Window.orderBy("record_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # one row a partition of the file
+    return placed.join(F.broadcast(before), "record_part").select(*df.columns, (F.col("record_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before") + first).cast("long").alias(out))
 
 
 def clean_import(rows: DataFrame, row: str = "source_row") -> DataFrame:

@@ -31,6 +31,16 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_array(df: DataFrame, path: str) -> None:
+    """All rows as one JSON array in the text files of a folder, which is the array when they are joined in the order of their names.
+    Every task writes its own rows; none holds them all. ``df`` has to give the same rows in the same order when read again."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"), F.monotonically_increasing_id().alias("n"))
+    first = rows.agg(F.min("n")).first()[0]
+    lines = rows.select(F.concat(F.when(F.col("n") == F.lit(first), "[").otherwise(","), F.col("json")).alias("value"))
+    end = df.sparkSession.range(1, numPartitions=1).select(F.lit("]" if first is not None else "[]").alias("value"))
+    lines.union(end).write.mode("overwrite").text(path)
+
+
 def json_array(df: DataFrame) -> DataFrame:
     """All rows as one JSON array in one row: for small results only, as one task makes it."""
     return df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("json"))

@@ -81,16 +81,57 @@ def token_bucket(requests: DataFrame, key: str, seconds: str, rate: float = 5.0,
     return requests.repartition(key).sortWithinPartitions(key, seconds, *([order] if order else [])).mapInPandas(run, schema)
 
 
+def not_recent(jobs: DataFrame, done: DataFrame, key: str, now: str, finished: str, window: int = RECENT_SECONDS) -> DataFrame:
+    """Jobs whose key was not worked on with success within ``window`` seconds before; failures do not count. done: successes, with times."""
+    last = done.groupBy(key).agg(F.max(finished).alias("last_done"))
+    return jobs.join(last, key, "left").where(F.col("last_done").isNull() | (F.col(now) - F.col("last_done") >= window)).select(*jobs.columns)
+
+
+def claim(jobs: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(one job of each key: the first by ``order``, the others): a key is worked on by one job at a time. The others go back to the
+    queue as they are; that is no retry. A minimum before the shuffle, so a hot key is one row a task."""
+    rest = [c for c in jobs.columns if c not in (key, *order)]
+    first = jobs.groupBy(key).agg(F.min(F.struct(*order)).alias("first")).select(key, "first.*")
+    at = [key, *order]
+    mine = jobs.join(first, at, "left_semi").dropDuplicates(at) if rest else first
+    return mine.select(*jobs.columns), jobs.join(first, at, "left_anti").select(*jobs.columns)
+
+
+def progress(jobs: DataFrame, status: str) -> DataFrame:
+    """One row: jobs in all, by status, and the share that is done or has failed for good."""
+    n = lambda name: F.count_if(F.col(status) == name)
+    over = n("done") + n("failed")
+    return jobs.agg(F.count(F.lit(1)).alias("jobs"), n("queued").alias("queued"), n("crawling").alias("crawling"), n("done").alias("done"), n("failed").alias("failed"), F.round(over / F.greatest(F.count(F.lit(1)), F.lit(1)), 4).alias("share_over"))
+
+
+def health(spark: SparkSession, tables: dict[str, str], queries: list[StreamingQuery] = ()) -> dict[str, str]:
+    """Whether each table can be read and each stream is alive, and ``overall``: healthy, degraded (tables only) or unhealthy."""
+    said = {}
+    for name, place in tables.items():
+        try:
+            spark.read.parquet(place).limit(1).collect()
+            said[name] = "ok"
+        except Exception as e:  # whatever the store says is the answer
+            said[name] = f"error: {str(e)[:100]}"
+    stored = all(x == "ok" for x in said.values())
+    for q in queries:
+        said[q.name or str(q.id)] = "ok" if q.isActive or q.exception() is None else f"error: {str(q.exception())[:100]}"
+    said["overall"] = "healthy" if all(x == "ok" for x in said.values()) else "degraded" if stored else "unhealthy"
+    return said
+
+
 def run_worker(jobs: DataFrame, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, again: str, dead: str) -> StreamingQuery:
-    """Each micro-batch of jobs through ``process``, which adds ``succeeded``; results are appended, failures queued again or
-    written to the dead letters. The checkpoint makes it replayable."""
+    """Each micro-batch of jobs through ``process``, which adds ``succeeded``; results are kept, failures queued again or
+    written to the dead letters. A batch that is replayed after a failure writes over what it wrote before: each has a folder of
+    its own in ``out``, ``again`` and ``dead``, named by its number."""
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, number: int) -> None:
+        at = f"batch_id={number}"
         done = process(batch).persist()
-        done.where("succeeded").write.mode("append").parquet(out)
+        done.where("succeeded").write.mode("overwrite").parquet(f"{out}/{at}")
         retry, lost = split_retries(done.where("not succeeded").select(*batch.columns))
-        job_json(retry).write.mode("append").text(again)
-        job_json(lost).write.mode("append").text(dead)
+        job_json(retry).write.mode("overwrite").text(f"{again}/{at}")
+        job_json(lost).write.mode("overwrite").text(f"{dead}/{at}")
         done.unpersist()
 
     return jobs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

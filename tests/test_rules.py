@@ -182,3 +182,52 @@ def test_filters_reach_the_scan_and_columns_are_pruned(spark, sf_dir):
     assert "EqualTo(o_orderstatus,F)" in plan and "o_totalprice" not in plan and "TakeOrderedAndProject" in plan
     top = catalogue.queries()["topk_per_company"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in top
+
+
+def test_references_decode_as_the_standard_library_does(spark):
+    import html
+    import random
+
+    from siftwell.functions import html as H
+
+    rng = random.Random(1)
+    bits = ["&amp;", "&lt;", "&#64;", "&#x40;", "&copy;", "&middot;", "&euro;", "&#8364;", "&#128;", "&#0;", "&bogus;", "&amp;lt;", "a", "@", " ", "&#643;", "&#64 ", "&", "x;", "&eacute;", "&#xD800;", "\U0001f600", "&#128512;"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))) for i in range(500)]
+    got = spark.createDataFrame(rows, "i int, x string").select("x", H.unescape(F.col("x")).alias("y")).collect()
+    assert all(r.y == html.unescape(r.x) for r in got)
+
+
+def test_sections_by_class_and_bare_attributes(spark):
+    from siftwell.functions import html as H
+
+    page = '<div class="top Site-Footer x"><b>&copy; 2019</b> foo@bar.com</div><meta name=description content=hello><META NAME="a" CONTENT="1"><meta name="A" content="2">'
+    r = spark.createDataFrame([(page,), ("<footer>own</footer><p class=footer>other</p>",), ("<p>none</p>",)], "h string").select(H.section_text(F.col("h"), "footer", 5000).alias("f"), H.copyright_year(H.section_text(F.col("h"), "footer", 5000)).alias("y"), H.meta(F.col("h")).alias("m")).collect()
+    assert [x.f for x in r] == ["\u00a9 2019 foo@bar.com", "own", ""] and r[0].y == 2019 and r[0].m == {"description": "hello", "a": "2"}
+
+
+def test_bytes_that_are_no_text_are_left_out(spark):
+    import base64
+
+    from siftwell.functions import emails as E
+
+    code = base64.b64encode(b"write to inf\xffo@acme.io today").decode()
+    (r,) = spark.createDataFrame([(f'"{code}"',)], "h string").select(E.in_base64(F.col("h")).alias("x")).collect()
+    assert r.x == ["info@acme.io"]
+
+
+def test_json_array_by_parts(spark, tmp_path):
+    import json
+
+    from siftwell.sources.store import write_json_array
+
+    for n in (0, 1, 40):
+        write_json_array(spark.range(n, numPartitions=5).select("id", F.when(F.col("id") % 2 == 0, "x").alias("v")), str(tmp_path / str(n)))
+        text = "".join(f.read_text() for f in sorted((tmp_path / str(n)).glob("part-*")))
+        assert [r["id"] for r in json.loads(text)] == list(range(n))
+
+
+def test_records_are_numbered_across_partitions(spark):
+    from siftwell.sources.imports import number_records
+
+    rows = number_records(spark.range(1000, numPartitions=7).withColumnRenamed("id", "v")).collect()
+    assert all(r.source_row == r.v + 2 for r in rows) and len(rows) == 1000

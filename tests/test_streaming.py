@@ -41,3 +41,34 @@ def test_job_defaults(spark):
     df = spark.createDataFrame([('{"job_id":"1"}',)], "value string")
     r = J.parse_jobs(df).first()
     assert (r.priority, r.retry_count, r.domain) == (5, 0, None)
+
+
+def test_a_replayed_batch_is_written_once(spark, tmp_path):
+    import shutil
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("\n".join(json.dumps({"job_id": str(i), "domain": "d"}) for i in range(6)))
+    places = [str(tmp_path / x) for x in ("out", "cp", "again", "dead")]
+    for _ in range(2):
+        J.run_worker(J.read_queue(spark, str(tmp_path / "in")), lambda b: b.withColumn("succeeded", F.col("job_id").cast("int") > 1), *places).awaitTermination(120)
+        shutil.rmtree(tmp_path / "cp" / "commits")  # as if it had failed before the batch was committed
+    assert spark.read.parquet(places[0]).count() == 4 and spark.read.text(places[2]).count() == 2
+
+
+def test_only_success_counts_as_recent(spark):
+    jobs = spark.createDataFrame([("a", 100), ("b", 100), ("c", 100)], "k string, now long")
+    done = spark.createDataFrame([("a", 50), ("a", 95), ("b", 10)], "k string, at long")
+    assert sorted(r.k for r in J.not_recent(jobs, done, "k", "now", "at", 80).collect()) == ["b", "c"]
+
+
+def test_one_job_of_a_key_is_claimed(spark):
+    jobs = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "k string, n int, v string")
+    mine, back = J.claim(jobs, "k", ["n"])
+    assert sorted(map(tuple, mine.collect())) == [("a", 1, "y"), ("b", 5, "z")] and sorted(map(tuple, back.collect())) == [("a", 2, "x")]
+
+
+def test_health(spark, tmp_path):
+    spark.range(1).write.parquet(str(tmp_path / "t"))
+    assert J.health(spark, {"store": str(tmp_path / "t")}) == {"store": "ok", "overall": "healthy"}
+    said = J.health(spark, {"store": str(tmp_path / "missing")})
+    assert said["store"].startswith("error") and said["overall"] == "unhealthy"
