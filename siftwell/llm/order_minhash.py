@@ -34,6 +34,8 @@ SIMILARITY = 0.8
 FAMILIES = ((50, 8, 24, None), (20, 3, 1, 40))
 #: Leaders of a bucket in the second round.
 LEADERS = 2
+#: Bits of a text's map of shingles.
+MAP_BITS = 1024
 
 
 def shingles(data: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -118,13 +120,20 @@ def aligned(x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY) -> flo
     return length / (n + m - length)
 
 
+def shingle_map(x: np.ndarray) -> np.ndarray:
+    """MAP_BITS bits as longs, in which that of each labelled shingle is set."""
+    bits = np.zeros(MAP_BITS, dtype=bool)
+    bits[(x & np.uint64(MAP_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def _sketches(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, text): doc_id, digest, n (labelled shingles) and keys array<long>."""
+    """rows(doc_id, text): doc_id, digest, n (labelled shingles), keys array<long> and map array<long>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
-            counts, keys = [], []
+            counts, keys, maps = [], [], []
             for a, b in chunks(batch, offsets):
                 part, cut = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 # rows are set apart by a space, so that no word runs over from one text into the next
@@ -136,9 +145,11 @@ def _sketches(rows: DataFrame) -> DataFrame:
                     x = label(_shingle(word[at[i] : at[i + 1]], WORDS))
                     counts.append(len(x))
                     keys.append(sketch(x).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "keys"])
+                    maps.append(shingle_map(x))
+            lists = [pa.array(c, pa.list_(pa.int64())) for c in (keys, maps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int32()), *lists], names=["doc_id", "digest", "n", "keys", "map"])
 
-    return rows.select("doc_id", digest().alias("digest"), "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, n int, keys array<long>")
+    return rows.select("doc_id", digest().alias("digest"), "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, n int, keys array<long>, map array<long>")
 
 
 def digest():
@@ -208,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     limit_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     sketched = save(_sketches(rows), "omh-sketches")
-    heads = save(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "omh-heads")
+    heads = save(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("map").alias("map")), "omh-heads")
     reps = heads.select("digest", "rep")
     bands = heads.select(F.col("digest").alias("text"), "n", F.explode("keys").alias("key")).distinct()
     sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -233,10 +244,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(save(_verify(second, _texts(rows, reps, second), similarity), "omh-links2"))
     discard(apart)
 
-    # and what is left in pairs
+    # and what is left in pairs: each once, in the first bucket that it shares, and only if its maps leave room for the similarity
     apart = _apart(crowded, links)
-    other = apart.select("key", F.col("text").alias("leader"), F.col("n").alias("m"), F.col("group").alias("other"))
-    third = apart.join(other, "key").where((F.col("text") < F.col("leader")) & (F.col("group") != F.col("other")) & near).select(*_ordered("leader", "text")).distinct()
+    known = apart.join(heads.select(F.col("digest").alias("text"), "keys", "map"), "text")
+    other = known.select("key", *[F.col(c).alias(f"other_{c}") for c in ("text", "n", "group", "keys", "map")])
+    total = lambda longs: F.aggregate(longs, F.lit(0), lambda n, x: n + F.bit_count(x))
+    # shingles of one text that fall on one bit may all be shared
+    shared = total(F.zip_with("map", "other_map", lambda x, y: x.bitwiseAND(y))) + F.least(F.col("n") - total("map"), F.col("other_n") - total("other_map"))
+    may = shared >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("other_n")) - F.lit(1e-9)
+    sized = F.least("n", "other_n") >= F.greatest("n", "other_n") * F.lit(similarity) - F.lit(1e-9)
+    once = F.col("key") == F.array_min(F.array_intersect("keys", "other_keys"))
+    third = known.join(other, "key").where((F.col("text") < F.col("other_text")) & (F.col("group") != F.col("other_group")) & sized & may & once).select(*_ordered("other_text", "text")).distinct()
     third = save(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "omh-third")
     links = links.unionByName(save(_verify(third, _texts(rows, reps, third), similarity), "omh-links3"))
     discard(crowded, apart)
