@@ -322,11 +322,60 @@ def test_documents_of_unlearned_scripts_go(spark, sf_dir):
     assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
-def test_pipeline_runs_whole(spark, sf_dir):
+def test_pipeline_against_brute_force(spark, sf_dir, tmp_path):
+    """run() against a chain in plain Python: letters, similar lines, aligned texts, running sums (SQL), the rank file's library."""
+    import hashlib
+
+    import duckdb
+    import pandas as pd
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    import corpus_pipeline as p
+    from siftwell.llm import spm_bpe
+    from siftwell.llm.oracle import mix_sql
+
+    docs = pd.read_parquet(f"{sf_dir}/documents.parquet")[p.COLUMNS]
+    # near copies that line dedup leaves: the same words on one line, and one more
+    copies = docs[docs.text.map(lambda t: t is not None and t.count("\n") > 3)].head(8)
+    docs = pd.concat([docs, copies.assign(doc_id=copies.doc_id + 5000, text=copies.text.str.replace("\n", " ") + " end")], ignore_index=True)
+    (tmp_path / "in").mkdir()
+    docs.to_parquet(tmp_path / "in" / "documents.parquet")
+    docs = docs[docs.text.map(lambda t: t is not None and any(c.isalpha() for c in t))]  # all four languages are learnt
+    gone = brute_lines(list(zip(docs.doc_id.tolist(), docs.text, strict=True)))
+    rows = []
+    for r in docs.itertuples(index=False):
+        lines, out = r.text.split("\n"), set(gone.get(r.doc_id, []))
+        if not out or len(out) < sum(x != "" for x in lines):
+            rows.append(r._replace(text="\n".join(x for i, x in enumerate(lines) if i not in out)))
+    text = {r.doc_id: r.text.lower() for r in rows}
+    sh = {i: order_minhash.shingles(np.frombuffer(t.encode(), np.uint8)) for i, t in text.items()}
+    ids = sorted(text)
+    edges = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if text[a] == text[b] or order_minhash.aligned(sh[a], sh[b]) >= 0.8]
+    group = classes(edges, ids)
+    stage3 = pd.DataFrame([r for r in rows if group[r.doc_id] == r.doc_id], columns=p.COLUMNS)
+    con = duckdb.connect()
+    con.register("stage3", stage3)
+    copies = {r[0]: r[4] for r in con.execute(mix_sql("stage3")).fetchall()}
+    enc = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks={e: i for i, e in enumerate(spm_bpe.codec(queries.tokenizer_path("byte_bpe_50k.tiktoken")).entries)}, special_tokens={})
+    want = Counter()
+    for r in stage3.itertuples(index=False):
+        found = np.array(enc.encode_ordinary(r.text), dtype="<u4")
+        want[(r.doc_id, len(found), hashlib.sha256(found.tobytes()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest())] += copies.get(r.doc_id, 0)
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in p.run(spark, str(tmp_path / "in")).collect())
+    assert got == +want
+    assert gone and len(stage3) < len(rows)
+
+
+def test_pipeline_of_no_rows_and_of_repeated_ones(spark, tmp_path):
     import corpus_pipeline as p
 
-    rows = p.run(spark, sf_dir).collect()
-    assert rows and all(r.n_tokens > 0 for r in rows)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert p.run(spark, str(tmp_path / "none")).count() == 0
+    rows = [(i % 3, "the house of the river and the hill\nsecond line of words", "en", "s0", 60) for i in range(9)] + [(None, "no id here but words", "en", None, 20), (7, None, None, None, None)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "copies" / "documents.parquet"))
+    assert {r.doc_id for r in p.run(spark, str(tmp_path / "copies")).collect()} <= {0, None}
 
 
 def test_every_operator_has_one_query():
