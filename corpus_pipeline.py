@@ -6,13 +6,11 @@ stage's ``docs``. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import queries as q
-from siftwell.llm.common import shared_dir
+from siftwell.llm.common import discard, save
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -60,9 +58,9 @@ STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs, before = save(stage(spark, docs, sf_dir), f"pipeline-{name}"), docs
+        if name != STAGES[0][0]:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -165,8 +165,8 @@ def identify(docs: DataFrame, filters: Filters | None = None, id_col: str = "doc
     else:
         first = [F.col(c) for c in keep if c not in ("lang_pred", "score", "shown")]
     outer = docs.select(*first).schema.fields
-    # the last two by place: their names may be those of columns to be kept
-    inner = docs.select(*first, F.col(text_col).alias("text_in"), F.lower(text_col).alias("text_low"))
+    # named by place here, as columns to be kept may be called anything
+    inner = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(first)], F.col(text_col).alias("text_in"), F.lower(text_col).alias("text_low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
