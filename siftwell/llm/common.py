@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a numpy step works on at once. One longer text makes a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,10 +71,18 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+def release() -> None:
+    """Give memory that is free in a Python worker back to the system: workers live on between stages, and keep what each needed most."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such C library, memory stays
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges [a, b) of a batch that hold at most so many bytes each, or one row."""
+    """Row ranges [a, b) of a batch that hold at most so many bytes each, or one row. Memory is given back after the batch."""
     a, n = 0, batch.num_rows
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
+    release()
