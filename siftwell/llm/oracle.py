@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .queries import MIX_EPOCHS, MIX_SEED, MIX_SHARE, MIX_WEIGHTS
+from .source_divergence import LEAST_DOCUMENTS
 
 
 def _weight(column: str, weights: dict) -> str:
@@ -39,5 +40,27 @@ select * from r where copies > 0
 """
 
 
+def divergence_sql(documents: str = "documents", least: int = LEAST_DOCUMENTS, top: int = 10) -> str:
+    """Rows: lang, source, part, item, value, rank; every group with every kept term, one by one."""
+    p = "1 + (1000000000::hugeint * ({0} + 2)) // ({1} + 2 * terms)::hugeint"
+    f = "((a - b) * (a - b)) // (a + b)"
+    return f"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as found from {documents}),
+kept as (select lang, term from (select lang, unnest(list_distinct(found)) as term from d) group by all having count(*) >= {least}),
+n as (select lang, source, term, count(*) as n from (select lang, source, unnest(found) as term from d) join kept using (lang, term) group by all),
+g as (select lang, source, coalesce(sum(n.n), 0) as total from (select distinct lang, source from d) left join n using (lang, source) group by all),
+l as (select g.lang, sum(g.total) as total, coalesce(any_value(v), 0) as terms from g left join (select lang, count(*) as v from kept group by lang) k on k.lang = g.lang group by g.lang),
+p as (select g.lang, g.source, kept.term, coalesce(n.n, 0) as n, {p.format("coalesce(n.n, 0)", "g.total")} as p, {p.format("sum(coalesce(n.n, 0)) over (partition by g.lang, kept.term)", "l.total")} as q
+    from g join l on l.lang = g.lang join kept on kept.lang = g.lang left join n on n.lang = g.lang and n.source = g.source and n.term = kept.term),
+pairs as (select x.lang, x.source, 'pair' as part, y.source as item, coalesce(v.value, 0)::bigint as value from g x join g y on x.lang = y.lang and x.source <> y.source
+    left join (select lang, s, t, sum({f}) as value from (select x.lang, x.source as s, y.source as t, x.p as a, y.p as b from p x join p y on x.lang = y.lang and x.term = y.term) group by all) v
+    on v.lang = x.lang and v.s = x.source and v.t = y.source),
+terms as (select lang, source, 'term' as part, term as item, ({f})::bigint as value from (select *, p as a, q as b from p) where n > 0 and p > q)
+select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from pairs
+union all select * from (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from terms) where rank <= {top}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_budget_mix": mix_sql()}
+    return {"op10_budget_mix": mix_sql(), "op12_term_vectors": divergence_sql()}

@@ -97,5 +97,17 @@ def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"), F.col("mix_source").alias("source"), F.col("mix_copies").cast("int").alias("copies"))
 
 
+def op12_term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_rounds import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
