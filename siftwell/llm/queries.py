@@ -97,6 +97,12 @@ def op10_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"), F.col("mix_source").alias("source"), F.col("mix_copies").cast("int").alias("copies"))
 
 
+def op11_letter_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling_variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_term_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_divergence import divergence
 
