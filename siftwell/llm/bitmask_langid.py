@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, limit_batches, text_buffer
+from .common import chunks, slices, text_buffer
 from .hashing import mix, runs
 
 #: Labelled rows of each language from whose texts the filters are learnt: those first by the hash of their id.
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     sample = texts.join(chosen, ["id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, (data, offsets) = np.array(batch.column(0).to_pylist()), text_buffer(batch.column(1))
             for a, b in chunks(batch, offsets):
                 part = data[offsets[a] : offsets[b]]
@@ -139,7 +139,6 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     most = F.lit(0)
     for n, k in GRAMS.items():
         most = F.when(F.col("n") == n, k).otherwise(most)
-    limit_batches(docs.sparkSession)
     top = sample.mapInArrow(count, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
     # bounded: at most 64 languages, sum(GRAMS) n-grams each
     kept = top.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).groupBy("lang").agg(F.collect_list("gram").alias("grams"), F.sum("times").alias("times")).orderBy(F.desc("times"), "lang").limit(MAX_LANGUAGES + 1).collect()
@@ -169,7 +168,7 @@ def identify(docs: DataFrame, filters: Filters | None = None, id_col: str = "doc
     inner = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(first)], F.col(text_col).alias("text_in"), F.lower(text_col).alias("text_low"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, (data, offsets) = batch.column(batch.num_columns - 2), text_buffer(batch.column(batch.num_columns - 1))
             lang, score, shows = np.full(batch.num_rows, "und", dtype=object), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
             for a, b in chunks(batch, offsets):
@@ -189,6 +188,5 @@ def identify(docs: DataFrame, filters: Filters | None = None, id_col: str = "doc
             columns = [pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())] + [pa.array(shows)] * shown
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=[f.name for f in outer] + ["lang_pred", "score"] + ["shown"] * shown)
 
-    limit_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in outer) + ", lang_pred string, score double" + ", shown boolean" * shown
     return inner.mapInArrow(run, schema)

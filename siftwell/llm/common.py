@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; a temporary one only where the cluster names none (tests in local mode)."""
+    """The folder that every executor sees. A session in local mode that names none gets a temporary one; a cluster has to name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -42,19 +44,18 @@ def save(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables of ``save`` that nothing reads any more. Spark removes the shuffle files of finished steps when the driver
-    collects its garbage, so that is asked for too."""
+    """Remove tables of ``save`` that nothing reads any more."""
     for df in tables:
         jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
         path = jvm.org.apache.hadoop.fs.Path(df.saved_at)
         path.getFileSystem(hadoop).delete(path, True)
-    gc.collect()
-    SparkSession.getActiveSession()._jvm.System.gc()
 
 
-def limit_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts still fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows at most. Spark bounds a batch by its bytes; this bounds what is made of it in Python."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

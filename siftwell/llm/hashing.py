@@ -5,11 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93
 #: White space that separates words: the six ASCII characters.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,32 +18,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(256, dtype=np.uint64)) | np.uint64(1)
-_BYTE[_SPACE] = 0
-
-
-def _powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base modulo 2**64, and of its inverse."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, dtype=np.uint64)
-            x[0] = 1
-            _powers[name] = np.cumprod(x, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+#: What is left of eight bytes when so many of them belong to a word.
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, byte after the last) of each word of UTF-8 bytes. A word's hash depends on its bytes alone."""
+    """(hash, first byte, byte after the last) of each word of UTF-8 bytes. A word's hash depends on its bytes alone.
+
+    Every eight bytes of a word are mixed with their place before they are summed, so that no pattern of letters cancels out, as it
+    does in a polynomial modulo a power of two.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    up, down = _powers_upto(len(data) + 1)
     space = np.concatenate(([True], _SPACE[data], [True]))
     edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[0::2], edge[1::2]
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64)), starts, ends
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(data),), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    lanes = (size + 7) >> 3
+    first = np.cumsum(lanes) - lanes
+    number = np.arange(int(lanes.sum())) - np.repeat(first, lanes)
+    at = np.repeat(starts, lanes) + 8 * number
+    lane = eights[at] & _LOW[np.minimum(np.repeat(ends, lanes) - at, 8)]
+    mixed = mix(lane ^ mix(number.astype(np.uint64)))
+    return mix(np.add.reduceat(mixed, first) ^ (size.astype(np.uint64) * _GOLDEN)), starts, ends
 
 
 def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

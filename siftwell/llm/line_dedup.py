@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, limit_batches, save, text_buffer
+from .common import chunks, discard, save, slices, text_buffer
 from .hashing import hash_words, mix, runs
 from .marks import bitmap, marked
 
@@ -111,7 +111,7 @@ def _survey(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, arrow_type = np.zeros(COUNTERS, np.int64), None
-        for batch in batches:
+        for batch in slices(batches):
             arrow_type = batch.column(0).type
             data, offsets = text_buffer(batch.column(1))
             for a, b in chunks(batch, offsets):
@@ -167,7 +167,7 @@ def _prefixes(texts: DataFrame, levels: np.ndarray, repeated: np.ndarray, simila
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = levels.astype(_U)
-        for batch in batches:
+        for batch in slices(batches):
             data, offsets = text_buffer(batch.column(1))
             for a, b in chunks(batch, offsets):
                 lines = _Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], full)
@@ -225,7 +225,7 @@ def _open(sets: DataFrame, settled: DataFrame, part: int) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in sets.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(6)
             ends = lists.offsets.to_numpy().astype(np.int64)
             words = lists.values.to_numpy()[ends[0] : ends[-1]]
@@ -272,7 +272,7 @@ def _sets(texts: DataFrame, levels: np.ndarray, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = levels.astype(_U)
-        for batch in batches:
+        for batch in slices(batches):
             batch = batch.filter(pa.array(marked(batch.column(1).to_numpy().view(_U), in_text)))
             if not batch.num_rows:
                 continue
@@ -307,7 +307,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = pairs.select("later", "earlier").join(of("later"), "later").join(of("earlier"), "earlier").select("later", "later_words", "earlier_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(_similar(part.column(1).cast(pa.binary()), part.column(2).cast(pa.binary()), similarity)))], names=["key"])
@@ -322,7 +322,6 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     word, null texts and rows without id have no part. Lines at the same place of rows that share an id are
     neither earlier nor later.
     """
-    limit_batches(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     survey = save(_survey(texts), "lines-survey", dictionary=False)
     levels = _levels(survey)
@@ -332,10 +331,8 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     firsts = save(_firsts(prefixes), "lines-firsts")
     each = prefixes.where("single").select(*_SET).unionByName(firsts)
-    discard()
 
     leading = save(_first_round(each, similarity), "lines-leading")
-    discard()
     sets = save(_sets(texts, levels, leading), "lines-led")
     best = leading.groupBy("later").agg(F.max_by("earlier", F.struct("times", "earlier")).alias("earlier"))
     settled = save(_verify(best, sets, similarity), "lines-settled")
@@ -346,7 +343,6 @@ def later_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = []
     for part in range(PARTS):
         parts.append(save(_second_round(_open(each, settled, part), similarity), "lines-pairs"))
-        discard()
     discard(prefixes, firsts)
     pairs = reduce(DataFrame.unionByName, parts).distinct()
     gone = settled.unionByName(save(_verify(pairs, _sets(texts, levels, pairs), similarity), "lines-more"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, limit_batches, save, text_buffer
+from .common import chunks, discard, save, slices, text_buffer
 from .components import components
 from .hashing import hash_words, mix
 from .marks import bitmap, marked
@@ -131,7 +131,7 @@ def _sketches(rows: DataFrame) -> DataFrame:
     """rows(doc_id, text): doc_id, digest, n (labelled shingles), keys array<long> and map array<long>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             data, offsets = text_buffer(batch.column(2))
             counts, keys, maps = [], [], []
             for a, b in chunks(batch, offsets):
@@ -167,7 +167,7 @@ def _texts(rows: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
     bits = bitmap(wanted.join(heads, "digest").select(F.xxhash64("rep").alias("h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             batch = batch.filter(pa.array(marked(batch.column(1).to_numpy().view(np.uint64), bits)))
             if batch.num_rows:
                 yield batch.select([0])
@@ -181,7 +181,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
-        for batch in batches:
+        for batch in slices(batches):
             (da, oa), (db, ob) = text_buffer(batch.column(2)), text_buffer(batch.column(3))
             ids, out = batch.column(0).to_pylist(), []
             for i in range(batch.num_rows):
@@ -205,7 +205,9 @@ def _apart(crowded: DataFrame, links: DataFrame) -> DataFrame:
     settled = components(links.select("a", "b"))
     at = crowded.join(settled.withColumnRenamed("node", "text"), "text", "left").select("key", "text", "n", F.coalesce("component", "text").alias("group"))
     mixed = at.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key")
-    return save(at.join(mixed, "key"), "omh-apart")
+    apart = save(at.join(mixed, "key"), "omh-apart")
+    discard(settled)
+    return apart
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -216,7 +218,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without id are left out. Rows that share an id are classed by their own texts, which digest and class_digest name.
     a and b are the least ids of two texts. An empty table gives empty tables.
     """
-    limit_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
     sketched = save(_sketches(rows), "omh-sketches")
     heads = save(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("map").alias("map")), "omh-heads")
@@ -257,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     third = known.join(other, "key").where((F.col("text") < F.col("other_text")) & (F.col("group") != F.col("other_group")) & sized & may & once).select(*_ordered("other_text", "text")).distinct()
     third = save(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "omh-third")
     links = links.unionByName(save(_verify(third, _texts(rows, reps, third), similarity), "omh-links3"))
-    discard(crowded, apart)
+    discard(crowded, apart, first, second, third)
 
     classes = components(links.select("a", "b"))
     of_text = reps.join(classes.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("component", "digest").alias("class_digest"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches, release
+from .common import release, slices
 
 #: Distinct words whose ids a worker remembers, the first it meets, each of up to so many characters; others are encoded each time.
 REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
@@ -357,11 +357,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     A null or empty text has the end id only. Repeated rows and ids are encoded each. No shuffle. ``path``: the model file, at
     the same place on every worker.
     """
-    limit_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
-        for batch in batches:
+        for batch in slices(batches):
             n, extra, decoded = [], [], []
             for texts in groups([t or "" for t in batch.column(1).to_pylist()]):
                 for packed in model.encode(texts):
@@ -386,9 +385,8 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [model.decode(x or b"") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    limit_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import limit_batches, save
+from .common import save, slices
 
 #: Bytes of UTF-8 text: A to Z become small letters, all other ASCII characters but letters become spaces.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
@@ -49,7 +49,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
             n.clear()
             d.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 words = text.translate(_TERMS).split()
                 n[lang, source].update(words)
@@ -58,7 +58,6 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    limit_batches(docs.sparkSession)
     names = ["lang", "source", "term", "n", "d"]
     counted = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, d long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))

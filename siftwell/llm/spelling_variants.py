@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches, save
+from .common import save, slices
 
 #: The letters of words, as small letters; all of them lie in one byte of Latin-1.
 LETTERS = [chr(c) for c in (*range(ord("a"), ord("z") + 1), *range(0xC0, 0x100))]
@@ -47,7 +47,7 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, least_length: int)
             return out
 
         crc32 = zlib.crc32
-        for batch in batches:
+        for batch in slices(batches):
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 line = (text or "").encode("latin-1", "replace").translate(_WORDS)
                 words, seed = line.split(), crc32(f"{name or ''}:".encode())
@@ -65,7 +65,6 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, least_length: int)
         if n:
             yield flush()
 
-    limit_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches
+from .common import slices
 
 #: Distinct chunks that a worker remembers, the first it meets; the rest are encoded each time.
 REMEMBERED = 800_000
@@ -150,11 +150,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     decoded_sha256 is of the bytes that decoding the ids gives. A null or empty text has no ids. ``path``: the rank file,
     at the same place on every worker.
     """
-    limit_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids, n, extra, decoded = batch.column(0), [], [], []
             for text in batch.column(1).to_pylist():
                 packed = bpe.encode(text or "")
@@ -176,9 +175,8 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [bpe.decode(x or b"").decode(errors="replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    limit_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")

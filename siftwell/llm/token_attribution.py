@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches
+from .common import slices
 from .spm_bpe import read_ranks
 
 
@@ -89,13 +89,12 @@ def attribute_tokens(docs: DataFrame, path: str, pattern: str, sections_col: str
     null bound or without characters count 0; characters of two sections belong to the one that starts first (see ``in_order``). A
     null or empty text has no tokens and no lines; given sections then count 0 each. A null array is an empty one. ``path`` and ``pattern``: rank file, at the same place on every worker, and pre-token pattern.
     """
-    limit_batches(docs.sparkSession)
     columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
     if sections_col:
         columns += [F.transform(sections_col, lambda x: x["start"]).alias("starts"), F.transform(sections_col, lambda x: x["end"]).alias("ends")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             given = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) if sections_col else None
             out: list[list] = [[], [], [], [], []]
             for text in batch.column(1).to_pylist():

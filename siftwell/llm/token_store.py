@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, limit_batches, save, text_buffer
+from .common import chunks, save, slices, text_buffer
 from .hashing import word_spans
 
 #: Ids after which a block is closed (at the end of a document), and ids of a lane.
@@ -431,7 +431,6 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     payload the coded ids. A null text is an empty one; null ids come first, rows of one id stay side by side. ``path``:
     a tokenizers file whose pre-tokens never hold white space, at the same place on every worker.
     """
-    limit_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,7 +453,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             ]
             return pa.RecordBatch.from_arrays(columns, names=["part", "block", "doc_ids", "n_tokens", "n_ids", "payload"])
 
-        for batch in batches:
+        for batch in slices(batches):
             id_type = batch.column(0).type
             data, offsets = text_buffer(batch.column(1))
             ids, sizes = [], []
@@ -488,7 +487,7 @@ def read_tokens(blocks: DataFrame, ids: bool = True) -> DataFrame:
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for a in range(0, batch.num_rows, TOGETHER):
                 some = batch.slice(a, TOGETHER)
                 out: list[list] = [[] for _ in range(7)]
@@ -501,7 +500,6 @@ def read_tokens(blocks: DataFrame, ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)][: 7 if ids else 6], names=names)
 
     names = ["part", "block", "doc_id", "within", "n_tokens", "ids_crc32", "ids"][: 7 if ids else 6]
-    limit_batches(blocks.sparkSession, TOGETHER)
     schema = f"part int, block int, doc_id {kind}, within long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
     decoded = blocks.select("part", "block", "doc_ids", "n_tokens", "payload").mapInArrow(run, schema)
     sizes = blocks.select("part", "block", "n_ids")
