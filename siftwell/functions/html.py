@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
+from .patterns import matching
 from .text import strip
 
 #: Numbers that stand for characters of Windows-1252 where pages use them as references.
@@ -112,17 +113,15 @@ def social_links(html: Column) -> Column:
 def technologies(html: Column, headers: Column | None = None) -> Column:
     """array<struct<name, category, detection>>: page rules in order, then header rules; the first of a name counts."""
     one = lambda n, c, d: F.struct(F.lit(n).alias("name"), F.lit(c).alias("category"), F.lit(d).alias("detection"))
-    # one scan for all tells most pages apart, which hold none
-    any_rule = html.rlike("(?i)" + "|".join(f"(?:{rx})" for _, _, rx in C.TECHNOLOGIES))
-    hits = [F.when(any_rule & html.rlike("(?i)" + rx), one(n, c, "html")) for n, c, rx in C.TECHNOLOGIES]
-    if headers is not None:
-        low = F.transform_keys(headers, lambda k, _: F.lower(k))
-        for n, c, header, part in C.HEADER_TECHNOLOGIES:
-            here = F.map_contains_key(low, header) & (F.lower(low[header]).contains(part) if part else F.lit(True))
-            hits.append(F.when(here, one(n, c, "header")))
+    rules = F.array(*[one(n, c, "html") for n, c, _ in C.TECHNOLOGIES])
+    found = F.transform(matching(html, [rx for *_, rx in C.TECHNOLOGIES]), lambda i: F.get(rules, i))
+    if headers is None:
+        return found  # page rules have a name each
+    low = F.transform_keys(headers, lambda k, _: F.lower(k))
+    hits = [F.when(F.map_contains_key(low, header) & (F.lower(low[header]).contains(part) if part else F.lit(True)), one(n, c, "header")) for n, c, header, part in C.HEADER_TECHNOLOGIES]
     # one pass over the hits, which are looked for once
     nothing = F.array().cast("array<struct<name:string,category:string,detection:string>>")
-    return F.aggregate(F.array_compact(F.array(*hits)), nothing, lambda found, x: F.when(F.exists(found, lambda y: y["name"] == x["name"]), found).otherwise(F.concat(found, F.array(x))))
+    return F.aggregate(F.concat(found, F.array_compact(F.array(*hits))), nothing, lambda names, x: F.when(F.exists(names, lambda y: y["name"] == x["name"]), names).otherwise(F.concat(names, F.array(x))))
 
 
 PHONE = r"(?:\+?1[\s.\-]?)?(?:\(([2-9]\d{2})\)|([2-9]\d{2}))[\s.\-]?([2-9]\d{2})[\s.\-]?(\d{4})"
