@@ -13,9 +13,10 @@ from ..functions import html as H
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import enrichment as N
-from ..operators import extraction, scoring, store, validation
+from ..operators import domains, extraction, scoring, store, validation
 from ..sources import feeds, imports
 from ..streaming import jobs as J
+from ..streaming import state as S
 from . import fixtures as D
 from .export import export_companies, export_company, export_totals
 
@@ -253,6 +254,14 @@ def domain_normalize(spark, sf_dir):
     return D.frame(spark, D.DOMAINS, "raw string").select("raw", U.normal_domain(raw).alias("domain"), U.clean_domain(raw).alias("cleaned"), U.form_domain(raw).alias("form"), U.domain_reason(raw).alias("reason"), U.maps_placeholder(raw).alias("placeholder"), U.is_maps_pending(U.clean_domain(raw)).alias("pending"))
 
 
+@_query
+def suffix_domains(spark, sf_dir):
+    """Suffix and registered domain of every page's host and of hosts under rules of all kinds, by a table of rules."""
+    hosts = D.frame(spark, [(h, 0) for h in D.SUFFIX_HOSTS], "host string, page_id long").unionByName(table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("host"), "page_id"))
+    found = domains.registered_domains(hosts, "host", D.frame(spark, D.SUFFIX_RULES, "rule string"))
+    return found.groupBy("host", "suffix", "registered").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query
 def registered_domains(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(U.registered_domain(F.col("url")).alias("site")).agg(F.count(F.lit(1)).alias("pages"))
@@ -592,6 +601,15 @@ def token_bucket(spark, sf_dir):
     return J.token_bucket(e, "event_type", "s", 5.0, "event_id").select("event_id", "event_type", F.round("wait", 6).alias("wait"))
 
 
+@_query
+def gated_events(spark, sf_dir):
+    """What becomes of jobs that come as a stream: purchases end a job with success, errors without, all other events are jobs."""
+    kind = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("job")
+    at = [F.col("user_id").cast("string"), (F.col("event_id") % 3).cast("string"), kind, F.col("ts").cast("timestamp")]
+    out = S.gate_files(spark, table(spark, sf_dir, "events"), f"{sf_dir}/events*.parquet", at, lock=6 * 3600)
+    return out.where("outcome <> 'expired'").groupBy("key", "job_id", "at_ms", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- pages with structured data, references and sections by class; runs and queues ----------------------------------
 
 

@@ -29,6 +29,9 @@ URLS = ["https://acme.com/contact", "http://acme.com/search?q=1", "http://localh
 DOMAINS = ["https://www.Acme.com/path?x=1", "acme.com.", "example.com", "http://acme.com:8080/", "  WWW.shop-front.de#top", "no_dots", "", "sub.acme.co.uk/", "https://http://acme.com", "-bad-.com", "acme.c", "https://maps-0123456789abcdef.pending"]
 COMPANY_CSV = [("Acme", "https://www.acme.com/"), ("  Bakery  House ", "bakery.org"), ("Acme again", "acme.com"), ("Nothing", ""), ("Bad", "not a domain"), ("Map", "https://www.google.com/maps/place/abc"), (None, "http://test.com"), ("Long" * 200, "long-name.net"), ("Known", "known.com"), ("Port", "http://acme.com:80")]
 STORED = ["known.com", "other.com"]
+# rules of all three kinds, and hosts under each
+SUFFIX_RULES = ["com", "org", "net", "io", "uk", "co.uk", "gov.uk", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", "github.io", "br", "com.br"]
+SUFFIX_HOSTS = ["www.acme.com", "acme.com", "com", "a.b.co.uk", "co.uk", "bbc.uk", "www.ck", "x.www.ck", "shop.co.ck", "deep.shop.co.ck", "co.ck", "ck", "city.kawasaki.jp", "a.city.kawasaki.jp", "x.y.kawasaki.jp", "y.kawasaki.jp", "user.github.io", "a.user.github.io", "github.io", "WWW.Loja.COM.BR.", "unknown.zz", "10.1.2.3", "[::1]", "", None]
 MAPS = [(1, "https://www.google.com/maps/a", "https://www.acme.com/"), (2, "https://goo.gl/b", None), (3, "https://goo.gl/c", "http://acme.com"), (4, "https://goo.gl/d", "https://known.com/x"), (5, "https://goo.gl/e", "https://new-site.io")]
 SITEMAPS = [
     ("https://acme.com", 2, '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://acme.com/blog</loc></url><url><loc> https://acme.com/contact </loc></url><url><loc>http://localhost/x</loc></url></urlset>'),

@@ -381,6 +381,24 @@ def oracle_sql() -> dict[str, str]:
         "truthy_update": "select c_custkey, case when c_custkey % 3 = 1 then 'New ' || c_custkey else c_name end as name from customer",
         "queue_rates": "select event_type, count(*) as n, round(count(*) / greatest((epoch(max(ts))::bigint - epoch(min(ts))::bigint) / 60.0, 1.0), 2) as per_minute from events group by 1",
         "backoff": "select r_regionkey, least(2.0::double ** (r_regionkey * 2), 30.0::double) as seconds from region",
+        "token_bucket": f"""select event_id, event_type, round(greatest(0.0, -(4.0 + u - max(u) over w) / 5.0), 6) as wait from
+          (select event_id, event_type, s, 5.0::double * s - row_number() over (partition by event_type order by s, event_id) as u from (select *, floor(epoch(ts))::bigint as s from events))
+          window w as (partition by event_type order by s, event_id rows unbounded preceding)""",
+        "gated_events": """with recursive m as (select *, row_number() over (partition by key order by at_ms, kind = 'job', job_id) as rn from
+            (select user_id::varchar as key, (event_id % 3)::varchar as job_id, case event_type when 'purchase' then 'done' when 'error' then 'failed' else 'job' end as kind, epoch_us(ts) // 1000 as at_ms from events)),
+          s as (select distinct key, 0::bigint as rn, null::bigint as done, null::bigint as lock_ms, null::varchar as held, null::varchar as outcome, null::varchar as job_id, null::bigint as at_ms from m
+            union all select key, rn, case when kind = 'done' then greatest(coalesce(done, at_ms), at_ms) else done end, case when outcome = 'claimed' then at_ms + 21600000 else lock_ms end,
+              case when outcome = 'claimed' then job_id when kind <> 'job' and h = job_id then null else h end, outcome, job_id, at_ms
+            from (select *, case when kind = 'job' then case when done is not null and at_ms - done < 86400000 then 'recent' when h is not null then 'locked' else 'claimed' end end as outcome
+              from (select m.*, s.done, s.lock_ms, case when s.held is not null and s.lock_ms <= m.at_ms then null else s.held end as h from s join m on m.key = s.key and m.rn = s.rn + 1)))
+          select key, job_id, at_ms, outcome, count(*) as n from s where outcome is not null group by all""",
+        "suffix_domains": f"""with h as (select host, count(*) as n from (select host from {D.values(D.SUFFIX_HOSTS, "host")} union all select {host("url")} from pages) group by 1),
+          r as (select * from {D.values(D.SUFFIX_RULES, "rule")}),
+          l as (select host, string_split(rtrim(lower(host), '.'), '.') as parts from h where host <> '' and not regexp_matches(host, '^[0-9.]*$') and not contains(host, ':')),
+          t as (select host, parts, k, array_to_string(parts[-k:], '.') as tail, array_to_string(parts[len(parts) - k + 2:], '.') as rest from l, range(1, 12) x(k) where k <= len(parts)),
+          m as (select host, parts, starts_with(rule, '!') as exempt, k - starts_with(rule, '!')::int as taken from t join r on rule = tail or rule = '!' || tail or (k > 1 and rule = '*.' || rest)),
+          b as (select host, any_value(parts) as parts, max({{'e': exempt, 'k': taken}}).k as k from m group by host)
+          select h.host, array_to_string(parts[len(parts) - k + 1:], '.') as suffix, case when len(parts) > k then array_to_string(parts[len(parts) - k:], '.') end as registered, n from h left join b using (host)""",
         "recent_dedup": """with recursive e as (select event_id, user_id, floor(epoch(ts))::bigint as s from events),
           k as (select user_id, min({'s': s, 'event_id': event_id}) as f from e group by user_id
             union all select k.user_id, (select min({'s': e.s, 'event_id': e.event_id}) from e where e.user_id = k.user_id and e.s >= k.f.s + 86400) as f from k where k.f is not null)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -59,26 +59,34 @@ def split_retries(failed: DataFrame, most: int = MAX_RETRIES, source: str = "cra
     return again, dead
 
 
-def token_bucket(requests: DataFrame, key: str, seconds: str, rate: float = 5.0, order: str | None = None) -> DataFrame:
-    """Adds ``wait``: seconds until a token is there, for each request of a key in order of time; capacity max(rate, 1)."""
-    schema = requests.schema.add("wait", "double")
-    capacity = max(rate, 1.0)
+def token_bucket(requests: DataFrame, key: str, seconds: str, rate: float = 5.0, order: str | None = None, chunks: int | None = None) -> DataFrame:
+    """Adds ``wait``: seconds until a token is there, for each request of a key in order of time; capacity max(rate, 1).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, tokens, last = None, capacity, 0.0
-        for rows in batches:
-            waits = []
-            for k, t in zip(rows[key], rows[seconds], strict=True):
-                if k != current:
-                    current, tokens, last = k, capacity, float(t)
-                tokens = min(capacity, tokens + max(0.0, t - last) * rate)
-                last = max(last, float(t))
-                wait = max(0.0, (1.0 - tokens) / rate)
-                tokens -= 1.0
-                waits.append(wait)
-            yield rows.assign(wait=waits)
-
-    return requests.repartition(key).sortWithinPartitions(key, seconds, *([order] if order else [])).mapInPandas(run, schema)
+    A request turns the tokens x before it into min(capacity, x + rate * elapsed) - 1. Such steps, of the form min(a, x + b), compose into
+    one of the same form, so a run of requests is known by two numbers: how many they are, and the greatest rate * time - place in it.
+    Time is cut into ``chunks`` (as many as shuffle partitions, at quantiles of all times); each chunk of a key is scanned by itself, the chunks'
+    numbers are summed up along the key, and a key with all the rows still uses every task. Rows without time get no wait and use no token; rows
+    of a null key share one bucket. Without ``order``, requests of one instant are taken in any order.
+    """
+    capacity, at = max(rate, 1.0), F.col(seconds).cast("double")
+    count = chunks or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    timed = requests.where(F.col(seconds).isNotNull())
+    bounds = sorted(set(timed.select(at.alias("t")).approxQuantile("t", [i / count for i in range(1, count)], 0.2 / count))) if count > 1 else []
+    chunk = F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < at)) if bounds else F.lit(0)
+
+    inside = Window.partitionBy(key, "_chunk").orderBy(seconds, *([order] if order else []))
+    numbered = timed.withColumn("_chunk", chunk).withColumn("_place", F.row_number().over(inside)).withColumn("_level", at * rate - F.col("_place"))
+    numbered = numbered.withColumn("_top", F.max("_level").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # a chunk of a key as one row, and along the key what comes before it: a prefix scan over few rows
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    runs = numbered.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.max("_level").alias("_most"))
+    runs = runs.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    runs = runs.withColumn("_earlier", F.max(F.col("_most") - F.col("_offset")).over(before)).select(F.col(key).alias("_key"), F.col("_chunk").alias("_run"), "_offset", "_earlier")
+    joined = numbered.join(runs, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_run")))
+    top = F.greatest(F.col("_earlier"), F.col("_top") - F.col("_offset"))
+    left = F.lit(capacity - 1) + F.col("_level") - F.col("_offset") - top
+    out = joined.withColumn("wait", F.greatest(F.lit(0.0), -left / F.lit(rate))).select(*requests.columns, "wait")
+    return out.unionByName(requests.where(F.col(seconds).isNull()).withColumn("wait", F.lit(None).cast("double")))
 
 
 def not_recent(jobs: DataFrame, done: DataFrame, key: str, now: str, finished: str, window: int = RECENT_SECONDS) -> DataFrame:
@@ -89,12 +97,16 @@ def not_recent(jobs: DataFrame, done: DataFrame, key: str, now: str, finished: s
 
 def claim(jobs: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(one job of each key: the first by ``order``, the others): a key is worked on by one job at a time. The others go back to the
-    queue as they are; that is no retry. A minimum before the shuffle, so a hot key is one row a task."""
+    queue as they are; that is no retry. Of jobs that agree in key and order the first by their other columns is claimed, of equal rows one; no job
+    vanishes. Jobs without key are each claimed. A minimum before the shuffle, so a hot key is one row a task."""
     rest = [c for c in jobs.columns if c not in (key, *order)]
-    first = jobs.groupBy(key).agg(F.min(F.struct(*order)).alias("first")).select(key, "first.*")
-    at = [key, *order]
-    mine = jobs.join(first, at, "left_semi").dropDuplicates(at) if rest else first
-    return mine.select(*jobs.columns), jobs.join(first, at, "left_anti").select(*jobs.columns)
+    same = jobs.groupBy(*jobs.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    first = jobs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_first"))
+    joined = same.join(first, key, "left").withColumn("_mine", F.struct(*order, *rest).eqNullSafe(F.col("_first")))
+    mine = joined.where("_mine").select(*jobs.columns).unionByName(jobs.where(F.col(key).isNull()))
+    left = F.col("_copies") - F.col("_mine").cast("long")
+    back = joined.where(F.col(key).isNotNull() & (left > 0)).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), left)))
+    return mine, back.select(*jobs.columns)
 
 
 def progress(jobs: DataFrame, status: str) -> DataFrame:
