@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import work_dir
+
 #: Bytes of text that a numpy step works on at once. One longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 19
 
@@ -21,22 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees. A session in local mode that names none gets a temporary one; a cluster has to name it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.fullmatch(r"local(\[[^-]*\])?", spark.conf.get("spark.master", "")):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def save(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage is cut and lost executors cost nothing that was written.
     Without ``dictionary`` for columns of hashes, which hardly repeat."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftwell-{name}-{uuid.uuid4().hex}"
+    path = work_dir(spark, name)
     df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     saved = spark.read.schema(df.schema).parquet(path)
     saved.saved_at = path

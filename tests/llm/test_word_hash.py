@@ -6,7 +6,8 @@ import zlib
 import numpy as np
 import pytest
 
-from siftwell.llm import common, hashing, line_dedup, order_minhash, queries, token_store
+from siftwell import session
+from siftwell.llm import hashing, line_dedup, order_minhash, queries, token_store
 
 WORDS = queries.tokenizer_path("word_bpe_49k.json")
 
@@ -100,9 +101,9 @@ class _Session:
 @pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"])
 def test_a_cluster_has_to_name_its_shared_folder(master):
     with pytest.raises(ValueError, match="checkpoint"):
-        common.shared_dir(_Session(master))
+        session.shared_dir(_Session(master))
 
 
 def test_local_mode_gets_a_folder():
-    session = _Session("local[4]")
-    assert common.shared_dir(session) == session.conf.get("spark.checkpoint.dir")
+    local = _Session("local[4]")
+    assert session.shared_dir(local) == local.conf.get("spark.checkpoint.dir")
