@@ -20,12 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch while ``save`` writes: a batch of long texts then leaves room for what is made of it.
+BATCH_ROWS = 1000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """The session's Arrow batches have ``BATCH_ROWS`` rows at most in here, and what they had before afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def save(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage is cut and lost executors cost nothing that was written.
     Without ``dictionary`` for columns of hashes, which hardly repeat."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
+    with small_batches(spark):
+        df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     saved = spark.read.schema(df.schema).parquet(path)
     saved.saved_at = path
     return saved
