@@ -6,17 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
-from .html import unescape
 from .text import clean_address
+from .tree import parts
+
+
+def _found(c: Column, pattern: str) -> Column:
+    """All matches of a pattern that needs an at sign; texts without one, which are most, are not searched."""
+    none = F.when(c.isNotNull(), F.array().cast("array<string>"))
+    return F.when(c.contains("@"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))).otherwise(none)
 
 
 def scan(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(C.EMAIL), F.lit(0))
+    return _found(c, C.EMAIL)
 
 
 def scan_quoted(c: Column) -> Column:
     """As ``scan``, with local parts in quotes."""
-    return F.regexp_extract_all(c, F.lit(C.EMAIL_OR_QUOTED), F.lit(0))
+    return _found(c, C.EMAIL_OR_QUOTED)
 
 
 def scan_distinct(c: Column) -> Column:
@@ -25,7 +31,7 @@ def scan_distinct(c: Column) -> Column:
 
 def scan_outside_urls(c: Column) -> Column:
     """Addresses that do not follow a slash (those are the credentials of a URL)."""
-    found = F.regexp_extract_all(c, F.lit(f"(?i)/?(?:{C.EMAIL.removeprefix('(?i)')})"), F.lit(0))
+    found = _found(c, f"(?i)/?(?:{C.EMAIL.removeprefix('(?i)')})")
     return F.filter(found, lambda x: ~x.startswith("/"))
 
 
@@ -48,10 +54,11 @@ def in_base64(html: Column) -> Column:
 
 
 def obfuscated(html: Column) -> Column:
-    """``name (at) host (dot) tld``; the dot must be spelt out."""
+    """``name (at) host (dot) tld``; the dot must be spelt out, and pages without one are not searched."""
     parts = [F.regexp_extract_all(html, F.lit(C.OBFUSCATED), F.lit(i)) for i in (1, 2, 3)]
     rebuilt = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "abc", strict=True)]), lambda x: F.concat(x["a"], F.lit("@"), x["b"], F.lit("."), x["c"]))
-    return _each(rebuilt, scan)
+    spelt = html.rlike(r"(?i)[\[({]dot[\])}]|\bdot\b")
+    return F.when(spelt, _each(rebuilt, scan)).otherwise(F.when(html.isNotNull(), F.array().cast("array<string>")))
 
 
 def cloudflare_decode(code: Column) -> Column:
@@ -71,9 +78,8 @@ def cloudflare(html: Column) -> Column:
 
 
 def mailto(html: Column) -> Column:
-    """Targets of mailto links up to ``?``, character references decoded, not URL-decoded and not split."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(C.MAILTO), F.lit(1)), lambda x: F.lower(F.trim(F.substring_index(unescape(x), "?", 1))))
-    return F.filter(found, lambda x: x.contains("@"))
+    """Targets of mailto links up to ``?``, character references decoded, not URL-decoded and not split; of the parsed page."""
+    return parts(html)["mailto"]
 
 
 def local_part(address: Column) -> Column:

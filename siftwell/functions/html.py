@@ -1,90 +1,60 @@
-"""Parts of pages, by expressions over the HTML. ``operators.parsing`` has the parser for what these cannot tell."""
+"""Parts of pages. What needs a parse comes from ``tree``, once a page; the rest are expressions."""
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import html as standard
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
 from .patterns import matching
-from .text import strip
+from .tree import parts
 
-#: Numbers that stand for characters of Windows-1252 where pages use them as references.
-_WINDOWS = {n: ord(bytes([n]).decode("cp1252")) for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
-#: References by name (with a semicolon), or by number (with or without).
-REFERENCE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,8};)"
 
+def unescape(c: Column) -> Column:
+    """Character references decoded as HTML5 names them, with or without a semicolon. Arrow batches."""
 
-def references() -> dict[str, int]:
-    """Code points of the named characters: those of HTML 4 in the standard library, and those that hide addresses."""
-    return name2codepoint | {"apos": 39, "commat": 64, "period": 46, "colon": 58, "sol": 47, "lowbar": 95, "plus": 43, "num": 35}
-
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: standard.unescape(t) if t and "&" in t else t)
 
-def _map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return run(c)
 
 
-def _character(reference: Column) -> Column:
-    """The character of a reference; null if there is no such name."""
-    number = lambda rx: F.nullif(F.regexp_extract(reference, rx, 1), F.lit(""))
-    code = F.coalesce(
-        F.try_element_at(_map(references()), F.regexp_extract(reference, "^&([A-Za-z][A-Za-z0-9]*);$", 1)),
-        number("^&#([0-9]+)").cast("int"),
-        F.conv(number("^&#[xX]([0-9a-fA-F]+)"), 16, 10).cast("int"),
-    )
-    code = F.coalesce(F.try_element_at(_map(_WINDOWS), code), code)
-    code = F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), 0xFFFD).otherwise(code)
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+def unescape_all(c: Column) -> Column:
+    """``unescape`` for each text of an array."""
 
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            yield lists.map(lambda x: x if x is None else [t and standard.unescape(t) for t in x])
 
-def unescape(c: Column) -> Column:
-    """Character references decoded, each once: those of ``&`` come last, and longer ones before shorter ones."""
-    found = F.transform(F.array_distinct(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))), lambda r: F.struct(r.alias("r"), _character(r).alias("c")))
-    placed = F.transform(F.filter(found, lambda x: x["c"].isNotNull()), lambda x: F.struct((x["c"] == "&").alias("last"), (-F.length(x["r"])).alias("size"), x["r"].alias("r"), x["c"].alias("c")))
-    decoded = F.aggregate(F.array_sort(placed), c, lambda text, x: F.replace(text, x["r"], x["c"]))
-    return F.when(c.contains("&"), decoded).otherwise(c)
+    return run(c)
 
 
 def title(html: Column) -> Column:
     """Text of the first title; an empty string without one."""
-    return F.left(strip(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(500))
-
-
-def _tags_off(c: Column) -> Column:
-    return strip(F.regexp_replace(unescape(F.regexp_replace(c, r"(?s)<[^>]*>", " ")), r"\s+", " "))
+    return parts(html)["title"]
 
 
 def visible_text(html: Column) -> Column:
     """Text outside scripts, styles, noscript and comments, white space collapsed."""
-    c = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    return _tags_off(F.regexp_replace(c, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " "))
+    return parts(html)["text"]
 
 
 def section_text(html: Column, tag: str, most: int) -> Column:
-    """Text of the first such element, cut to so many characters; without one, that of the first element whose class holds the
-    name, up to the first end tag of its kind."""
-    named = F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
-    opening = rf"""(?is)<([a-z][a-z0-9]*)\s[^>]*class\s*=\s*["'][^"'>]*{tag}[^>]*>"""
-    start, kind = F.regexp_extract(html, opening, 0), F.regexp_extract(html, opening, 1)
-    after = F.substring(html, F.length(F.split_part(html, start, F.lit(1))) + F.length(start) + 1, F.length(html))
-    classed = F.split_part(after, F.concat(F.lit("</"), kind), F.lit(1))
-    return F.left(_tags_off(F.when(named != "", named).when(start != "", classed).otherwise("")), F.lit(most))
+    """Text of the first such element (footer or header), cut to so many characters; without one, that of the first element whose
+    class holds the name."""
+    return F.left(parts(html)[tag], F.lit(most))
 
 
 def meta(html: Column) -> Column:
-    """name or property -> content; the last of equal names counts. Values stand in quotes or bare."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
-
-    def attribute(t: Column, n: str) -> Column:
-        quoted, bare = (F.regexp_extract(t, rf"""(?is)\s{n}\s*=\s*{rx}""", 1) for rx in ("""["']([^"']*)["']""", """([^\\s"'>]+)"""))
-        return F.when(quoted != "", quoted).otherwise(bare)
-
-    pairs = F.transform(tags, lambda t: F.struct(F.lower(F.coalesce(F.nullif(attribute(t, "name"), F.lit("")), attribute(t, "property"))).alias("k"), F.left(unescape(attribute(t, "content")), F.lit(1000)).alias("v")))
-    none = F.create_map().cast("map<string,string>")
-    # one pass: the tags are read once, not once for each of them
-    return F.aggregate(pairs, none, lambda m, p: F.when((p["k"] == "") | (p["v"] == ""), m).otherwise(F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"]))))
+    """name or property -> content; the last of equal names counts."""
+    return parts(html)["meta"]
 
 
 def description(html: Column) -> Column:
@@ -92,7 +62,7 @@ def description(html: Column) -> Column:
 
 
 def json_ld_blocks(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
+    return parts(html)["json_ld"]
 
 
 def has_json_ld(html: Column) -> Column:

@@ -39,7 +39,7 @@ def raw_finds(html: Column) -> Column:
 
 
 def page_parts(html: Column) -> dict[str, Column]:
-    """What the first pass reads of a page, as columns of their own so that each is made once."""
+    """What the first pass reads of a page: parts of one parse."""
     return {"part_mailto": E.mailto(html), "part_text": H.visible_text(html), "part_footer": H.section_text(html, "footer", 5000), "part_header": H.section_text(html, "header", 2000)}
 
 

@@ -1,7 +1,6 @@
-"""Parts of pages that expressions cannot tell: resolved links, microdata, addresses deep in JSON-LD.
+"""What pages say in structure: resolved links, microdata, addresses deep in JSON-LD, facts of the company.
 
-A small tag reader runs on Arrow batches of pages; everything else is an expression (``functions.html``). It builds no repaired tree:
-unclosed tags end with their section.
+The page itself is parsed once (``functions.tree``); its JSON-LD blocks are walked in Arrow batches, everything else is an expression.
 """
 
 from __future__ import annotations
@@ -9,7 +8,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -18,72 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as C
+from ..functions import tree
 from ..functions import urls as U
 
-PARSED = T.StructType(
-    [
-        T.StructField("hrefs", T.ArrayType(T.StringType())),
-        T.StructField("images", T.ArrayType(T.StringType())),
-        T.StructField("json_ld", T.ArrayType(T.StringType())),
-        T.StructField("schema_addresses", T.ArrayType(T.StringType())),
-        T.StructField("microdata", T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("properties", T.MapType(T.StringType(), T.StringType()))]))),
-    ]
-)
+_OBJECTS = T.StructType([T.StructField("json_ld", T.ArrayType(T.StringType())), T.StructField("schema_addresses", T.ArrayType(T.StringType()))])
 _EMAIL = re.compile(C.EMAIL)
 _MAIL_KEYS = ("email", "contactemail", "contactpoint")
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-
-class _Reader(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.hrefs: list[str] = []
-        self.images: list[str] = []
-        self.blocks: list[str] = []
-        self.items: list[dict] = []
-        self.ld = False
-        self.open: list[tuple[str, int, str, list[str]]] = []  # tag, item, property, its text so far
-        self.scopes: list[tuple[str, int]] = []
-        self.depth = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in attrs}
-        if tag == "a" and "href" in a:
-            self.hrefs.append(a["href"].strip())
-        if tag == "img" and a.get("src", "").strip():
-            self.images.append(a["src"].strip())
-        self.ld = tag == "script" and a.get("type") == "application/ld+json"
-        if self.ld:
-            self.blocks.append("")
-        name = a.get("itemprop", "")
-        if name and self.scopes:
-            value = a.get("content") or a.get("href")
-            for _, item in self.scopes:
-                if value:
-                    self.items[item]["properties"][name] = value
-                elif tag not in _VOID:
-                    self.open.append((tag, item, name, []))
-        if "itemtype" in a:
-            self.items.append({"type": a["itemtype"], "properties": {}})
-            if tag not in _VOID:
-                self.scopes.append((tag, len(self.items) - 1))
-
-    def handle_endtag(self, tag: str) -> None:
-        self.ld = False
-        for found in [x for x in self.open if x[0] == tag][-1:]:
-            for x in [y for y in self.open if y[2] == found[2] and y[0] == tag]:
-                self.open.remove(x)
-                text = "".join(t.strip() for t in x[3])
-                if text:
-                    self.items[x[1]]["properties"][x[2]] = text
-        if self.scopes and self.scopes[-1][0] == tag:
-            self.scopes.pop()
-
-    def handle_data(self, data: str) -> None:
-        if self.ld:
-            self.blocks[-1] += data
-        for x in self.open:
-            x[3].append(data)
 
 
 def _addresses(value: object) -> Iterator[str]:
@@ -100,29 +38,37 @@ def _addresses(value: object) -> Iterator[str]:
                 yield from _addresses(x)
 
 
-def read_page(html: str | None) -> dict:
-    reader, objects = _Reader(), []
-    if html and html.strip():
-        reader.feed(html)
-    for block in reader.blocks:
+def read_objects(blocks: list[str]) -> tuple[list[str], list[str]]:
+    """(objects of JSON-LD blocks, addresses in them: of typed ones, then of all). Blocks that are no JSON are passed over."""
+    objects = []
+    for block in blocks:
         try:
             data = json.loads(block)
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
         objects += [x for x in (data if isinstance(data, list) else [data]) if isinstance(x, dict)]
     typed = [x for x in objects if x.get("@type")]
-    return {
-        "hrefs": reader.hrefs,
-        "images": reader.images,
-        "json_ld": [json.dumps(x, ensure_ascii=False) for x in objects],
-        "schema_addresses": [a for x in [*typed, *objects] for a in _addresses(x)],
-        "microdata": reader.items,
-    }
-
-
-@F.pandas_udf(PARSED)
-def parse_html(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_page(x) for x in html], columns=[f.name for f in PARSED.fields])
+    return [json.dumps(x, ensure_ascii=False) for x in objects], [a for x in [*typed, *objects] for a in _addresses(x)]
+
+
+def read_page(html: str | None) -> dict:
+    """The parts of one page (as ``parse_html`` gives them for a column)."""
+    page = dict(zip(tree.PARTS.names, tree.read(html), strict=True))
+    page["json_ld"], page["schema_addresses"] = read_objects(page["json_ld"])
+    return page
+
+
+@F.pandas_udf(_OBJECTS)
+def _objects(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for lists in batches:
+        yield pd.DataFrame([read_objects(x if x is not None else []) for x in lists], columns=_OBJECTS.names)
+
+
+def parse_html(html: Column) -> Column:
+    """struct<hrefs, images, json_ld, schema_addresses, microdata> of one parse a page."""
+    page = tree.parts(html)
+    said = _objects(page["json_ld"])
+    return F.struct(page["hrefs"].alias("hrefs"), page["images"].alias("images"), said["json_ld"].alias("json_ld"), said["schema_addresses"].alias("schema_addresses"), page["microdata"].alias("microdata"))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.html import unescape
+from ..functions.html import unescape, unescape_all
 from ..functions.text import strip
 from ..operators.enrichment import contact_first
 
@@ -17,7 +17,7 @@ def sitemap_urls(xml: Column, most: int = 50) -> Column:
     """Safe URLs of the ``loc`` elements, with or without a namespace, in order. A text that does not close its root gives none; an index
     file is not followed."""
     whole = xml.rlike(r"(?s)</(?:[\w\-]+:)?(?:urlset|sitemapindex)>\s*$")
-    found = F.transform(F.regexp_extract_all(xml, F.lit(_LOC), F.lit(1)), lambda u: unescape(strip(u)))
+    found = unescape_all(F.transform(F.regexp_extract_all(xml, F.lit(_LOC), F.lit(1)), strip))
     good = F.filter(found, lambda u: (u != "") & U.is_safe(u))
     return F.when(F.coalesce(whole, F.lit(False)), F.slice(good, 1, most)).otherwise(F.array().cast("array<string>"))
 
