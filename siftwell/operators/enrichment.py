@@ -104,6 +104,19 @@ def crawl_plan(base: Column, sitemap_pages: Column, most: int = 20) -> Column:
     return F.slice(F.array_distinct(F.concat(F.array(base), F.coalesce(sitemap_pages, F.array().cast("array<string>")), known)), 1, most)
 
 
+def site_pages(pages: DataFrame, base: str, url: str, most: int = 50) -> DataFrame:
+    """base and urls: of each site the first ``most`` distinct safe pages, contact pages before the others, each in the order of their URLs.
+
+    The best of a site are picked before the shuffle and again after it, so a site of any size is ``most`` rows a task; sites without
+    a safe page have none.
+    """
+    distinct = pages.select(base, url).distinct()
+    place = F.row_number().over(Window.partitionBy(base).orderBy(F.desc("_contact"), url))
+    best = distinct.where(U.is_safe(F.col(url))).withColumn("_contact", U.is_contact_page(F.col(url))).withColumn("_place", place).where(F.col("_place") <= most)
+    listed = best.groupBy(base).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", url))), lambda x: x[url]).alias("urls"))
+    return distinct.select(base).distinct().join(listed, base, "left")
+
+
 def contact_first(urls: Column, most: int = 50) -> Column:
     """Distinct safe URLs, contact pages before the others, each in the given order."""
     good = F.array_distinct(F.filter(urls, U.is_safe))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def insert_new(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows of ``incoming`` whose key is not stored; the first of equal keys by ``order``. To be appended."""
@@ -47,16 +49,9 @@ def top_per(df: DataFrame, key: str, order: Sequence[Column], most: int = 500) -
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def batch_ids(df: DataFrame, order: str, size: int = 100, runs: int = 256) -> DataFrame:
-    """Adds batch_id from 1: so many rows each, in the order of a number. Rows are counted in runs of the order first, so
-    that no task numbers the whole table."""
-    bounds = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / runs))
-    at = df.crossJoin(F.broadcast(bounds)).withColumn("run", F.floor((F.col(order) - F.col("lo")) / width))  # bounds is one row
-    counts = at.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("run", F.coalesce(F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # at most ``runs`` rows
-    numbered = at.withColumn("rn", F.row_number().over(Window.partitionBy("run").orderBy(order))).join(F.broadcast(before), "run")
-    return numbered.withColumn("batch_id", F.ceil((F.col("rn") + F.col("before")) / size).cast("long")).select(*df.columns, "batch_id")
+def batch_ids(df: DataFrame, order: str | Sequence[str], size: int = 100) -> DataFrame:
+    """Adds batch_id from 1: so many rows each, in the order of one or more columns of any kind that sorts."""
+    return numbered(df, [order] if isinstance(order, str) else order, "batch_id").withColumn("batch_id", F.ceil(F.col("batch_id") / size).cast("long"))
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:

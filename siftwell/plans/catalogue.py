@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import enrichment as N
 from ..operators import domains, extraction, scoring, store, validation
+from ..operators.numbering import numbered, page_after
 from ..sources import feeds, imports
 from ..streaming import jobs as J
 from ..streaming import state as S
@@ -45,6 +47,35 @@ def whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.host(F.col("url")).alias("domain"), "url", "html")
 
 
+#: Added to the ids of the pages table where fixture pages stand beside it.
+BESIDE = 1_000_000
+
+
+def both_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture pages and the whole table of pages."""
+    return fixture_pages(spark).unionByName(whole_pages(spark, sf_dir).withColumn("page_id", F.col("page_id") + BESIDE))
+
+
+def rich_pages(spark: SparkSession) -> DataFrame:
+    return D.frame(spark, D.RICH_PAGES, "page_id long, domain string, url string, success boolean, html string")
+
+
+def both_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = whole_pages(spark, sf_dir).withColumn("page_id", F.col("page_id") + BESIDE).withColumn("success", F.lit(True))
+    return rich_pages(spark).unionByName(whole)
+
+
+def _page_query(fixture: Callable[[SparkSession], DataFrame], both: Callable[[SparkSession, str], DataFrame]):
+    """Registers f(spark, pages) over the fixture pages, and as ``.._all`` over these and the whole table."""
+
+    def register(f: Callable[[SparkSession, DataFrame], DataFrame]):
+        _found[f.__name__] = lambda spark, sf_dir: f(spark, fixture(spark))
+        _found[f"{f.__name__}_all"] = lambda spark, sf_dir: f(spark, both(spark, sf_dir))
+        return f
+
+    return register
+
+
 def listed(c: Column) -> Column:
     """An array as text, null as empty."""
     return F.coalesce(F.array_join(c, "|"), F.lit(""))
@@ -170,9 +201,9 @@ def page_finds(spark, sf_dir):
     return df.select("page_id", "pass_no", "strategy_no", "match_no", "address", "method", "hint")
 
 
-@_query
-def fixture_finds(spark, sf_dir):
-    first = extraction.first_on_page(extraction.explode_finds(fixture_pages(spark), F.col("html")), ["page_id"])
+@_page_query(fixture_pages, both_pages)
+def fixture_finds(spark, pages):
+    first = extraction.first_on_page(extraction.explode_finds(pages, F.col("html")), ["page_id"])
     return first.select("page_id", "pass_no", "address", "method", "hint")
 
 
@@ -194,15 +225,16 @@ def company_emails_all(spark, sf_dir):
     return _company_emails(whole_pages(spark, sf_dir))
 
 
-def _strategy(scan):
-    def run(spark, sf_dir):
-        return fixture_pages(spark).select("page_id", listed(scan(F.col("html"))).alias("found"))
+def _strategy(name: str, scan: Callable[[Column], Column]) -> None:
+    def run(spark, pages):
+        return pages.select("page_id", listed(scan(F.col("html"))).alias("found"))
 
-    return run
+    run.__name__ = name
+    _page_query(fixture_pages, both_pages)(run)
 
 
 for _name, _scan in (("script_emails", E.in_scripts), ("comment_emails", E.in_comments), ("base64_emails", E.in_base64), ("obfuscated_emails", E.obfuscated), ("cloudflare_emails", E.cloudflare), ("mailto_emails", E.mailto)):
-    _found[_name] = _strategy(_scan)
+    _strategy(_name, _scan)
 
 
 @_query
@@ -324,10 +356,10 @@ def issue_counts(spark, sf_dir):
     return _issues(spark, sf_dir).select(F.explode("issues.code").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query
-def tech_detect(spark, sf_dir):
+@_page_query(fixture_pages, both_pages)
+def tech_detect(spark, pages):
     headers = D.frame(spark, D.HEADERS, "page_id long, headers map<string,string>")
-    df = fixture_pages(spark).join(headers, "page_id", "left").withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>")))
+    df = pages.join(headers, "page_id", "left").withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>")))
     return df.select("page_id", listed(F.transform(H.technologies(F.col("html"), F.col("headers")), lambda t: F.concat_ws("/", t["name"], t["category"], t["detection"]))).alias("technologies"))
 
 
@@ -338,14 +370,14 @@ def tech_pages(spark, sf_dir):
     return df.groupBy("host", "name").agg(F.min("page_id").alias("first_page"))
 
 
-@_query
-def social_links(spark, sf_dir):
-    return fixture_pages(spark).select("page_id", F.explode(H.social_links(F.col("html"))).alias("platform", "link"))
+@_page_query(fixture_pages, both_pages)
+def social_links(spark, pages):
+    return pages.select("page_id", F.explode(H.social_links(F.col("html"))).alias("platform", "link"))
 
 
-@_query
-def social_merged(spark, sf_dir):
-    rows = fixture_pages(spark).select("domain", "page_id", F.explode(H.social_links(F.col("html"))).alias("platform", "link"))
+@_page_query(fixture_pages, both_pages)
+def social_merged(spark, pages):
+    rows = pages.select("domain", "page_id", F.explode(H.social_links(F.col("html"))).alias("platform", "link"))
     merged = N.first_map(rows, ["domain"], F.col("page_id"), "platform", "link", "links")
     return merged.select("domain", F.explode("links").alias("platform", "link"))
 
@@ -370,9 +402,8 @@ def business_summary(spark, sf_dir):
     return df.select("id", N.business_summary(F.col("description"), F.split("services", r"\|", -1), F.col("industry"), F.col("category"), "No business description found on site.").alias("summary"))
 
 
-@_query
-def home_pages(spark, sf_dir):
-    pages = fixture_pages(spark)
+@_page_query(fixture_pages, both_pages)
+def home_pages(spark, pages):
     return N.home_page(pages, "domain", F.col("url"), F.concat(U.base_url(F.col("url")), F.lit("/")), F.col("page_id")).select("domain", "page_id")
 
 
@@ -409,9 +440,8 @@ def robots_sitemap(spark, sf_dir):
 
 @_query
 def crawl_plan(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(U.base_url(F.col("url")).alias("base"), "url").distinct()
-    lists = pages.groupBy("base").agg(F.array_sort(F.collect_list("url")).alias("urls"))
-    return lists.select("base", listed(N.crawl_plan(F.col("base"), N.contact_first(F.col("urls")))).alias("plan"))
+    pages = table(spark, sf_dir, "pages").select(U.base_url(F.col("url")).alias("base"), "url")
+    return N.site_pages(pages, "base", "url").select("base", listed(N.crawl_plan(F.col("base"), F.col("urls"))).alias("plan"))
 
 
 def _import_rows(spark: SparkSession) -> DataFrame:
@@ -463,6 +493,19 @@ def status_page(spark, sf_dir):
     return store.page_of(o, [F.col("o_orderdate"), F.col("o_orderkey")], 100, 200)
 
 
+@_query
+def keyset_page(spark, sf_dir):
+    """The page behind a key, however deep it lies."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("at"), "o_orderkey", "o_custkey")
+    return page_after(o, ["at", "o_orderkey"], [datetime(1996, 7, 1, tzinfo=UTC), 100], 100).select(F.unix_seconds("at").alias("at"), "o_orderkey", "o_custkey")
+
+
+@_query
+def customer_places(spark, sf_dir):
+    """Places in an order of text whose first column has five values, so that the later ones decide."""
+    return numbered(table(spark, sf_dir, "customer").select("c_mktsegment", "c_name", "c_custkey"), ["c_mktsegment", "c_name", "c_custkey"])
+
+
 @_query
 def topk_per_company(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
@@ -613,32 +656,28 @@ def gated_events(spark, sf_dir):
 # -- pages with structured data, references and sections by class; runs and queues ----------------------------------
 
 
-def rich_pages(spark: SparkSession) -> DataFrame:
-    return D.frame(spark, D.RICH_PAGES, "page_id long, domain string, url string, success boolean, html string")
-
-
-@_query
-def rich_finds(spark, sf_dir):
+@_page_query(rich_pages, both_rich)
+def rich_finds(spark, pages):
     """All strategies, that over JSON-LD included, with the first of each pass of a page."""
     from ..operators.parsing import parse_html
 
-    pages = rich_pages(spark).withColumn("parsed", parse_html(F.col("html")))
+    pages = pages.withColumn("parsed", parse_html(F.col("html")))
     finds = extraction.explode_finds(pages, F.col("html"), F.col("parsed.schema_addresses"))
     return extraction.first_on_page(finds, ["page_id"]).select("page_id", "pass_no", "address", "method", "hint")
 
 
-@_query
-def schema_emails(spark, sf_dir):
+@_page_query(rich_pages, both_rich)
+def schema_emails(spark, pages):
     from ..operators.parsing import parse_html
 
-    return rich_pages(spark).select("page_id", listed(F.array_sort(F.array_distinct(parse_html(F.col("html"))["schema_addresses"]))).alias("found"))
+    return pages.select("page_id", listed(F.array_sort(F.array_distinct(parse_html(F.col("html"))["schema_addresses"]))).alias("found"))
 
 
-@_query
-def rich_sections(spark, sf_dir):
+@_page_query(rich_pages, both_rich)
+def rich_sections(spark, pages):
     html = F.col("html")
     footer = H.section_text(html, "footer", 5000)
-    return rich_pages(spark).select("page_id", H.title(html).alias("title"), footer.alias("footer"), H.section_text(html, "header", 2000).alias("header"), F.coalesce(H.copyright_year(footer).cast("string"), F.lit("")).alias("year"), H.description(html).alias("description"))
+    return pages.select("page_id", H.title(html).alias("title"), footer.alias("footer"), H.section_text(html, "header", 2000).alias("header"), F.coalesce(H.copyright_year(footer).cast("string"), F.lit("")).alias("year"), H.description(html).alias("description"))
 
 
 @_query
@@ -648,25 +687,25 @@ def open_graph(spark, sf_dir):
     return both.select("page_id", F.explode(H.open_graph(F.col("html"))).alias("name", "content"))
 
 
-@_query
-def company_metadata(spark, sf_dir):
+@_page_query(rich_pages, both_rich)
+def company_metadata(spark, pages):
     """Name and description by the first usable page of each company."""
     from ..operators.parsing import company_facts, parse_html
 
     html = F.col("html")
-    pages = rich_pages(spark).withColumn("parsed", parse_html(html))
+    pages = pages.withColumn("parsed", parse_html(html))
     facts = company_facts(F.col("parsed.json_ld"), H.open_graph(html), H.meta(html), H.title(html), H.description(html))
     found = N.first_page_facts(pages, "domain", F.col("page_id"), facts)
     return found.select("domain", F.col("facts.name").alias("name"), F.col("facts.description").alias("description"), listed(F.col("facts.phone_numbers")).alias("phones"))
 
 
-@_query
-def company_phones(spark, sf_dir):
+@_page_query(rich_pages, both_rich)
+def company_phones(spark, pages):
     """Stated numbers of the first usable page, then those in the texts of all usable pages in order."""
     from ..operators.parsing import company_facts, parse_html
 
     html = F.col("html")
-    pages = N.usable(rich_pages(spark)).withColumn("parsed", parse_html(html))
+    pages = N.usable(pages).withColumn("parsed", parse_html(html))
     facts = company_facts(F.col("parsed.json_ld"), H.open_graph(html), H.meta(html), H.title(html), H.description(html))
     stated = N.first_page_facts(pages, "domain", F.col("page_id"), facts).select("domain", F.col("facts.phone_numbers").alias("stated"))
     rows = pages.select("domain", "page_id", F.posexplode(H.phones(H.visible_text(html))).alias("at", "phone"))

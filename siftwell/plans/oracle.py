@@ -373,6 +373,8 @@ def oracle_sql() -> dict[str, str]:
         "export_totals_query": "select (select count(*) from customer) as companies, count(*)::bigint as emails, count(distinct o_custkey) as leads from orders join customer on o_custkey = c_custkey",
         "status_split": "select case when c_custkey in (select o_custkey from orders) then 'leads' else 'no_email' end as kind, count(*) as companies from customer group by 1",
         "engines_used": "select l_orderkey, string_agg(f, '|' order by i, f) as flags from (select l_orderkey, l_returnflag as f, min(l_linenumber) as i from lineitem group by 1, 2) group by 1",
+        "keyset_page": "select epoch(o_orderdate)::bigint as at, o_orderkey, o_custkey from orders where o_orderdate > timestamp '1996-07-01' or (o_orderdate = timestamp '1996-07-01' and o_orderkey > 100) order by o_orderdate, o_orderkey limit 100",
+        "customer_places": "select c_mktsegment, c_name, c_custkey, row_number() over (order by c_mktsegment, c_name, c_custkey) as place from customer",
         "batch_ids": "select o_orderkey, ceil(row_number() over (order by o_orderkey) / 100.0)::bigint as batch_id from orders",
         "keyed_update": "select o_orderkey, case when o_orderkey % 7 = 0 then 'completed' else o_orderstatus end as o_orderstatus, case when o_orderkey % 14 = 0 then '1-URGENT' else o_orderpriority end as o_orderpriority from orders",
         "increment_retry": "select o_orderkey, (o_orderkey % 5 + case when o_orderkey % 3 = 0 then 1 else 0 end)::int as retry_count from orders",
@@ -407,6 +409,22 @@ def oracle_sql() -> dict[str, str]:
           select f.event_id as event_id, user_id, f.s as s from k where f is not null""",
     }
     out |= rich_sql()
+    # every link of the pages table is a path from the root or whole, and none holds dot segments
+    refs = lambda tag, at: f"""list_transform({found("html", rf'(?is)<{tag}\s[^>]*?{at}\s*=\s*"([^"]*)"', 1)}, lambda r: {unescape("trim(r)")})"""
+    whole_url = f"case when regexp_matches(r, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then r else {scheme('url')} || '://' || {netloc('url')} || r end"
+    safe_of = lambda rs: f"list_filter(list_transform({rs}, lambda r: {whole_url}), lambda u: {safe('u')})"
+    out["parsed_pages"] = f"""select page_id, len(links)::int as links, len(pdfs)::int as pdfs, len(images)::int as images, md5({listed("links")}) as digest from (select page_id,
+      {safe_of("list_filter(hrefs, lambda r: not ends_with(lower(r), '.pdf'))")} as links, {safe_of("list_filter(hrefs, lambda r: ends_with(lower(r), '.pdf'))")} as pdfs, {safe_of("srcs")} as images
+      from (select page_id, url, list_filter({refs("a", "href")}, lambda r: not starts_with(lower(r), 'mailto:')) as hrefs, list_filter({refs("img", "src")}, lambda r: r <> '') as srcs from pages))"""
+    # the same over whole tables: fixture pages beside the table of pages, or the table alone
+    whole = f"select page_id{{}}, {host('url')} as domain, url{{}}, html from pages"
+    beside = f"(select * from {PAGES} union all {whole.format(' + 1000000', '')})"
+    rich = f"(select * from {RICH} union all {whole.format(' + 1000000', ', true')})"
+    names = "script_emails comment_emails base64_emails obfuscated_emails cloudflare_emails mailto_emails fixture_finds tech_detect social_links social_merged home_pages".split()
+    out |= {f"{n}_all": out[n].replace(PAGES, beside) for n in names}
+    out |= {f"{n}_all": out[n].replace(RICH, rich) for n in ("rich_finds", "schema_emails", "rich_sections", "company_metadata", "company_phones")}
+    out |= {f"{n}_all": out[n].replace(PAGES, f"({whole.format('', '')})") for n in ("email_scan_quoted", "page_meta", "emails_per_page", "company_emails")}
+    out["job_emails_all"] = out["job_emails"].replace(" where o_orderkey % 50 = 0", "")
     return out
 
 
