@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import work_dir
+
 PAGES_RAW = """company_id string, domain string, page_ord int, url string, final_url string, html string, status_code int,
 content_type string, engine string, success boolean, error string, duration_ms double, redirect_chain array<string>,
 response_headers map<string,string>"""
@@ -33,11 +35,15 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 def write_json_array(df: DataFrame, path: str) -> None:
     """All rows as one JSON array in the text files of a folder, which is the array when they are joined in the order of their names.
-    Every task writes its own rows; none holds them all. ``df`` has to give the same rows in the same order when read again."""
+    Every task writes its own rows; none holds them all. The rows are saved with their places first, so ``df`` is read once."""
+    spark = df.sparkSession
     rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"), F.monotonically_increasing_id().alias("n"))
+    at = work_dir(spark, "json")
+    rows.write.parquet(at)
+    rows = spark.read.schema(rows.schema).parquet(at)
     first = rows.agg(F.min("n")).first()[0]
-    lines = rows.select(F.concat(F.when(F.col("n") == F.lit(first), "[").otherwise(","), F.col("json")).alias("value"))
-    end = df.sparkSession.range(1, numPartitions=1).select(F.lit("]" if first is not None else "[]").alias("value"))
+    lines = rows.repartitionByRange("n").sortWithinPartitions("n").select(F.concat(F.when(F.col("n") == F.lit(first), "[").otherwise(","), F.col("json")).alias("value"))
+    end = spark.range(1, numPartitions=1).select(F.lit("]" if first is not None else "[]").alias("value"))
     lines.union(end).write.mode("overwrite").text(path)
 
 
