@@ -16,10 +16,11 @@ compared in pairs; none are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, discard, save, slices, text_buffer
@@ -32,8 +33,8 @@ SIMILARITY = 0.8
 #: (sketch functions, shingles in each, least and greatest number of shingles of a text). A pair at similarity 0.8 has
 #: at most 1.25 times as many on one side, so it always meets in one family; it is missed by all its functions with a chance below 0.005.
 FAMILIES = ((50, 8, 24, None), (20, 3, 1, 40))
-#: Leaders of a bucket in the second round.
-LEADERS = 2
+#: Rounds in which texts meet further leaders of their buckets, and leaders that a text meets in each.
+ROUNDS, LEADERS = 2, 2
 #: Bits of a text's map of shingles.
 MAP_BITS = 1024
 
@@ -162,8 +163,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _texts(rows: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
-    """digest and text of the texts in pairs(a, b), each once; others do not leave their task."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    """digest and shingles (binary) of the texts in pairs(a, b), each made once; other texts do not leave their task."""
+    wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
     bits = bitmap(wanted.join(heads, "digest").select(F.xxhash64("rep").alias("h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,27 +174,31 @@ def _texts(rows: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield batch.select([0])
 
     found = rows.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "text string").select(digest().alias("digest"), "text")
-    return found.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    once = found.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            data, at = text_buffer(batch.column(1))
+            made = [shingles(data[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["digest", "shingles"])
+
+    return once.mapInArrow(cut, "digest binary, shingles binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """pairs(a, b) of texts(digest, text): those linked, with their similarity."""
+    """pairs(a, b) of texts(digest, shingles): those linked, with their similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
         for batch in slices(batches):
-            (da, oa), (db, ob) = text_buffer(batch.column(2)), text_buffer(batch.column(3))
-            ids, out = batch.column(0).to_pylist(), []
-            for i in range(batch.num_rows):
-                if ids[i] != last:  # else as in the row before
-                    last, left = ids[i], shingles(da[oa[i] : oa[i + 1]])
-                out.append(aligned(left, shingles(db[ob[i] : ob[i + 1]]), similarity))
+            left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
+            out = [aligned(x, y, similarity) for x, y in zip(left, right, strict=True)]
             score = np.array(out, dtype=np.float64)
             keep = pa.array(score >= similarity - 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(score).filter(keep)], names=["a", "b", "similarity"])
 
-    left, right = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
+    texts = save(texts, "omh-shingles", dictionary=False)
+    left, right = texts.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), texts.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def _ordered(x: str, y: str) -> list:
@@ -210,6 +215,18 @@ def _apart(crowded: DataFrame, links: DataFrame) -> DataFrame:
     return apart
 
 
+def _further(apart: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """a, b: texts of ``apart`` with leaders of other groups. A bucket's leader is its text of least seeded hash, so that few texts lead many
+    buckets; of the leaders that a text meets, it is compared with the LEADERS that it meets in most buckets."""
+    leader = F.min(F.struct(F.xxhash64("text", F.lit(turn)).alias("order"), "text", "n", "group")).alias("of")
+    leads = apart.groupBy("key").agg(leader).select("key", F.col("of.text").alias("leader"), F.col("of.n").alias("m"), F.col("of.group").alias("other"))
+    # n / m >= similarity is necessary; 1e-9 for rounding
+    near = F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - F.lit(1e-9)
+    met = apart.join(leads, "key").where((F.col("group") != F.col("other")) & near).groupBy("text", "leader").agg(F.count(F.lit(1)).alias("times"))
+    best = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("times"), "leader"))  # a text has as many rows as buckets at most
+    return met.withColumn("place", best).where(F.col("place") <= LEADERS).select(*_ordered("leader", "text")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rep, class_id, digest, class_digest for each row of ``docs``; links a, b, similarity between different texts, which span the classes).
 
@@ -234,16 +251,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = save(met.groupBy("text").agg(F.min_by("leader", F.struct(-F.col("times"), "leader")).alias("leader")).select(*_ordered("leader", "text")).distinct(), "omh-first")
     links = save(_verify(first, _texts(rows, reps, first), similarity), "omh-links1")
 
-    # texts of different groups that share a bucket: each with LEADERS texts of the bucket
-    # n / m >= similarity is necessary; 1e-9 for rounding
-    near = F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - F.lit(1e-9)
-    apart = _apart(crowded, links)
-    several = apart.groupBy("key", F.pmod(F.hash("text"), F.lit(LEADERS)).alias("turn")).agg(F.min(F.struct(F.xxhash64("text", "key"), "text", "n", "group")).alias("of"))
-    several = several.select("key", F.col("of.text").alias("leader"), F.col("of.n").alias("m"), F.col("of.group").alias("other"))
-    second = apart.join(several, "key").where((F.col("group") != F.col("other")) & near).select(*_ordered("leader", "text")).distinct()
-    second = save(second.join(first, ["a", "b"], "left_anti"), "omh-second")
-    links = links.unionByName(save(_verify(second, _texts(rows, reps, second), similarity), "omh-links2"))
-    discard(apart)
+    # texts of different groups that share a bucket: each with the further leaders that it meets most often
+    compared = [first]
+    for turn in range(ROUNDS):
+        apart = _apart(crowded, links)
+        pairs = save(_further(apart, turn, similarity).join(reduce(DataFrame.unionByName, compared), ["a", "b"], "left_anti"), "omh-further")
+        links = links.unionByName(save(_verify(pairs, _texts(rows, reps, pairs), similarity), "omh-links2"))
+        compared.append(pairs)
+        discard(apart)
 
     # and what is left in pairs: each once, in the first bucket that it shares, and only if its maps leave room for the similarity
     apart = _apart(crowded, links)
@@ -256,9 +271,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = F.least("n", "other_n") >= F.greatest("n", "other_n") * F.lit(similarity) - F.lit(1e-9)
     once = F.col("key") == F.array_min(F.array_intersect("keys", "other_keys"))
     third = known.join(other, "key").where((F.col("text") < F.col("other_text")) & (F.col("group") != F.col("other_group")) & sized & may & once).select(*_ordered("other_text", "text")).distinct()
-    third = save(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "omh-third")
+    third = save(third.join(reduce(DataFrame.unionByName, compared), ["a", "b"], "left_anti"), "omh-third")
     links = links.unionByName(save(_verify(third, _texts(rows, reps, third), similarity), "omh-links3"))
-    discard(crowded, apart, first, second, third)
+    discard(crowded, apart, third, *compared)
 
     classes = components(links.select("a", "b"))
     of_text = reps.join(classes.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("component", "digest").alias("class_digest"))
