@@ -34,7 +34,7 @@ SIMILARITY = 0.8
 #: at most 1.25 times as many on one side, so it always meets in one family; it is missed by all its functions with a chance below 0.005.
 FAMILIES = ((50, 8, 24, None), (20, 3, 1, 40))
 #: Rounds in which texts meet further leaders of their buckets, and leaders that a text meets in each.
-ROUNDS, LEADERS = 2, 2
+ROUNDS, LEADERS = 1, 2
 #: Bits of a text's map of shingles.
 MAP_BITS = 1024
 
