@@ -29,19 +29,34 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
     """The session's Arrow batches have ``BATCH_ROWS`` rows at most in here, and what they had before afterwards."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    with setting(spark, name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)):
+        yield
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting of that name is ``value`` in here, and what it was before afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+#: Whether Spark removes the shuffle files of a query as soon as it has ended, and not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def save(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage is cut and lost executors cost nothing that was written.
-    Without ``dictionary`` for columns of hashes, which hardly repeat."""
+    Without ``dictionary`` for columns of hashes, which hardly repeat. What was shuffled for it goes when it is written."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    with small_batches(spark):
+    with small_batches(spark), setting(spark, CLEANUP, "true"):
         df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     saved = spark.read.schema(df.schema).parquet(path)
     saved.saved_at = path

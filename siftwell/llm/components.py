@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, save
 
+#: Rows of a file of links, about.
+FILE_ROWS = 100_000
+
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links(a, b): node and component (its least node), for every node that has a link.
@@ -16,7 +21,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     links is aggregated with partial minima and joined, never collected.
     """
     edges = save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    before = None
+    before, rows = None, edges.count()
     for _ in range(most_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -24,13 +29,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")
         step = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges, last = save(step, "cc"), edges
+        # no more links than there were: a small graph is not written as a file for each task of a shuffle
+        edges, last = save(step.coalesce(ceil((rows + 1) / FILE_ROWS)), "cc"), edges
         discard(last)
         # at the end every node hangs on its root alone: the same number of rows and the same sums twice running
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -381,3 +381,40 @@ def test_pipeline_of_no_rows_and_of_repeated_ones(spark, tmp_path):
 def test_every_operator_has_one_query():
     names = queries.queries()
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    from siftwell.llm.common import CLEANUP, discard, save
+
+    def shuffled():
+        return {f.getName() for f in _disk_files(spark) if f.getName().startswith("shuffle_")}
+
+    old, before = spark.conf.get(CLEANUP, None), shuffled()
+    counts = save(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test-clean")
+    assert not shuffled() - before and spark.conf.get(CLEANUP, None) == old
+    assert sum(r["count"] for r in counts.collect()) == 1000
+    discard(counts)
+
+
+def _disk_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    while found.hasNext():
+        yield found.next()
+
+
+def test_a_small_graph_is_written_in_few_files(spark):
+    from pathlib import Path
+
+    from siftwell.llm import components as cc
+
+    names = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        found = cc.components(spark.range(200).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + 1).alias("b")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list(Path(found.saved_at.removeprefix("file:")).glob("part-*.parquet"))) == 1
+    assert {(r.node, r.component) for r in found.collect()} == {(i, i - i % 2) for i in range(400)}
