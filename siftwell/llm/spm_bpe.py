@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import release, slices
 
-#: Distinct chunks that a worker remembers, the first it meets; the rest are encoded each time.
+#: Distinct chunks that a task remembers, the first it meets; the rest are encoded each time.
 REMEMBERED = 800_000
 #: White space as Unicode has it; Python's own class also holds U+001C to U+001F.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -135,6 +135,11 @@ class Codec:
         out += [remembered(p) or self._chunk(p) for p in pieces]
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Give the memory of remembered chunks back: workers live on after a task, and other steps need it."""
+        self.memory = {}
+        release()
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.entries.__getitem__, memoryview(packed).cast("I")))
 
@@ -153,16 +158,19 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in slices(batches):
-            ids, n, extra, decoded = batch.column(0), [], [], []
-            for text in batch.column(1).to_pylist():
-                packed = bpe.encode(text or "")
-                n.append(len(packed) // 4)
-                extra.append(hashlib.sha256(packed).hexdigest() if digests else packed)
-                if digests:
-                    decoded.append(hashlib.sha256(bpe.decode(packed)).hexdigest())
-            columns = [ids, pa.array(n, pa.int64()), pa.array(extra, pa.string() if digests else pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(decoded, pa.string())] if digests else []), names=names)
+        try:
+            for batch in slices(batches):
+                ids, n, extra, decoded = batch.column(0), [], [], []
+                for text in batch.column(1).to_pylist():
+                    packed = bpe.encode(text or "")
+                    n.append(len(packed) // 4)
+                    extra.append(hashlib.sha256(packed).hexdigest() if digests else packed)
+                    if digests:
+                        decoded.append(hashlib.sha256(bpe.decode(packed)).hexdigest())
+                columns = [ids, pa.array(n, pa.int64()), pa.array(extra, pa.string() if digests else pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(decoded, pa.string())] if digests else []), names=names)
+        finally:
+            bpe.forget()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids"]
     kinds = {"doc_id": docs.schema[id_col].dataType.simpleString(), "n_tokens": "long", "ids": "binary"}

@@ -368,3 +368,19 @@ def test_filters_return_every_language_of_an_ngram():
     at = lang.slots(np.array([1, 3, 4, 99], np.uint64))
     mask = f.masks[at[0]] & f.masks[at[1]] & f.masks[at[2]]
     assert mask.tolist() == [1, 3, 2, 0]
+
+
+def test_workers_forget_the_chunks_of_a_task(spark):
+    import pyarrow as pa
+
+    from siftwell.llm.queries import tokenizer_path
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    docs = spark.range(0, 400, 1, 4).selectExpr("id AS doc_id", "concat_ws(' ', 'some', concat('word', id), 'here') AS text")
+    assert spm_bpe.encode_documents(docs, path, digests=True).where("n_tokens > 2").count() == 400
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(spm_bpe.codec(path).memory)] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()} == {0}
