@@ -418,3 +418,33 @@ def test_a_small_graph_is_written_in_few_files(spark):
             spark.conf.set(k, v)
     assert len(list(Path(found.saved_at.removeprefix("file:")).glob("part-*.parquet"))) == 1
     assert {(r.node, r.component) for r in found.collect()} == {(i, i - i % 2) for i in range(400)}
+
+
+def test_rounds_over_a_small_graph_shuffle_nothing_and_a_large_one_gives_the_same(spark, monkeypatch):
+    import random
+
+    plans, save = [], cc.save
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, name)
+
+    monkeypatch.setattr(cc, "save", noted)
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(100)]
+    links = spark.createDataFrame(edges, "a long, b long")
+    small = {tuple(r) for r in cc.components(links).collect()}
+    assert len(plans) > 2 and not any("Exchange" in p for p in plans[1:])
+    monkeypatch.setattr(cc, "FILE_ROWS", 50)
+    plans.clear()
+    assert {tuple(r) for r in cc.components(links).collect()} == small and all("Exchange" in p for p in plans)
+    assert {(n, c) for n, c in small if n >= 1000} == {(1000 + i, 1000) for i in range(61)} | {(2000 + i, 2000) for i in range(101)}
+    near = {}
+    for a, b in edges[:200]:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    for node, least in ((n, c) for n, c in small if n < 1000):
+        seen, todo = {node}, [node]
+        while todo:
+            todo += (new := near[todo.pop()] - seen)
+            seen |= new
+        assert least == min(seen)
