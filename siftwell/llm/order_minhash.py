@@ -37,6 +37,8 @@ FAMILIES = ((50, 8, 24, None), (20, 3, 1, 40))
 ROUNDS, LEADERS = 1, 2
 #: Bits of a text's map of shingles.
 MAP_BITS = 1024
+#: Parts of the buckets whose texts are compared in pairs one after the other, to use less disk at a time.
+PARTS = 2
 
 
 def shingles(data: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -227,6 +229,19 @@ def _further(apart: DataFrame, turn: int, similarity: float) -> DataFrame:
     return met.withColumn("place", best).where(F.col("place") <= LEADERS).select(*_ordered("leader", "text")).distinct()
 
 
+def _left_apart(apart: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """a, b: texts of different groups that share a bucket of ``apart``, if the first bucket that they share is one of these."""
+    known = apart.join(heads.select(F.col("digest").alias("text"), "keys", "map"), "text")
+    other = known.select("key", *[F.col(c).alias(f"other_{c}") for c in ("text", "n", "group", "keys", "map")])
+    total = lambda longs: F.aggregate(longs, F.lit(0), lambda n, x: n + F.bit_count(x))
+    # shingles of one text that fall on one bit may all be shared
+    shared = total(F.zip_with("map", "other_map", lambda x, y: x.bitwiseAND(y))) + F.least(F.col("n") - total("map"), F.col("other_n") - total("other_map"))
+    may = shared >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("other_n")) - F.lit(1e-9)
+    sized = F.least("n", "other_n") >= F.greatest("n", "other_n") * F.lit(similarity) - F.lit(1e-9)
+    once = F.col("key") == F.array_min(F.array_intersect("keys", "other_keys"))
+    return known.join(other, "key").where((F.col("text") < F.col("other_text")) & (F.col("group") != F.col("other_group")) & sized & may & once).select(*_ordered("other_text", "text")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rep, class_id, digest, class_digest for each row of ``docs``; links a, b, similarity between different texts, which span the classes).
 
@@ -262,18 +277,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # and what is left in pairs: each once, in the first bucket that it shares, and only if its maps leave room for the similarity
     apart = _apart(crowded, links)
-    known = apart.join(heads.select(F.col("digest").alias("text"), "keys", "map"), "text")
-    other = known.select("key", *[F.col(c).alias(f"other_{c}") for c in ("text", "n", "group", "keys", "map")])
-    total = lambda longs: F.aggregate(longs, F.lit(0), lambda n, x: n + F.bit_count(x))
-    # shingles of one text that fall on one bit may all be shared
-    shared = total(F.zip_with("map", "other_map", lambda x, y: x.bitwiseAND(y))) + F.least(F.col("n") - total("map"), F.col("other_n") - total("other_map"))
-    may = shared >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("other_n")) - F.lit(1e-9)
-    sized = F.least("n", "other_n") >= F.greatest("n", "other_n") * F.lit(similarity) - F.lit(1e-9)
-    once = F.col("key") == F.array_min(F.array_intersect("keys", "other_keys"))
-    third = known.join(other, "key").where((F.col("text") < F.col("other_text")) & (F.col("group") != F.col("other_group")) & sized & may & once).select(*_ordered("other_text", "text")).distinct()
-    third = save(third.join(reduce(DataFrame.unionByName, compared), ["a", "b"], "left_anti"), "omh-third")
+    parts = []
+    for part in range(PARTS):
+        pairs = _left_apart(apart.where(F.pmod("key", F.lit(PARTS)) == part), heads, similarity)
+        parts.append(save(pairs.join(reduce(DataFrame.unionByName, compared), ["a", "b"], "left_anti"), "omh-third"))
+    third = reduce(DataFrame.unionByName, parts)
     links = links.unionByName(save(_verify(third, _texts(rows, reps, third), similarity), "omh-links3"))
-    discard(crowded, apart, third, *compared)
+    discard(crowded, apart, *parts, *compared)
 
     classes = components(links.select("a", "b"))
     of_text = reps.join(classes.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("component", "digest").alias("class_digest"))
